@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsefold.llm import quality, simhash, toxicity
+from parsefold.llm import packing, quality, simhash, tokencount, toxicity
 from parsefold.llm.common import crc_fold
 
 
@@ -32,11 +32,23 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= quality.KEEP_AT).cast("int").alias("predicted"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokencount.with_token_counts(read(spark, sf_dir, "documents"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_quality_classifier": op5_quality_classifier,
+        "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_token_counts": op10_token_counts,
     }
 
 
