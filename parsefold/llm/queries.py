@@ -85,9 +85,11 @@ WITH split AS (
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) AS lines
   FROM documents
 ), windows AS (
-  SELECT id, unnest(range(1, len(words) - 6)) AS i, words FROM split WHERE len(words) >= 8
+  SELECT id, unnest(range(1, len(words) - 6)) AS i,
+    unnest(list_transform(range(1, len(words) - 6), lambda i: array_to_string(words[i:i + 7], ' '))) AS w
+  FROM split WHERE len(words) >= 8
 ), found AS (
-  SELECT id, i, count(*) OVER (PARTITION BY id, array_to_string(words[i:i + 7], ' ')) AS n FROM windows
+  SELECT id, i, count(*) OVER (PARTITION BY id, w) AS n FROM windows
 ), covered AS (
   SELECT id, count(DISTINCT i + k) AS n FROM found, range(8) AS r(k) WHERE n > 1 GROUP BY id
 ), base AS (
