@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsefold.llm import chat, packing, quality, rules, simhash, tokencount, toxicity
+from parsefold.llm import chat, packing, quality, rules, simhash, tokencount, toxicity, warc
 from parsefold.llm.common import crc_fold
 
 
@@ -71,6 +71,26 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= quality.KEEP_AT).cast("int").alias("predicted"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(read(spark, sf_dir, "pages"))
+    return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+)
+SELECT page_id, payload_bytes,
+  translate(upper(concat(
+    to_base(CAST('0x' || hex[1:10] AS BIGINT), 32, 8), to_base(CAST('0x' || hex[11:20] AS BIGINT), 32, 8),
+    to_base(CAST('0x' || hex[21:30] AS BIGINT), 32, 8), to_base(CAST('0x' || hex[31:40] AS BIGINT), 32, 8))),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     order = rules.ordered(rules.measured(docs, rules.RULES))
@@ -124,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_formatting": op3_chat_formatting,
         "op4_toxicity": op4_toxicity,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_warc": op6_warc,
         "op8_quality_rules": op8_quality_rules,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_counts": op10_token_counts,
@@ -131,4 +152,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op6_warc": OP6_SQL, "op8_quality_rules": OP8_SQL}
