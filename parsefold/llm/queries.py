@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsefold.llm import chat, packing, quality, rules, simhash, tokencount, toxicity, warc
+from parsefold.llm import ann, chat, packing, quality, rules, segmenting, simhash, tokencount, toxicity, warc
 from parsefold.llm.common import crc_fold
 
 
@@ -22,6 +22,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     made = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
@@ -91,6 +95,12 @@ FROM p
 """
 
 
+def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segmenting.segment(read(spark, sf_dir, "documents"))
+    ids = F.array_join("ids", " ")
+    return found.select(F.col("key").alias("doc_id"), "sample", F.size("ids").cast("long").alias("n_pieces"), F.crc32(ids.cast("binary")).alias("ids_crc32"), "log_probability", "perturbed", "inclusion", "round_trip")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     order = rules.ordered(rules.measured(docs, rules.RULES))
@@ -141,10 +151,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_toxicity": op4_toxicity,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_warc": op6_warc,
+        "op7_sentencepiece_sampling": op7_sentencepiece_sampling,
         "op8_quality_rules": op8_quality_rules,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_counts": op10_token_counts,
