@@ -157,9 +157,9 @@ def failure_report(imported: DataFrame) -> DataFrame:
     return failed.select(F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("report"))
 
 
-def text_of(documents: DataFrame) -> DataFrame:
-    """(file_name, text) to save: pages with a blank line between."""
-    return documents.select(F.concat(file_stem(F.col("name")), F.lit(".txt")).alias("file_name"), F.array_join("pages", "\n\n").alias("text"))
+def text_of(documents: DataFrame, *also: str) -> DataFrame:
+    """(file_name, text) to save, and columns asked for: pages with a blank line between."""
+    return documents.select(*also, F.concat(file_stem(F.col("name")), F.lit(".txt")).alias("file_name"), F.array_join("pages", "\n\n").alias("text"))
 
 
 def save_text(documents: DataFrame, path: str) -> None:
