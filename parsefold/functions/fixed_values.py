@@ -7,6 +7,7 @@ letters are Unicode. WORD_START and WORD_END are ASCII word boundaries for Java.
 
 # Characters.
 WS = r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 S = f"[{WS}]"
 NOT_S = f"[^{WS}]"
 SUPERSCRIPTS = "¹²³⁴⁵⁶⁷⁸⁹⁰"

@@ -22,6 +22,6 @@ def match_spans(text: Column, pattern: str, groups: int = 0) -> Column:
         return F.struct((start + F.char_length(r["m0"])).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
 
     kinds = "".join(f",g{g}:string" for g in range(1, groups + 1))
-    empty = F.from_json(F.lit("[]"), f"array<struct<start:int,match:string{kinds}>>")
+    empty = F.array().cast(f"array<struct<start:int,match:string{kinds}>>")
     first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
     return let(rows, lambda x: F.aggregate(x, first, place, lambda a: a["out"]))

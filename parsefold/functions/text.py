@@ -15,11 +15,11 @@ def let(value: Column, body) -> Column:
 
 def trim(text: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(text, rf"^{v.S}+|{v.S}+\z", "")
+    return F.btrim(text, F.lit(v.SPACES))
 
 
 def trim_start(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{v.S}+", "")
+    return F.ltrim(text, F.lit(v.SPACES))
 
 
 def clean(text: Column) -> Column:

@@ -35,7 +35,7 @@ def span(page: Column, start: Column, raw: Column, reason: str, rule: str) -> Co
 
 
 def no_spans() -> Column:
-    return F.from_json(F.lit("[]"), f"array<{SPAN}>")
+    return F.array().cast(f"array<{SPAN}>")
 
 
 def present(spans: Column) -> Column:
@@ -56,13 +56,15 @@ def page_lines(text: Column, page: Column) -> Column:
     pieces = F.split(text, "\n", -1)
 
     def add(a: Column, piece: Column) -> Column:
-        bare = trim(piece)
-        start = a["at"] + F.char_length(piece) - F.char_length(trim_start(piece))
-        line = F.struct(page.cast("int").alias("page"), start.alias("start"), (start + F.char_length(bare)).alias("end"), bare.alias("text"), (a["gap"] & (F.size(a["out"]) > 0)).alias("blank_before"))
-        blank = bare == ""
-        return F.struct((a["at"] + F.char_length(piece) + 1).alias("at"), blank.alias("gap"), F.when(blank, a["out"]).otherwise(F.concat(a["out"], F.array(line))).alias("out"))
+        def kept(bare: Column) -> Column:
+            start = a["at"] + F.char_length(piece) - F.char_length(trim_start(piece))
+            line = F.struct(page.cast("int").alias("page"), start.alias("start"), (start + F.char_length(bare)).alias("end"), bare.alias("text"), (a["gap"] & (F.size(a["out"]) > 0)).alias("blank_before"))
+            blank = bare == ""
+            return F.struct((a["at"] + F.char_length(piece) + 1).alias("at"), blank.alias("gap"), F.when(blank, a["out"]).otherwise(F.concat(a["out"], F.array(line))).alias("out"))
 
-    empty = F.from_json(F.lit("[]"), "array<struct<page:int,start:int,end:int,text:string,blank_before:boolean>>")
+        return let(trim(piece), kept)
+
+    empty = F.array().cast("array<struct<page:int,start:int,end:int,text:string,blank_before:boolean>>")
     first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("gap"), empty.alias("out"))
     lines = F.aggregate(pieces, first, add, lambda a: a["out"])
 

@@ -14,7 +14,7 @@ from parsefold.functions import fixed_values as v
 from parsefold.functions.text import clean, trim, word_count
 
 # ECMAScript white space, which differs from Python's.
-_SPACE = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_SPACE = v.SPACES
 _GAP = re.compile(f"\n[{_SPACE}]*\n")
 _SENTENCE_END = re.compile(f"[.!?。！？](?=[{_SPACE}]|\\Z)")
 PAGES = T.ArrayType(T.StringType())
