@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parsefold.llm import packing, quality, simhash, toxicity
-from parsefold.llm.common import table
+from parsefold.llm.common import fresh, table
 
 TOXIC_AT = 0.5
 
@@ -21,9 +21,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _where(docs: DataFrame, score, keep: Callable) -> DataFrame:
-    name = "__score"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "__score")
     return docs.withColumn(name, score).where(keep(F.col(name))).drop(name)
 
 

@@ -3,6 +3,7 @@ package to executors, and vectorised views of a batch of texts."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(text: Column) -> Column:
     """The bytes of a text; null counts as empty."""
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
@@ -133,6 +143,16 @@ class Words:
         return points, np.concatenate([starts, ends[-1:]]).astype(np.int64) if len(ends) else np.zeros(1, np.int64)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive the stages they serve."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -147,7 +167,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def batches(texts: Iterator[list[bytes]], most: int = 4 << 20) -> Iterator[list[bytes]]:
+def batches(texts: Iterator[list[bytes]], most: int = 2 << 20) -> Iterator[list[bytes]]:
     """Cut lists of texts into lists of about `most` bytes; a longer text stands alone."""
     for some in texts:
         at, held = 0, 0
@@ -158,3 +178,4 @@ def batches(texts: Iterator[list[bytes]], most: int = 4 << 20) -> Iterator[list[
             held += len(t)
         if at < len(some):
             yield some[at:]
+        give_back()

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parsefold.llm.common import mix, ship, table
+from parsefold.llm.common import give_back, mix, ship, table
 from parsefold.llm.tokenizing import byte_bpe
 
 CAPACITY = 2048
@@ -64,6 +64,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", json_pat
                 if keep_ids:
                     columns, out = [*columns, pa.array(blobs, pa.binary())], [*out, "ids"]
                 yield pa.record_batch(columns, names=out)
+            give_back()
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long" + ", ids binary" * keep_ids
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(cut, kinds)

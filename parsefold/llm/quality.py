@@ -28,8 +28,12 @@ ROWS, DIM, TRIPLE_DIM = 8192, 64, 128
 PER_CLASS = 10_000
 HIDDEN, EPOCHS, SEED = 24, 25, 7
 KEEP_AT = 0.3
+#: Bytes of text looked at together: what a worker holds is some hundred times as much.
+BATCH = 1 << 20
 _BLOCKS, _SALTS = 32, 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_AA = np.uint64(int(_A) ** 2 % (1 << 64))
+WIDTH = DIM + TRIPLE_DIM + 4
 
 
 def word_hashes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,7 +41,7 @@ def word_hashes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space on either side), end to end, and their bounds."""
     points, bounds = words.characters()
     value = points.astype(np.uint64) * _B + np.uint64(1)
-    triple = mix(value[:-2] + value[1:-1] * _A + value[2:] * (_A * _A)) if len(value) > 2 else np.zeros(0, np.uint64)
+    triple = mix(value[:-2] + value[1:-1] * _A + value[2:] * _AA) if len(value) > 2 else np.zeros(0, np.uint64)
     n = np.diff(bounds) - 2
     start = np.cumsum(n) - n
     index = np.arange(n.sum()) + np.repeat(bounds[:-1] - start, n)
@@ -73,7 +77,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((ROWS, DIM))
         for part in parts:
-            for texts in batches(iter([part.column(0).to_pylist()])):
+            for texts in batches(iter([part.column(0).to_pylist()]), BATCH):
                 words = Words(texts)
                 if words.distinct:
                     total += neighbours(words, word_hashes(words)[0])
@@ -106,7 +110,7 @@ def pooled(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     n = np.diff(words.bounds)
     some = np.maximum(n, 1)
     docs = len(texts)
-    out = np.zeros((docs, DIM + TRIPLE_DIM + 4), np.float32)
+    out = np.zeros((docs, WIDTH), np.float32)
     if not words.distinct:
         return out
     hashes, triple, ends = word_hashes(words)
@@ -204,21 +208,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def described(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             first = 0
-            for texts in batches(iter([part.column(1).to_pylist()])):
+            for texts in batches(iter([part.column(1).to_pylist()]), BATCH):
                 x = pooled(texts, shared.value)
                 yield pa.record_batch([part.column(0).slice(first, len(texts)), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
                 first += len(texts)
 
     chosen = rows.join(F.broadcast(sampled), "doc_id").select("label", "text")  # at most 2 * per_class rows
     got = chosen.mapInArrow(described, "label int, x binary").toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(got), -1)
+    shared.unpersist()
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(got), WIDTH)
     y = got.column("label").to_numpy().astype(np.float64)
     order = np.lexsort((x[:, 0], y)) if len(y) else np.zeros(0, np.int64)  # the same rows in the same order, however dealt
     x, y = x[order], y[order]
     if not 0 < y.sum() < len(y):
         c = 30.0 if share[0] == 0 else -30.0 if share[1] == 0 else float(np.log(share[1] / share[0]))
-        wide = DIM + TRIPLE_DIM + 4
-        return Network(table, np.zeros(wide, np.float32), np.ones(wide, np.float32), [np.zeros((wide, 1), np.float32), np.zeros(1, np.float32), np.zeros(1, np.float32), np.float32(c)])
+        return Network(table, np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32), [np.zeros((WIDTH, 1), np.float32), np.zeros(1, np.float32), np.zeros(1, np.float32), np.float32(c)])
     weight = np.where(y == 1, share[1] / y.mean(), share[0] / (1 - y.mean()))
     return train(x, y, weight, table)
 
@@ -228,7 +232,7 @@ def scorer(docs: DataFrame, net: Network, text: str = "text") -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def scored(texts: pa.Array) -> pa.Array:
-        out = [shared.value.probability(pooled(some, shared.value.table)) for some in batches(iter([texts.to_pylist()]))]
+        out = [shared.value.probability(pooled(some, shared.value.table)) for some in batches(iter([texts.to_pylist()]), BATCH)]
         return pa.array(np.concatenate(out).astype(np.float64) if out else np.zeros(0), pa.float64())
 
     return F.arrow_udf(scored, T.DoubleType())(utf8(F.col(text)))

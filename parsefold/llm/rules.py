@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parsefold.llm.common import SPACES, table
+from parsefold.llm.common import SPACES, fresh, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -159,8 +159,9 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     rows are measured one by one."""
     t = F.col(text)
     both = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), n_repeat_words(w).alias("again")))
-    marked = df.withColumn("__words", both)
-    for name, value in (("n_words", F.col("__words.n")), ("word_chars", word_chars(t)), ("n_symbols", n_symbols(t)), ("n_dup_lines", n_dup_lines(t)), ("n_repeat_words", F.col("__words.again"))):
+    held = fresh(df, "__words")
+    marked = df.withColumn(held, both)
+    for name, value in (("n_words", F.col(f"{held}.n")), ("word_chars", word_chars(t)), ("n_symbols", n_symbols(t)), ("n_dup_lines", n_dup_lines(t)), ("n_repeat_words", F.col(f"{held}.again"))):
         marked = marked.withColumn(name, value)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return marked.withColumn("base_failed", failed).drop("__words")
+    return marked.withColumn("base_failed", failed).drop(held)

@@ -159,7 +159,10 @@ class Lattices:
             at = order[cuts[d] : cuts[d + 1]]
             at = at[span[at] <= _SHORT] if d + 1 < len(cuts) else at
             w = min(d, wide)
-            below[at] = (chance[at, :w] * below[at[:, None] + reach[:w]]).sum(axis=1)
+            total = np.zeros(len(at))
+            for k in range(w):  # one by one, so that sums do not depend on the batch's width
+                total += chance[at, k] * below[at + (k + 1)]
+            below[at] = total
         chance *= below[np.arange(n)[:, None] + reach]
         if self.length.max() > _SHORT:  # in long words weights would vanish: the same in logs
             weight = np.where(piece >= 0, vocabulary.score[piece], -np.inf)
@@ -171,11 +174,14 @@ class Lattices:
                 w = min(d, wide)
                 total = weight[at, :w] + logs[at[:, None] + reach[:w]]
                 top = total.max(axis=1)
-                logs[at] = top + np.log(np.exp(total - top[:, None]).sum(axis=1))
+                logs[at] = top + np.log(np.cumsum(np.exp(total - top[:, None]), axis=1)[:, -1])
             at = np.flatnonzero((span > _SHORT) & (points != 32))
             chance[at] = np.exp(weight[at] + logs[at[:, None] + reach] - logs[at, None])
         chance[points == 32] = 0
-        chance /= np.maximum(chance.sum(axis=1, keepdims=True), 1e-300)
+        total = chance[:, 0].copy()
+        for k in range(1, wide):
+            total += chance[:, k]
+        chance /= np.maximum(total, 1e-300)[:, None]
         self.chance = chance
         self.upto = np.cumsum(chance, axis=1, dtype=np.float32)
         self.last = wide - 1 - (chance[:, ::-1] > 0).argmax(axis=1)
@@ -261,7 +267,7 @@ def sample(vocabulary: Vocabulary, keys: np.ndarray, texts: list[str], samples:
         at = paths.bounds[:-1][own] + born[own]
         c = lattices.chance[paths.node[at]]
         c[np.arange(len(c)), paths.edge[at]] = 0
-        away[at] = (c * ((banned[own, None] >> np.arange(c.shape[1]) & 1) == 0)).sum(axis=1)
+        away[at] = np.cumsum(c * ((banned[own, None] >> np.arange(c.shape[1]) & 1) == 0), axis=1)[:, -1]
         step = np.arange(len(paths.log)) - paths.bounds[:-1][owner]
         with np.errstate(divide="ignore", over="ignore"):
             mass = before + np.log(away)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parsefold.llm.common import offsets, ship, table, utf8
+from parsefold.llm.common import fresh, give_back, ship, table, utf8
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -73,6 +73,7 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 @F.arrow_udf(T.LongType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
     found = np.fromiter((fingerprint(t.as_buffer().to_pybytes()) for t in texts), np.uint64, len(texts))
+    give_back()
     return pa.array(found.view(np.int64))
 
 
@@ -393,13 +394,14 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     Of rows that repeat a kept id, one stays (the first by its columns as JSON)."""
     found = table(components(df, doc_id, text), "components")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    goes = table(found.where(~stays).select("doc_id").distinct(), "duplicates")
-    out = df.join(goes, df[doc_id].eqNullSafe(goes["doc_id"]), "left_anti")
-    again = table(found.where(stays).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "repeated")
+    mark, rank = fresh(df, "__id"), fresh(df, "__rank")
+    goes = table(found.where(~stays).select(F.col("doc_id").alias(mark)).distinct(), "duplicates")
+    same = lambda other: df[doc_id].cast("long").eqNullSafe(other[mark])
+    out = df.join(goes, same(goes), "left_anti")
+    again = table(found.where(stays).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(mark)), "repeated")
     if again.isEmpty():
         return out
-    once = out.join(again, out[doc_id].eqNullSafe(again["__again"]), "left_anti")
-    more = out.join(again, out[doc_id].eqNullSafe(again["__again"]), "left_semi")
-    order = Window.partitionBy(doc_id).orderBy(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
-    first = more.withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
+    once = out.join(again, same(again), "left_anti")
+    order = Window.partitionBy(F.col(doc_id).cast("long")).orderBy(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    first = out.join(again, same(again), "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
     return once.unionByName(first.select(*df.columns))

@@ -14,7 +14,7 @@ import tiktoken
 import tokenizers
 
 #: Distinct words remembered by a worker; beyond that it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 _ODD = re.compile(r"[^\S \n]")
 
 

@@ -138,9 +138,10 @@ def count_sequences(docs: DataFrame, ids: np.ndarray, labels: np.ndarray, halves
     known = docs.sparkSession.sparkContext.broadcast((ids[order], (labels * 2 + halves)[order]))
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = np.zeros((len(SHARED), SIZE), np.int32)
+        # Sequences that share a bucket keep the smallest context, in whatever order they come.
+        context = np.full((len(SHARED), SIZE), np.iinfo(np.int32).max, np.int32)
         before = np.zeros((len(SHARED), SIZE), np.uint64)
-        top_context = np.zeros(TOP_SIZE, np.int32)
+        top_context = np.full(TOP_SIZE, np.iinfo(np.int32).max, np.int32)
         counts = np.zeros((4, TOP_SIZE), np.int64)
         sampled, group = known.value
         for part in parts:
@@ -159,7 +160,7 @@ def count_sequences(docs: DataFrame, ids: np.ndarray, labels: np.ndarray, halves
                     continue
                 gram, past, mark, _ = sequences(words, top=False)
                 for k, n in enumerate(SHARED):
-                    context[k, gram[n]] = past[n]
+                    np.minimum.at(context[k], gram[n], past[n])
                     np.bitwise_or.at(before[k], gram[n], np.uint64(1) << mark[n])
                 mine = np.flatnonzero(own >= 0)
                 if not len(mine):
@@ -168,7 +169,7 @@ def count_sequences(docs: DataFrame, ids: np.ndarray, labels: np.ndarray, halves
                 if not words.distinct:
                     continue
                 gram, past, _, bounds = sequences(words)
-                top_context[gram[TOP]] = past[TOP]
+                np.minimum.at(top_context, gram[TOP], past[TOP])
                 token = np.repeat(own[mine], np.diff(words.bounds))
                 for g in range(4):
                     often = np.repeat(np.bincount(words.ids[token == g], minlength=len(words.distinct)), np.diff(bounds))
@@ -183,7 +184,9 @@ def count_sequences(docs: DataFrame, ids: np.ndarray, labels: np.ndarray, halves
     found = docs.mapInArrow(counted, "key int, context int, before long, c0 int, c1 int, c2 int, c3 int")
     sums = [F.sum(f"c{g}").cast("int").alias(f"c{g}") for g in range(4)]
     found = found.groupBy("key").agg(F.min("context").alias("context"), F.bit_count(F.bit_or("before")).cast("int").alias("before"), *sums)
-    return found.toArrow()
+    out = found.toArrow()
+    known.unpersist()
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
@@ -230,6 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     train = rows.join(F.broadcast(sampled.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
     got = train.mapInArrow(described, "label int, f array<double>").toArrow()
+    shared.unpersist()
     x = np.array(got.column("f").to_pylist(), dtype=np.float64).reshape(len(got), len(WORST) + 3)
     t = got.column("label").to_numpy().astype(np.float64)
     if not 0 < t.sum() < len(t):
