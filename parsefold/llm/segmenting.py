@@ -163,7 +163,8 @@ class Lattices:
             for k in range(w):  # one by one, so that sums do not depend on the batch's width
                 total += chance[at, k] * below[at + (k + 1)]
             below[at] = total
-        chance *= below[np.arange(n)[:, None] + reach]
+        for k in range(wide):
+            chance[:, k] *= below[k + 1 : k + 1 + n]
         if self.length.max() > _SHORT:  # in long words weights would vanish: the same in logs
             weight = np.where(piece >= 0, vocabulary.score[piece], -np.inf)
             weight[bare, 0] = _FALLBACK
@@ -187,12 +188,20 @@ class Lattices:
         self.last = wide - 1 - (chance[:, ::-1] > 0).argmax(axis=1)
 
 
-def _uniform(key: np.ndarray, stream: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) that depend on nothing but their arguments."""
-    h = mix(mix(key ^ np.uint64(stream * 0x632BE59BD9B4E019 % (1 << 64))) + a.astype(np.uint64) * np.uint64(_P) + b.astype(np.uint64) * _Q)
+def _stream(key: np.ndarray, stream: int) -> np.ndarray:
+    return mix(key ^ np.uint64(stream * 0x632BE59BD9B4E019 % (1 << 64)))
+
+
+def _unit(h: np.ndarray) -> np.ndarray:
+    """Hashes as numbers in (0, 1)."""
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
+def _uniform(key: np.ndarray, stream: int, a: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) that depend on nothing but their arguments."""
+    return _unit(mix(_stream(key, stream) + a.astype(np.uint64) * np.uint64(_P)))
+
+
 def _choose(chance: np.ndarray, u: np.ndarray) -> np.ndarray:
     """An edge for each row of unnormalised chances."""
     total = np.cumsum(chance, axis=1)
@@ -215,13 +224,14 @@ def _walk(lattices: Lattices, word_node: np.ndarray, word_end: np.ndarray, word:
     """Draw steps from the given nodes to their words' ends: (word, node, edge, chance),
     ordered by word, then node."""
     found = []
+    base = mix(_stream(key, stream) + place.astype(np.uint64) * np.uint64(_P))
     live, at = np.arange(len(word)), word_node.copy()
     while len(live):
         open_ = at < word_end[live]
         live, at = live[open_], at[open_]
         if not len(live):
             break
-        u = _uniform(key[live], stream, place[live], at - lattices.first[kind[live]])
+        u = _unit(mix(base[live] + (at - lattices.first[kind[live]]).astype(np.uint64) * _Q))
         edge = np.minimum((lattices.upto[at] <= u[:, None]).sum(axis=1), lattices.last[at])
         found.append((live, at, edge, lattices.chance[at, edge]))
         at = at + edge + 1
@@ -242,7 +252,7 @@ def sample(vocabulary: Vocabulary, keys: np.ndarray, texts: list[str], samples:
     words = flat(split)
     docs = len(texts)
     row_key = mix(keys.astype(np.int64).view(np.uint64) ^ np.uint64(seed))
-    empty = [(0.0, float(-np.log(-np.log(_uniform(row_key[i : i + 1], 1, np.zeros(1), np.zeros(1))[0]))), 1.0, np.zeros(0, np.uint32)) for i in range(docs)]
+    empty = [(0.0, float(-np.log(-np.log(_uniform(row_key[i : i + 1], 1, np.zeros(1))[0]))), 1.0, np.zeros(0, np.uint32)) for i in range(docs)]
     if not words:
         return [[e] for e in empty]
     number = {w: i for i, w in enumerate(dict.fromkeys(words))}
@@ -271,14 +281,14 @@ def sample(vocabulary: Vocabulary, keys: np.ndarray, texts: list[str], samples:
         step = np.arange(len(paths.log)) - paths.bounds[:-1][owner]
         with np.errstate(divide="ignore", over="ignore"):
             mass = before + np.log(away)
-            u = _uniform(row_key[owner], stream, step, np.zeros(len(step)))
+            u = _uniform(row_key[owner], stream, step)
             top = above[owner]
             g = mass - np.log(np.exp(mass - top) - np.log(u))
         g[~np.isfinite(mass) | (step < born[owner]) | ~alive[owner]] = -np.inf
         return g
 
     first = finished(*_walk(lattices, start, end, every, kind, row_key[doc], 2, place))
-    best = -np.log(-np.log(_uniform(row_key, 1, np.zeros(docs), np.zeros(docs))))
+    best = -np.log(-np.log(_uniform(row_key, 1, np.zeros(docs))))
     born, banned = np.full(docs, -1), np.zeros(docs, np.int64)
     alive = np.ones(docs, bool)
     emitted = [(first, best, alive.copy())]
@@ -320,7 +330,7 @@ def sample(vocabulary: Vocabulary, keys: np.ndarray, texts: list[str], samples:
             kept = index < stop[doc[paths.word]]
             keep.append((paths.word[kept], paths.node[kept], paths.edge[kept], paths.log[kept] / _FINE))
             c = lattices.chance[paths.node[at]] * ((banned[own, None] >> np.arange(lattices.chance.shape[1]) & 1) == 0)
-            edge = _choose(c, _uniform(row_key[own], 10 * r + 4, born[own], np.zeros(len(own))))
+            edge = _choose(c, _uniform(row_key[own], 10 * r + 4, born[own]))
             turn.append((paths.word[at], paths.node[at], edge, np.log(np.maximum(lattices.chance[paths.node[at], edge], 1e-300))))
         turned = [np.concatenate(x) for x in zip(*turn)]
         # The rest of the word of the turn, and all later words of its text.
