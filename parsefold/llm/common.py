@@ -167,7 +167,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def batches(texts: Iterator[list[bytes]], most: int = 2 << 20) -> Iterator[list[bytes]]:
+def slices(texts: pa.Array, rows: int = 256) -> Iterator[list[bytes]]:
+    """The values of an array as lists of some rows: never all of them at once."""
+    for at in range(0, len(texts), rows):
+        yield texts.slice(at, rows).to_pylist()
+
+
+def batches(texts: Iterator[list[bytes]], most: int = 1 << 20) -> Iterator[list[bytes]]:
     """Cut lists of texts into lists of about `most` bytes; a longer text stands alone."""
     for some in texts:
         at, held = 0, 0
@@ -178,4 +184,4 @@ def batches(texts: Iterator[list[bytes]], most: int = 2 << 20) -> Iterator[list[
             held += len(t)
         if at < len(some):
             yield some[at:]
-        give_back()
+    give_back()

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parsefold.llm.common import Words, batches, mix, ship, utf8
+from parsefold.llm.common import batches, mix, ship, slices, utf8, Words
 from parsefold.llm.labelled import standardise, training_labels
 
 ROWS, DIM, TRIPLE_DIM = 8192, 64, 128
@@ -28,8 +28,6 @@ ROWS, DIM, TRIPLE_DIM = 8192, 64, 128
 PER_CLASS = 10_000
 HIDDEN, EPOCHS, SEED = 24, 25, 7
 KEEP_AT = 0.3
-#: Bytes of text looked at together: what a worker holds is some hundred times as much.
-BATCH = 1 << 20
 _BLOCKS, _SALTS = 32, 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _AA = np.uint64(int(_A) ** 2 % (1 << 64))
@@ -77,7 +75,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((ROWS, DIM))
         for part in parts:
-            for texts in batches(iter([part.column(0).to_pylist()]), BATCH):
+            for texts in batches(slices(part.column(0))):
                 words = Words(texts)
                 if words.distinct:
                     total += neighbours(words, word_hashes(words)[0])
@@ -208,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def described(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             first = 0
-            for texts in batches(iter([part.column(1).to_pylist()]), BATCH):
+            for texts in batches(slices(part.column(1))):
                 x = pooled(texts, shared.value)
                 yield pa.record_batch([part.column(0).slice(first, len(texts)), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
                 first += len(texts)
@@ -232,7 +230,7 @@ def scorer(docs: DataFrame, net: Network, text: str = "text") -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def scored(texts: pa.Array) -> pa.Array:
-        out = [shared.value.probability(pooled(some, shared.value.table)) for some in batches(iter([texts.to_pylist()]), BATCH)]
+        out = [shared.value.probability(pooled(some, shared.value.table)) for some in batches(slices(texts))]
         return pa.array(np.concatenate(out).astype(np.float64) if out else np.zeros(0), pa.float64())
 
     return F.arrow_udf(scored, T.DoubleType())(utf8(F.col(text)))

@@ -28,7 +28,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parsefold.llm.common import batches, flat, mix, offsets, ship
+from parsefold.llm.common import batches, flat, mix, offsets, ship, slices
 from parsefold.llm.tokencount import MARK, MODEL
 
 SAMPLES, ALPHA, SEED = 2, 1.0, 11
@@ -393,7 +393,7 @@ def segment(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path
         for part in parts:
             keys = part.column(0).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
             first = 0
-            for raw in batches(iter([part.column(1).to_pylist()]), 2 << 20):
+            for raw in batches(slices(part.column(1), 1024), 2 << 20):
                 texts = [t.decode("utf-8", "replace") for t in raw]
                 found = sample(v, keys[first : first + len(texts)], texts, samples, seed)
                 rows = [(i, r + 1, *one) for i, some in enumerate(found) for r, one in enumerate(some)]

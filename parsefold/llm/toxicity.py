@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parsefold.llm.common import Words, batches, mix, offsets, segment_max, segment_sum, ship, utf8
+from parsefold.llm.common import batches, mix, offsets, segment_max, segment_sum, ship, slices, utf8, Words
 from parsefold.llm.labelled import logistic, standardise, training_labels
 
 #: Lengths of the sequences: those that both classes share, then each class's own.
@@ -152,7 +152,7 @@ def count_sequences(docs: DataFrame, ids: np.ndarray, labels: np.ndarray, halves
                 there = (sampled[where] == got) & part.column(0).is_valid().to_numpy(zero_copy_only=False)
                 groups[there] = group[where[there]]
             first = 0
-            for texts in batches(iter([part.column(1).to_pylist()])):
+            for texts in batches(slices(part.column(1))):
                 own = groups[first : first + len(texts)]
                 first += len(texts)
                 words = Words([t.lower() for t in texts])
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         models = [Model(add, keep, *m, np.zeros(1), np.zeros(1), np.ones(1)) for m in (one, two)]
         for part in parts:
             first, got = 0, part.column(0).to_pylist()
-            for texts in batches(iter([part.column(1).to_pylist()])):
+            for texts in batches(slices(part.column(1))):
                 own = [label_of[i] for i in got[first : first + len(texts)]]
                 first += len(texts)
                 for k in (0, 1):
@@ -250,7 +250,7 @@ def scorer(docs: DataFrame, model: Model, text: str = "text") -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(texts: pa.Array) -> pa.Array:
-        out = [shared.value.probability(shared.value.features(some)) for some in batches(iter([texts.to_pylist()]))]
+        out = [shared.value.probability(shared.value.features(some)) for some in batches(slices(texts))]
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return F.arrow_udf(scored, T.DoubleType())(utf8(F.col(text)))
