@@ -8,8 +8,10 @@ two log-likelihoods; a document is described by length-normalised differences, o
 the whole text and over its most toxic stretches, and a logistic curve fitted on
 held-back halves of the training rows turns them into a probability.
 
-Sequences are hashed into tables of fixed size: the model has the same size for any
-corpus, and what a task sends is at most one row for each table entry.
+Continuation counts depend on the distinct words alone: these are gathered first, with
+their frequencies in training rows, and sequences are counted from them. A sequence is
+named by a hash of 64 bits and counts are exact: the model has an entry for each
+distinct sequence, so it grows as the corpus does.
 """
 
 from __future__ import annotations
@@ -23,28 +25,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parsefold.llm.common import batches, mix, offsets, segment_max, segment_sum, ship, slices, utf8, Words
+from parsefold.llm.common import batches, mix, offsets, segment_max, segment_sum, ship, slices, table, utf8, Words
 from parsefold.llm.labelled import logistic, standardise, training_labels
 
 #: Lengths of the sequences: those that both classes share, then each class's own.
 SHARED, TOP = (1, 2, 3, 4, 6), 9
-SIZE = 1 << 19
-TOP_SIZE = 1 << 20
 DISCOUNT = 0.75
 #: Labelled training rows of each class, at most.
 PER_CLASS = 12_000
 #: A text is described by its mean, by its worst words (the mean of so many) and by its
 #: worst stretch of so many words.
 WORST, STRETCH = (1, 2, 3, 5), 8
+#: Words a worker remembers (their scores, or that they were sent) before it starts anew.
+REMEMBERED = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SALT = [np.uint64((0xD1B54A32D192ED03 * (n + 1)) % (1 << 64)) for n in range(TOP + 1)]
 
 
 def sequences(words: Words, top: bool = True) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], np.ndarray, np.ndarray]:
-    """For each length: the bucket of the sequence that ends at each character of each
-    distinct word (a word is preceded by spaces and ends with one), and the bucket of
-    that sequence without its last character; the character before a sequence, hashed
-    to 0..63, for each length; the bounds of words among these characters."""
+    """For each length: the key of the sequence that ends at each character of each
+    distinct word (a word is preceded by spaces and ends with one), and the key of
+    that sequence without its last character; the code point before a sequence, for
+    each length; the bounds of words among these characters."""
     points, bounds = words.characters()
     n, lengths = len(words.distinct), np.diff(bounds)
     pad = TOP - 1  # one space is there already
@@ -65,18 +67,43 @@ def sequences(words: Words, top: bool = True) -> tuple[dict[int, np.ndarray], di
             past = past + value[at - k] * np.uint64(power)
         power = power * int(_BASE) % (1 << 64)
         if k + 1 in SHARED or k + 1 == TOP:
-            size = np.uint64((TOP_SIZE if k + 1 == TOP else SIZE) - 1)
-            gram[k + 1] = (mix(h ^ _SALT[k]) & size).astype(np.int32)
-            context[k + 1] = (mix(past ^ _SALT[k]) & size).astype(np.int32)
+            gram[k + 1], context[k + 1] = mix(h ^ _SALT[k]), mix(past ^ _SALT[k])
             if k + 1 != TOP:
-                before[k + 1] = value[at - k - 1] >> np.uint64(58)
+                before[k + 1] = padded[at - k - 1]
     return gram, context, before, offsets(lengths - 1)
 
 
+class Index:
+    """Places of keys in a sorted array of them; len(keys) for a key that is not there."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        n = len(self.keys)
+        if not n:
+            return np.zeros(len(wanted), np.int64)
+        place = self.starts[wanted >> self.shift].astype(np.int64)
+        open_ = np.flatnonzero(place < n)
+        while len(open_):
+            open_ = open_[self.keys[place[open_]] < wanted[open_]]
+            place[open_] += 1
+            open_ = open_[place[open_] < n]
+        found = place < n
+        found[found] = self.keys[place[found]] == wanted[found]
+        place[~found] = n
+        return place
+
+
 @dataclass
 class Model:
-    """Tables of the interpolation: shorter sequences shared, the top by class."""
+    """Tables of the interpolation: shorter sequences shared, the top by class. The last
+    entry of each is for a sequence or context that was not counted."""
 
+    gram: list[Index]  # for each shared length, then the top: the sequences
+    context: list[Index]  # and their contexts
     add: list[np.ndarray]  # for each shared length: discounted continuation share of a sequence
     keep: list[np.ndarray]  # and what its context leaves to the next shorter length
     top_add: list[np.ndarray]  # by class
@@ -87,14 +114,23 @@ class Model:
 
     def word_scores(self, words: Words) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) for each distinct word."""
-        if not words.distinct:
-            return np.zeros(0)
+        known = self.__dict__.setdefault("known", {})
+        new = [w for w in words.distinct if w not in known]
+        if new:
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = words.distinct
+            known.update(zip(new, self.scores(Words([b" ".join(new)])).tolist()))
+        return np.fromiter(map(known.__getitem__, words.distinct), np.float64, len(words.distinct))
+
+    def scores(self, words: Words) -> np.ndarray:
         gram, context, _, bounds = sequences(words)
         p = np.full(len(gram[TOP]), 1e-5, np.float32)
         for k, n in enumerate(SHARED):
-            p = self.add[k][gram[n]] + self.keep[k][context[n]] * p
-        ends = [self.top_add[c][gram[TOP]] + self.top_keep[c][context[TOP]] * p for c in (0, 1)]
-        return segment_sum(np.log(ends[1]) - np.log(ends[0]), bounds)
+            p = self.add[k][self.gram[k].find(gram[n])] + self.keep[k][self.context[k].find(context[n])] * p
+        at, of = self.gram[-1].find(gram[TOP]), self.context[-1].find(context[TOP])
+        ends = [self.top_add[c][at] + self.top_keep[c][of] * p for c in (0, 1)]
+        return np.add.reduceat(np.log(ends[1]).astype(np.float64) - np.log(ends[0]), bounds[:-1])
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         """For each text: the mean difference over all words, over its worst words and over
@@ -129,21 +165,15 @@ def tables(bucket: np.ndarray, context: np.ndarray, often: np.ndarray, size: int
     return add, np.where(mass > 0, DISCOUNT * kinds / np.maximum(mass, 1), 1).astype(np.float32)
 
 
-def count_sequences(docs: DataFrame, ids: np.ndarray, labels: np.ndarray, halves: np.ndarray) -> pa.Table:
-    """Distinct sequences: of the shared lengths, over the words of all docs, with the
-    set of characters that stand before them; of the top length, with their frequencies
-    in the four sets of training rows (label, half). At most len(SHARED) * SIZE +
-    TOP_SIZE rows reach the driver, whatever the corpus."""
+def count_words(docs: DataFrame, ids: np.ndarray, labels: np.ndarray, halves: np.ndarray) -> DataFrame:
+    """word, c0..c3: the distinct words of all docs, and how often each stands in the four
+    sets of training rows (label, half)."""
     order = np.argsort(ids)
     known = docs.sparkSession.sparkContext.broadcast((ids[order], (labels * 2 + halves)[order]))
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sequences that share a bucket keep the smallest context, in whatever order they come.
-        context = np.full((len(SHARED), SIZE), np.iinfo(np.int32).max, np.int32)
-        before = np.zeros((len(SHARED), SIZE), np.uint64)
-        top_context = np.full(TOP_SIZE, np.iinfo(np.int32).max, np.int32)
-        counts = np.zeros((4, TOP_SIZE), np.int64)
         sampled, group = known.value
+        sent: set[bytes] = set()
         for part in parts:
             got = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             groups = np.full(len(got), -1)
@@ -158,37 +188,63 @@ def count_sequences(docs: DataFrame, ids: np.ndarray, labels: np.ndarray, halves
                 words = Words([t.lower() for t in texts])
                 if not words.distinct:
                     continue
-                gram, past, mark, _ = sequences(words, top=False)
-                for k, n in enumerate(SHARED):
-                    np.minimum.at(context[k], gram[n], past[n])
-                    np.bitwise_or.at(before[k], gram[n], np.uint64(1) << mark[n])
-                mine = np.flatnonzero(own >= 0)
-                if not len(mine):
-                    continue
-                words = Words([texts[i].lower() for i in mine])
-                if not words.distinct:
-                    continue
-                gram, past, _, bounds = sequences(words)
-                np.minimum.at(top_context, gram[TOP], past[TOP])
-                token = np.repeat(own[mine], np.diff(words.bounds))
-                for g in range(4):
-                    often = np.repeat(np.bincount(words.ids[token == g], minlength=len(words.distinct)), np.diff(bounds))
-                    counts[g] += np.bincount(gram[TOP], often, TOP_SIZE).astype(np.int64)
-        k, b = np.nonzero(before)
-        t = np.flatnonzero(counts.any(axis=0))
-        columns = [pa.array(np.concatenate([k * SIZE + b, len(SHARED) * SIZE + t]).astype(np.int32)), pa.array(np.concatenate([context[k, b], top_context[t]])), pa.array(np.concatenate([before[k, b], np.zeros(len(t), np.uint64)]).view(np.int64))]
-        columns += [pa.array(np.concatenate([np.zeros(len(k), np.int64), counts[g][t]]).astype(np.int32)) for g in range(4)]
-        for at in range(0, max(1, len(columns[0])), 1 << 16):
-            yield pa.record_batch([c.slice(at, 1 << 16) for c in columns], names=["key", "context", "before", "c0", "c1", "c2", "c3"])
-
-    found = docs.mapInArrow(counted, "key int, context int, before long, c0 int, c1 int, c2 int, c3 int")
-    sums = [F.sum(f"c{g}").cast("int").alias(f"c{g}") for g in range(4)]
-    found = found.groupBy("key").agg(F.min("context").alias("context"), F.bit_count(F.bit_or("before")).cast("int").alias("before"), *sums)
-    out = found.toArrow()
+                token = np.repeat(own, np.diff(words.bounds))
+                often = np.stack([np.bincount(words.ids[token == g], minlength=len(words.distinct)) for g in range(4)])
+                if len(sent) > REMEMBERED:
+                    sent.clear()
+                more = [i for i, (w, c) in enumerate(zip(words.distinct, often.any(axis=0).tolist())) if c or w not in sent]
+                sent.update(words.distinct)
+                if more:
+                    yield pa.record_batch([pa.array([words.distinct[i] for i in more], pa.binary()), *[pa.array(often[g][more]) for g in range(4)]], names=["word", "c0", "c1", "c2", "c3"])
+
+    found = docs.mapInArrow(counted, "word binary, c0 long, c1 long, c2 long, c3 long")
+    out = table(found.groupBy("word").agg(*[F.sum(f"c{g}").alias(f"c{g}") for g in range(4)]), "words")
     known.unpersist()
     return out
 
 
+def count_sequences(words: DataFrame) -> tuple[pa.Table, pa.Table]:
+    """(k, key, context, n) of the shared lengths, n distinct characters standing before a
+    sequence in distinct words; (key, context, c0..c3) of the top length, with its
+    frequencies in the four sets. One row for each distinct sequence reaches the driver."""
+
+    def shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            gram, past, before, _ = sequences(Words([b" ".join(part.column(0).to_pylist())]), top=False) if len(part) else ({}, {}, {}, None)
+            for k, n in enumerate(SHARED if gram else ()):
+                order = np.lexsort((before[n], gram[n]))
+                g, b = gram[n][order], before[n][order]
+                new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (b[1:] != b[:-1])))
+                yield pa.record_batch([pa.array(np.full(len(new), k, np.int32)), pa.array(g[new].view(np.int64)), pa.array(past[n][order][new].view(np.int64)), pa.array(b[new].astype(np.int32))], names=["k", "key", "context", "before"])
+
+    def top(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not len(part):
+                continue
+            gram, past, _, bounds = sequences(Words([b" ".join(part.column(0).to_pylist())]))
+            often = [np.repeat(part.column(1 + g).to_numpy(), np.diff(bounds)) for g in range(4)]
+            yield pa.record_batch([pa.array(x[TOP].view(np.int64)) for x in (gram, past)] + [pa.array(c) for c in often], names=["key", "context", "c0", "c1", "c2", "c3"])
+
+    pairs = words.select("word").mapInArrow(shared, "k int, key long, context long, before int").distinct()
+    lower = pairs.groupBy("k", "key", "context").agg(F.count("*").cast("int").alias("n")).toArrow()
+    learned = words.where("c0 + c1 + c2 + c3 > 0").mapInArrow(top, "key long, context long, c0 long, c1 long, c2 long, c3 long")
+    return lower, learned.groupBy("key", "context").agg(*[F.sum(f"c{g}").alias(f"c{g}") for g in range(4)]).toArrow()
+
+
+def indexed(key: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, Index, Index, np.ndarray]:
+    """The order that sorts keys, an index of them and of distinct contexts, and the place
+    of each sorted key's context."""
+    order = np.argsort(key)
+    contexts, of = np.unique(context[order], return_inverse=True)
+    return order, Index(key[order]), Index(contexts), of
+
+
+def shares(of: np.ndarray, contexts: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As tables, with a last entry for what was not counted."""
+    add, keep = tables(np.arange(len(of)), of, often, max(len(of), contexts))
+    return np.append(add[: len(of)], np.float32(0)), np.append(keep[:contexts], np.float32(1))
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
     """Learn from docs and from labels(doc_id, toxic), of which at most `per_class` rows
     of each class outside the held-out fold are used. Null texts count as empty. Without
@@ -199,27 +255,31 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = sampled.toArrow()  # at most 2 * per_class rows
     ids, y = (chosen.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label"))
     halves = (mix(ids.view(np.uint64) if len(ids) else np.zeros(0, np.uint64)) & np.uint64(1)).astype(np.int64)
-    found = count_sequences(rows, ids, y, halves)
-    key, context, before = (found.column(c).to_numpy() for c in ("key", "context", "before"))
-    c = [found.column(f"c{g}").to_numpy() for g in range(4)]
-    del found
-    add, keep = [], []
+    lower, upper = count_sequences(count_words(rows, ids, y, halves))
+    which, key, context, often = (lower.column(c).to_numpy() for c in ("k", "key", "context", "n"))
+    del lower
+    gram, contexts, add, keep = [], [], [], []
     for k in range(len(SHARED)):
-        own = key // SIZE == k
-        more = tables(key[own] % SIZE, context[own], before[own], SIZE)
-        add.append(more[0])
-        keep.append(more[1])
-    top = key >= len(SHARED) * SIZE
-    b, h = key[top] - len(SHARED) * SIZE, context[top]
-    by_set = lambda sets: [list(x) for x in zip(*[tables(b, h, sum(c[g][top] for g in own), TOP_SIZE) for own in sets])]
+        own = np.flatnonzero(which == k)
+        order, g, h, of = indexed(key[own].view(np.uint64), context[own].view(np.uint64))
+        more = shares(of, len(h.keys), often[own][order])
+        for held, x in zip((gram, contexts, add, keep), (g, h, *more)):
+            held.append(x)
+    key, context, *c = (upper.column(x).to_numpy() for x in ("key", "context", "c0", "c1", "c2", "c3"))
+    order, g, h, of = indexed(key.view(np.uint64), context.view(np.uint64))
+    c = [x[order] for x in c]
+    gram.append(g)
+    contexts.append(h)
+    by_set = lambda sets: [list(x) for x in zip(*[shares(of, len(h.keys), sum(c[g] for g in own)) for own in sets])]
     half = [by_set(((1 - k,), (3 - k,))) for k in (0, 1)]  # learned from the other half
-    model = Model(add, keep, *by_set(((0, 1), (2, 3))), np.zeros(1), np.zeros(1), np.ones(1))
-    shared = docs.sparkSession.sparkContext.broadcast([*half, (add, keep)])
+    lower_tables = (gram, contexts, add, keep)
+    model = Model(*lower_tables, *by_set(((0, 1), (2, 3))), np.zeros(1), np.zeros(1), np.ones(1))
+    shared = docs.sparkSession.sparkContext.broadcast([*half, lower_tables])
     label_of = dict(zip(ids.tolist(), zip(y.tolist(), halves.tolist())))
 
     def described(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, (add, keep) = shared.value
-        models = [Model(add, keep, *m, np.zeros(1), np.zeros(1), np.ones(1)) for m in (one, two)]
+        one, two, lower_tables = shared.value
+        models = [Model(*lower_tables, *m, np.zeros(1), np.zeros(1), np.ones(1)) for m in (one, two)]
         for part in parts:
             first, got = 0, part.column(0).to_pylist()
             for texts in batches(slices(part.column(1))):

@@ -112,3 +112,32 @@ def test_pooled_rows_do_not_depend_on_the_batch():
     for i, t in enumerate(texts):
         assert np.allclose(both[i], quality.pooled([t], table)[0], atol=1e-6)
     assert np.allclose(both[1, -3:], [2 / 5, 2 / 4, 0]) and np.allclose(both[5, -3:], [1 / 4, 1 / 3, 1])
+
+
+def test_sequences_are_counted_exactly(spark):
+    """More distinct sequences than 2^19, and more than 64 characters before one."""
+    random = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = [" ".join("".join(r) for r in letters[random.integers(26, size=(4000, 8))]) for _ in range(100)]
+    texts.append(" ".join(chr(0x4E00 + i) + "qj" for i in range(300)))
+    docs = spark.createDataFrame(list(enumerate(t.encode() for t in texts)), "doc_id long, text binary")
+    lower, top = toxicity.count_sequences(toxicity.count_words(docs, np.array([0, 1]), np.array([0, 1]), np.array([0, 0])))
+    words = {w for t in texts for w in t.split()}
+    ends = {}
+    for w in words:
+        padded = " " * 8 + w + " "
+        for i in range(8, len(padded)):
+            ends.setdefault(padded[i - 5 : i + 1], set()).add(padded[i - 6])
+    k, n = lower.column("k").to_numpy(), lower.column("n").to_numpy()
+    assert len(ends) > 1 << 19 and sorted(n[k == 4]) == sorted(map(len, ends.values()))
+    assert n[k == 1].max() >= 300
+    trained = [texts[g].split() for g in (0, 1)]
+    assert [sum(top.column(c).to_pylist()) for c in ("c0", "c2")] == [sum(len(w) + 1 for w in t) for t in trained]
+
+
+def test_index_finds_every_key_and_no_other():
+    keys = np.unique(toxicity.mix(np.arange(5000, dtype=np.uint64)))
+    index = toxicity.Index(keys)
+    assert np.array_equal(index.find(keys), np.arange(len(keys)))
+    assert (index.find(np.append(keys[:-1] + np.uint64(1), np.uint64((1 << 64) - 1))) == len(keys)).all()
+    assert (toxicity.Index(keys[:0]).find(keys) == 0).all()
