@@ -27,6 +27,12 @@ TABLES = 16
 #: Buckets searched in each table: at least MIN_PROBES, and so many that about
 #: MIN_SEARCHED vectors stand in all of them together (small tables are searched whole).
 MIN_PROBES, MIN_SEARCHED = 4, 10_000
+#: At least so many with buckets named by one, two and three axes. On vectors spread evenly
+#: in 64 dimensions the last two find 0.98 of the ten nearest at 2^21 (brute force) and
+#: 0.975 at 2^28 (simulated neighbours).
+LEVEL_PROBES = (MIN_PROBES, 64, 512)
+#: Scores of buckets held at once while probes are chosen.
+SCORES = 1 << 21
 #: Vectors of one bucket in one task.
 CHUNK = 65_536
 SEED = 20_240_101
@@ -156,7 +162,7 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
         return (2 << max(1, dim - 1).bit_length()) ** levels
 
     def count(dim: int) -> int:
-        return min(size(dim), asked_probes or max(MIN_PROBES**levels, -(-size(dim) * MIN_SEARCHED // (tables * max(n, 1)))))
+        return min(size(dim), asked_probes or max(*LEVEL_PROBES[:levels], MIN_PROBES**levels, -(-size(dim) * MIN_SEARCHED // (tables * max(n, 1)))))
 
     def code(dim: int, t: int, bucket: np.ndarray) -> np.ndarray:
         return bucket * tables + t + (np.int64(dim) << 44)
@@ -174,10 +180,14 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
 
     def probing(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for ids, x in _matrices(part, kind):
-                for t in range(tables):
-                    c = code(x.shape[1], t, probes(x, signs(x.shape[1])[t], count(x.shape[1])))
-                    yield pa.record_batch([pa.array(c.ravel()), pa.array([i.tobytes() for i in np.repeat(ids, c.shape[1])], pa.binary()), pa.array([v.tobytes() for v in np.repeat(x, c.shape[1], axis=0)], pa.binary())], names=["code", "ids", "x"])
+            for every, vectors in _matrices(part, kind):
+                dim = vectors.shape[1]
+                step = max(1, SCORES // (count(dim) * (2 << max(1, dim - 1).bit_length())))
+                for at in range(0, len(vectors), step):
+                    ids, x = every[at : at + step], vectors[at : at + step]
+                    for t in range(tables):
+                        c = code(dim, t, probes(x, signs(dim)[t], count(dim)))
+                        yield pa.record_batch([pa.array(c.ravel()), pa.array([i.tobytes() for i in np.repeat(ids, c.shape[1])], pa.binary()), pa.array([v.tobytes() for v in np.repeat(x, c.shape[1], axis=0)], pa.binary())], names=["code", "ids", "x"])
 
     indexed = distinct.select("rep", "v").mapInArrow(hashed, "code long, n int, ids binary, x binary")
     asking = keys.mapInArrow(probing, "code long, ids binary, x binary")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from parsefold.llm import ann
@@ -69,3 +70,20 @@ def test_odd_vectors_take_no_part(spark):
 def test_hadamard_is_orthogonal():
     h = ann.hadamard(np.eye(16, dtype=np.float32))
     assert np.array_equal(h @ h.T, 16 * np.eye(16))
+
+
+@pytest.mark.parametrize("levels,cosine", [(2, 0.537), (3, 0.622)])
+def test_recall_with_buckets_of_several_axes(spark, monkeypatch, levels, cosine):
+    """Queries with ten neighbours as near as the nearest of 2^21 (2^28) vectors spread
+    evenly; MIN_SEARCHED adds no probes there."""
+    monkeypatch.setattr(ann, "MIN_SEARCHED", 1)
+    random = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    q = unit(random.normal(size=(30, 64)))
+    away = random.normal(size=(30, 10, 64))
+    away = unit(away - (away * q[:, None]).sum(2, keepdims=True) * q[:, None])
+    near = cosine * q[:, None] + np.sqrt(1 - cosine**2) * away
+    x = np.concatenate([q, near.reshape(-1, 64), unit(random.normal(size=(200, 64)))]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, F.col("vec_id") < 30, levels=levels).collect()}
+    assert sum((i, 30 + 10 * i + j) in got for i in range(30) for j in range(10)) >= 0.9 * 300
