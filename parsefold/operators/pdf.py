@@ -19,7 +19,7 @@ def join_items(items: Column) -> Column:
 
     def add(a: Column, r: Column) -> Column:
         last = a["last"]
-        loose = last.isNotNull() & ~a["text"].rlike(rf"{v.S}\z") & ~r["str"].rlike(rf"^{v.S}")
+        loose = last.isNotNull() & ~F.substring(a["text"], -1, 1).rlike(v.S) & ~r["str"].rlike(rf"^{v.S}")
         down = F.abs(r["y"] - last["y"]) > F.greatest(F.lit(2.0), last["height"] * 0.4)
         apart = (r["dir"] == "rtl") | (r["x"] - (last["x"] + last["width"]) > F.greatest(F.lit(0.5), last["height"] * 0.08))
         between = F.when(~loose, "").when(down, "\n").when(apart, " ").otherwise("")
