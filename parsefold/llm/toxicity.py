@@ -8,10 +8,13 @@ two log-likelihoods; a document is described by length-normalised differences, o
 the whole text and over its most toxic stretches, and a logistic curve fitted on
 held-back halves of the training rows turns them into a probability.
 
-Continuation counts depend on the distinct words alone: these are gathered first, with
-their frequencies in training rows, and sequences are counted from them. A sequence is
-named by a hash of 64 bits and counts are exact: the model has an entry for each
-distinct sequence, so it grows as the corpus does.
+Continuation counts depend on the distinct words alone: these are gathered first, in a
+table that grows as the corpus does, with their frequencies in training rows, and
+sequences are counted from them. A sequence is named by a hash of 64 bits and counts are
+exact. A sequence of the top length that neither class has seen has the same shared
+probability in both, which cancels in the difference; so scoring needs one number for
+each sequence, and for each context, of the bounded sample of training rows, and the
+counts of all other sequences never reach the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parsefold.llm.common import batches, mix, offsets, segment_max, segment_sum, ship, slices, table, utf8, Words
+from parsefold.llm.common import batches, give_back, mix, offsets, segment_max, segment_sum, ship, slices, table, utf8, Words
 from parsefold.llm.labelled import logistic, standardise, training_labels
 
 #: Lengths of the sequences: those that both classes share, then each class's own.
@@ -36,23 +39,36 @@ PER_CLASS = 12_000
 #: A text is described by its mean, by its worst words (the mean of so many) and by its
 #: worst stretch of so many words.
 WORST, STRETCH = (1, 2, 3, 5), 8
-#: Words a worker remembers (their scores, or that they were sent) before it starts anew.
-REMEMBERED = 1 << 18
+#: Words of at most SHORT bytes a worker remembers (their scores, or that they were sent)
+#: before it starts anew.
+REMEMBERED, SHORT = 1 << 18, 64
+#: Bytes of words whose sequences are made at once.
+AT_ONCE = 1 << 20
+#: Probability that stands below the shortest sequences.
+FLOOR = 1e-5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SALT = [np.uint64((0xD1B54A32D192ED03 * (n + 1)) % (1 << 64)) for n in range(TOP + 1)]
 
 
-def sequences(words: Words, top: bool = True) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], np.ndarray, np.ndarray]:
-    """For each length: the key of the sequence that ends at each character of each
-    distinct word (a word is preceded by spaces and ends with one), and the key of
-    that sequence without its last character; the code point before a sequence, for
-    each length; the bounds of words among these characters."""
+@dataclass
+class Sequences:
+    """The sequences that end at each character of each distinct word (a word is preceded
+    by spaces and ends with one), by length."""
+
+    gram: dict[int, np.ndarray]  # the key of a sequence
+    context: dict[int, np.ndarray]  # the key of a sequence without its last character
+    before: dict[int, np.ndarray]  # the code point before it
+    last: np.ndarray  # its last code point
+    bounds: np.ndarray  # of words among these characters
+
+
+def sequences(words: Words, lengths: tuple[int, ...]) -> Sequences:
     points, bounds = words.characters()
-    n, lengths = len(words.distinct), np.diff(bounds)
+    n, sizes = len(words.distinct), np.diff(bounds)
     pad = TOP - 1  # one space is there already
-    new = offsets(lengths + pad)
+    new = offsets(sizes + pad)
     padded = np.full(new[-1], 32, np.uint64)
-    padded[np.arange(len(points)) + np.repeat((np.arange(n) + 1) * pad, lengths)] = points
+    padded[np.arange(len(points)) + np.repeat((np.arange(n) + 1) * pad, sizes)] = points
     real = np.ones(new[-1], bool)
     for k in range(pad + 1):
         real[new[:-1] + k] = False
@@ -60,17 +76,22 @@ def sequences(words: Words, top: bool = True) -> tuple[dict[int, np.ndarray], di
     value = padded * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)
     h, power = np.zeros(len(at), np.uint64), 1
     past = np.zeros(len(at), np.uint64)  # the same sequence without its last character
-    gram, context, before = {}, {}, {}
-    for k in range(TOP if top else max(SHARED)):
-        h = h + value[at - k] * np.uint64(power)
+    out = Sequences({}, {}, {}, padded[at], offsets(sizes - 1))
+    for k in range(max(lengths)):
+        term = value[at - k] * np.uint64(power)
+        h = h + term
         if k:
-            past = past + value[at - k] * np.uint64(power)
+            past = past + term
         power = power * int(_BASE) % (1 << 64)
-        if k + 1 in SHARED or k + 1 == TOP:
-            gram[k + 1], context[k + 1] = mix(h ^ _SALT[k]), mix(past ^ _SALT[k])
-            if k + 1 != TOP:
-                before[k + 1] = padded[at - k - 1]
-    return gram, context, before, offsets(lengths - 1)
+        if k + 1 in lengths:
+            out.gram[k + 1], out.context[k + 1] = mix(h ^ _SALT[k]), mix(past ^ _SALT[k])
+            out.before[k + 1] = padded[at - min(k + 1, TOP)]
+    return out
+
+
+def top_sequences(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = sequences(words, (TOP,))
+    return found.gram[TOP], found.context[TOP], found.bounds
 
 
 class Index:
@@ -99,15 +120,13 @@ class Index:
 
 @dataclass
 class Model:
-    """Tables of the interpolation: shorter sequences shared, the top by class. The last
-    entry of each is for a sequence or context that was not counted."""
-
-    gram: list[Index]  # for each shared length, then the top: the sequences
-    context: list[Index]  # and their contexts
-    add: list[np.ndarray]  # for each shared length: discounted continuation share of a sequence
-    keep: list[np.ndarray]  # and what its context leaves to the next shorter length
-    top_add: list[np.ndarray]  # by class
-    top_keep: list[np.ndarray]
+    """What each counted sequence of the top length adds to a word's score, and what a
+    counted context adds where a sequence was not counted; nothing is added elsewhere."""
+
+    gram: Index
+    delta: np.ndarray
+    context: Index
+    rest: np.ndarray
     weights: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
@@ -116,21 +135,20 @@ class Model:
         """log P(word | toxic) - log P(word | ordinary) for each distinct word."""
         known = self.__dict__.setdefault("known", {})
         new = [w for w in words.distinct if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = words.distinct
-            known.update(zip(new, self.scores(Words([b" ".join(new)])).tolist()))
-        return np.fromiter(map(known.__getitem__, words.distinct), np.float64, len(words.distinct))
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = words.distinct
+        now = dict(zip(new, self.scores(Words([b" ".join(new)])).tolist())) if new else {}
+        known.update((w, x) for w, x in now.items() if len(w) <= SHORT)
+        return np.fromiter((now[w] if w in now else known[w] for w in words.distinct), np.float64, len(words.distinct))
 
     def scores(self, words: Words) -> np.ndarray:
-        gram, context, _, bounds = sequences(words)
-        p = np.full(len(gram[TOP]), 1e-5, np.float32)
-        for k, n in enumerate(SHARED):
-            p = self.add[k][self.gram[k].find(gram[n])] + self.keep[k][self.context[k].find(context[n])] * p
-        at, of = self.gram[-1].find(gram[TOP]), self.context[-1].find(context[TOP])
-        ends = [self.top_add[c][at] + self.top_keep[c][of] * p for c in (0, 1)]
-        return np.add.reduceat(np.log(ends[1]).astype(np.float64) - np.log(ends[0]), bounds[:-1])
+        gram, context, bounds = top_sequences(words)
+        at = self.gram.find(gram)
+        out = self.delta[at].astype(np.float64)
+        rare = np.flatnonzero(at == len(self.gram.keys))
+        out[rare] = self.rest[self.context.find(context[rare])]
+        return np.add.reduceat(out, bounds[:-1])
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         """For each text: the mean difference over all words, over its worst words and over
@@ -155,16 +173,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def tables(bucket: np.ndarray, context: np.ndarray, often: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Discounted shares of sequences, and what each context leaves to shorter ones."""
-    often = often.astype(np.float32)
-    mass = np.bincount(context, often, size).astype(np.float32)
-    kinds = np.bincount(context, often > 0, size).astype(np.float32)
-    add = np.zeros(size, np.float32)
-    add[bucket] = np.maximum(often - DISCOUNT, 0) / np.maximum(mass[context], 1)
-    return add, np.where(mass > 0, DISCOUNT * kinds / np.maximum(mass, 1), 1).astype(np.float32)
-
-
 def count_words(docs: DataFrame, ids: np.ndarray, labels: np.ndarray, halves: np.ndarray) -> DataFrame:
     """word, c0..c3: the distinct words of all docs, and how often each stands in the four
     sets of training rows (label, half)."""
@@ -193,7 +201,7 @@ def count_words(docs: DataFrame, ids: np.ndarray, labels: np.ndarray, halves: np
                 if len(sent) > REMEMBERED:
                     sent.clear()
                 more = [i for i, (w, c) in enumerate(zip(words.distinct, often.any(axis=0).tolist())) if c or w not in sent]
-                sent.update(words.distinct)
+                sent.update(w for w in words.distinct if len(w) <= SHORT)
                 if more:
                     yield pa.record_batch([pa.array([words.distinct[i] for i in more], pa.binary()), *[pa.array(often[g][more]) for g in range(4)]], names=["word", "c0", "c1", "c2", "c3"])
 
@@ -203,83 +211,155 @@ def count_words(docs: DataFrame, ids: np.ndarray, labels: np.ndarray, halves: np
     return out
 
 
-def count_sequences(words: DataFrame) -> tuple[pa.Table, pa.Table]:
-    """(k, key, context, n) of the shared lengths, n distinct characters standing before a
-    sequence in distinct words; (key, context, c0..c3) of the top length, with its
-    frequencies in the four sets. One row for each distinct sequence reaches the driver."""
-
-    def shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            gram, past, before, _ = sequences(Words([b" ".join(part.column(0).to_pylist())]), top=False) if len(part) else ({}, {}, {}, None)
-            for k, n in enumerate(SHARED if gram else ()):
-                order = np.lexsort((before[n], gram[n]))
-                g, b = gram[n][order], before[n][order]
-                new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (b[1:] != b[:-1])))
-                yield pa.record_batch([pa.array(np.full(len(new), k, np.int32)), pa.array(g[new].view(np.int64)), pa.array(past[n][order][new].view(np.int64)), pa.array(b[new].astype(np.int32))], names=["k", "key", "context", "before"])
+def learned_sequences(words: DataFrame) -> tuple[pa.Table, pa.Table]:
+    """Of the words of training rows: (key, context, shorter, c0..c3) of the top length,
+    with frequencies in the four sets, and (k, key, context, shorter) of the shared
+    lengths; `shorter` is the key of the next shorter sequence with the same end. A
+    bounded sample's words, so their number is bounded."""
+    longest = SHARED[-1]
 
     def top(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            if not len(part):
-                continue
-            gram, past, _, bounds = sequences(Words([b" ".join(part.column(0).to_pylist())]))
-            often = [np.repeat(part.column(1 + g).to_numpy(), np.diff(bounds)) for g in range(4)]
-            yield pa.record_batch([pa.array(x[TOP].view(np.int64)) for x in (gram, past)] + [pa.array(c) for c in often], names=["key", "context", "c0", "c1", "c2", "c3"])
-
-    pairs = words.select("word").mapInArrow(shared, "k int, key long, context long, before int").distinct()
-    lower = pairs.groupBy("k", "key", "context").agg(F.count("*").cast("int").alias("n")).toArrow()
-    learned = words.where("c0 + c1 + c2 + c3 > 0").mapInArrow(top, "key long, context long, c0 long, c1 long, c2 long, c3 long")
-    return lower, learned.groupBy("key", "context").agg(*[F.sum(f"c{g}").alias(f"c{g}") for g in range(4)]).toArrow()
-
+            if len(part):
+                found = sequences(Words([b" ".join(part.column(0).to_pylist())]), (longest, TOP))
+                often = [np.repeat(part.column(1 + g).to_numpy(), np.diff(found.bounds)) for g in range(4)]
+                keys = (found.gram[TOP], found.context[TOP], found.gram[longest])
+                yield pa.record_batch([pa.array(x.view(np.int64)) for x in keys] + [pa.array(c) for c in often], names=["key", "context", "shorter", "c0", "c1", "c2", "c3"])
 
-def indexed(key: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, Index, Index, np.ndarray]:
-    """The order that sorts keys, an index of them and of distinct contexts, and the place
-    of each sorted key's context."""
+    def shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = sequences(Words([b" ".join(part.column(0).to_pylist())]), SHARED) if len(part) else None
+            for k, n in enumerate(SHARED if found else ()):
+                key, first = np.unique(found.gram[n], return_index=True)
+                shorter = found.gram[SHARED[k - 1]][first] if k else np.zeros(len(first), np.uint64)
+                columns = (key, found.context[n][first], shorter)
+                yield pa.record_batch([pa.array(np.full(len(first), k, np.int32)), *(pa.array(x.view(np.int64)) for x in columns)], names=["k", "key", "context", "shorter"])
+
+    sets = [f"c{g}" for g in range(4)]
+    learned = words.where("c0 + c1 + c2 + c3 > 0")
+    upper = learned.mapInArrow(top, "key long, context long, shorter long, c0 long, c1 long, c2 long, c3 long")
+    upper = upper.groupBy("key", "context", "shorter").agg(*[F.sum(c).cast("int").alias(c) for c in sets])
+    return upper.toArrow(), learned.select("word").mapInArrow(shared, "k int, key long, context long, shorter long").distinct().toArrow()
+
+
+def continuations(words: DataFrame, grams: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over the distinct words of ALL documents: in how many different surroundings each of
+    the given sequences stands (distinct characters before it), the same summed over all
+    sequences of each of the given contexts, and how many such sequences there are. Every
+    sequence of a given context is counted, given or not. Keys are sorted."""
+    spark = words.sparkSession
+    given = spark.sparkContext.broadcast((Index(grams), Index(contexts)))
+
+    def emitted(some: list[bytes]) -> Iterator[pa.RecordBatch]:
+        gram, context = given.value
+        found = sequences(Words([b" ".join(some)]), SHARED)
+        for n in SHARED:
+            # Equal surroundings of a sequence count once; what is equal here needn't travel twice.
+            once = np.unique(mix(found.gram[n] + found.before[n] * _BASE), return_index=True)[1]
+            h = context.find(found.context[n][once])
+            there = np.flatnonzero(h < len(contexts))
+            once, h = once[there], h[there]
+            g = gram.find(found.gram[n][once])
+            before = found.before[n][once].astype(np.int64)
+            other = -1 - (found.last[once].astype(np.int64) << 21 | before)
+            yield pa.record_batch([pa.array(h.astype(np.int32)), pa.array(np.where(g < len(grams), g << 21 | before, other))], names=["h", "z"])
+
+    def around(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        for part in parts:
+            for some in slices(part.column(0), 4096):
+                held += some
+                size += sum(map(len, some))
+                if size >= AT_ONCE:
+                    yield from emitted(held)
+                    held, size = [], 0
+        if held:
+            yield from emitted(held)
+        give_back()
+
+    pairs = words.select("word").mapInArrow(around, "h int, z long").repartition("h").distinct()
+    sequence = pairs.groupBy("h", F.shiftright("z", 21).alias("g")).agg(F.count("*").alias("n"))
+    got = sequence.groupBy("h", F.greatest("g", F.lit(-1).cast("long")).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
+    given.unpersist()
+    h, g, n, kinds = (got.column(c).to_numpy() for c in ("h", "g", "n", "kinds"))
+    often = np.zeros(len(grams))
+    often[g[g >= 0]] = n[g >= 0]
+    return often, np.bincount(h, n, len(contexts)), np.bincount(h, kinds, len(contexts))
+
+
+def shares(often: np.ndarray, of: np.ndarray, mass: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Discounted shares of sequences in their contexts `of`, and what each context leaves
+    to shorter ones (all, if nothing was counted there)."""
+    full = np.maximum(mass, 1)
+    return np.maximum(often - DISCOUNT, 0) / full[of], np.where(mass > 0, DISCOUNT * kinds / full, 1.0)
+
+
+def shared_probabilities(words: DataFrame, lower: pa.Table) -> tuple[Index, np.ndarray]:
+    """The interpolated probability of each sequence of the longest shared length."""
+    which, key, context, shorter = (lower.column(c).to_numpy() for c in ("k", "key", "context", "shorter"))
+    key, context, shorter = (x.view(np.uint64) for x in (key, context, shorter))
     order = np.argsort(key)
-    contexts, of = np.unique(context[order], return_inverse=True)
-    return order, Index(key[order]), Index(contexts), of
+    which, key, context, shorter = which[order], key[order], context[order], shorter[order]
+    contexts, of = np.unique(context, return_inverse=True)
+    add, keep = shares(*(lambda often, mass, kinds: (often, of, mass, kinds))(*continuations(words, key, contexts)))
+    p, every = np.full(len(key), FLOOR), Index(key)
+    for k in range(len(SHARED)):
+        own = np.flatnonzero(which == k)
+        p[own] = add[own] + keep[of[own]] * (p[every.find(shorter[own])] if k else FLOOR)
+    own = np.flatnonzero(which == len(SHARED) - 1)
+    return Index(key[own]), p[own]
 
 
-def shares(of: np.ndarray, contexts: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As tables, with a last entry for what was not counted."""
-    add, keep = tables(np.arange(len(of)), of, often, max(len(of), contexts))
-    return np.append(add[: len(of)], np.float32(0)), np.append(keep[:contexts], np.float32(1))
+def differences(often: list[np.ndarray], of: np.ndarray, contexts: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From frequencies by class: the log ratio of both classes' probabilities of each
+    sequence, and, by context, of every sequence that neither has seen: whatever its
+    shared probability, it cancels. The last entries, zero, are for what is not there."""
+    ends, left = [], []
+    for c in often:
+        add, keep = shares(c, of, np.bincount(of, c, contexts), np.bincount(of, c > 0, contexts))
+        ends.append(np.log(add + keep[of] * p))
+        left.append(np.log(keep))
+    return tuple(np.append(x[1] - x[0], 0.0).astype(np.float32) for x in (ends, left))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
     """Learn from docs and from labels(doc_id, toxic), of which at most `per_class` rows
-    of each class outside the held-out fold are used. Null texts count as empty. Without
-    a row of either class every score is the share of toxic rows (0 if none)."""
+    of each class outside the held-out fold are used.
+
+    Null texts count as empty; a text's length has no bound. Repeated rows count once in
+    what documents share and each in their class; rows without id are in no class. Without
+    a row of either class (an empty table, too) every score is the share of toxic rows (0
+    if none). Other columns are not read."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(F.col(text)).alias("text"))
     sampled, share = training_labels(labels, "toxic", per_class)
     chosen = sampled.toArrow()  # at most 2 * per_class rows
     ids, y = (chosen.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label"))
     halves = (mix(ids.view(np.uint64) if len(ids) else np.zeros(0, np.uint64)) & np.uint64(1)).astype(np.int64)
-    lower, upper = count_sequences(count_words(rows, ids, y, halves))
-    which, key, context, often = (lower.column(c).to_numpy() for c in ("k", "key", "context", "n"))
+    words = count_words(rows, ids, y, halves)
+    upper, lower = learned_sequences(words)
+    place, known = shared_probabilities(words, lower)
     del lower
-    gram, contexts, add, keep = [], [], [], []
-    for k in range(len(SHARED)):
-        own = np.flatnonzero(which == k)
-        order, g, h, of = indexed(key[own].view(np.uint64), context[own].view(np.uint64))
-        more = shares(of, len(h.keys), often[own][order])
-        for held, x in zip((gram, contexts, add, keep), (g, h, *more)):
-            held.append(x)
-    key, context, *c = (upper.column(x).to_numpy() for x in ("key", "context", "c0", "c1", "c2", "c3"))
-    order, g, h, of = indexed(key.view(np.uint64), context.view(np.uint64))
-    c = [x[order] for x in c]
-    gram.append(g)
-    contexts.append(h)
-    by_set = lambda sets: [list(x) for x in zip(*[shares(of, len(h.keys), sum(c[g] for g in own)) for own in sets])]
-    half = [by_set(((1 - k,), (3 - k,))) for k in (0, 1)]  # learned from the other half
-    lower_tables = (gram, contexts, add, keep)
-    model = Model(*lower_tables, *by_set(((0, 1), (2, 3))), np.zeros(1), np.zeros(1), np.ones(1))
-    shared = docs.sparkSession.sparkContext.broadcast([*half, lower_tables])
+    order = np.argsort(upper.column("key").to_numpy().view(np.uint64))
+    key, context, shorter = (upper.column(c).to_numpy()[order].view(np.uint64) for c in ("key", "context", "shorter"))
+    c = [upper.column(f"c{g}").to_numpy()[order] for g in range(4)]
+    del upper, order
+    p = known[place.find(shorter)]
+    contexts, of = np.unique(context, return_inverse=True)
+    del context, shorter, known, place
+    by_set = lambda ordinary, toxic: differences([sum(c[g] for g in s).astype(np.float64) for s in (ordinary, toxic)], of, len(contexts), p)
+    half = [by_set((1 - k,), (3 - k,)) for k in (0, 1)]  # learned from the other half
+    gram, context = Index(key), Index(contexts)
+    delta, rest = by_set((0, 1), (2, 3))
+    one = (np.zeros(1), np.zeros(1), np.ones(1))
+    model = Model(gram, delta, context, rest, *one)
+    shared = docs.sparkSession.sparkContext.broadcast((gram, context, half))
     label_of = dict(zip(ids.tolist(), zip(y.tolist(), halves.tolist())))
 
     def described(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, lower_tables = shared.value
-        models = [Model(*lower_tables, *m, np.zeros(1), np.zeros(1), np.ones(1)) for m in (one, two)]
+        gram, context, half = shared.value
+        models = [Model(gram, delta, context, rest, *one) for delta, rest in half]
         for part in parts:
             first, got = 0, part.column(0).to_pylist()
             for texts in batches(slices(part.column(1))):
