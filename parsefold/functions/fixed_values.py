@@ -101,6 +101,18 @@ IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "webp", "bmp", "gif"]
 IMAGE_TYPES = ["image/png", "image/jpeg", "image/webp", "image/bmp", "image/gif"]
 OCR_LANGUAGES = [("eng", "English"), ("spa", "Spanish"), ("fra", "French"), ("deu", "German"), ("por", "Portuguese"), ("chi_sim", "Chinese (simplified)"), ("jpn", "Japanese")]
 
+# Elements of a word-processing file that a reader of its raw text knows or
+# passes over in silence, by local name.
+WORD_ELEMENTS = {
+    "p", "r", "t", "tab", "br", "noBreakHyphen", "softHyphen", "sym", "fldChar", "fldSimple", "instrText", "hyperlink", "tbl", "tr", "tc", "bookmarkStart", "bookmarkEnd",
+    "footnoteReference", "endnoteReference", "commentReference", "footnoteRef", "endnoteRef", "annotationRef", "commentRangeStart", "commentRangeEnd",
+    "AlternateContent", "Choice", "Fallback", "sdt", "sdtPr", "sdtEndPr", "sdtContent", "ins", "del", "object", "smartTag", "drawing", "pict", "inline", "anchor",
+    "shape", "shapetype", "textbox", "txbxContent", "roundrect", "rect", "group", "imagedata", "lastRenderedPageBreak", "proofErr",
+    "pPr", "rPr", "tblPr", "tblGrid", "trPr", "tcPr", "sectPr",
+}
+#: Of these, whose contents are not looked at.
+WORD_CLOSED = {"pPr", "rPr", "tblPr", "tblGrid", "trPr", "tcPr", "sectPr", "sdtPr", "sdtEndPr", "del", "drawing", "pict", "object", "AlternateContent"}
+
 # Messages.
 TOO_LARGE = "This file is larger than 50 MB. Split or compress it before opening."
 TOO_MANY_PAGES = "This PDF has more than 250 pages. Split it into smaller PDFs first."
@@ -111,6 +123,12 @@ NOTE_NOT_DECODED = "PDF text could not be decoded. Used optical recognition."
 NOTE_INVALID_MAP = "The PDF contains invalid character mappings. Used optical recognition."
 NOTE_OPTICAL_FAILED = "Optical recognition failed. Kept the readable PDF text."
 WARN_IMAGE = "Text was recognized from an image. Check names, numbers, and reading order."
+WARN_LOW, WARN_LOW_PAGE, WARN_LOW_END = "Recognition confidence is low", " on page ", ". Review the text before listening."
+WARN_BLANK = "No readable text was found on page %s."
+WARN_OPTICAL = "Read %d of %d pages visually. Check names, numbers, and reading order. If characters are missing from the visible page, recognition cannot reliably restore them."
+KIND_OPTICAL, KIND_AUTOMATIC, KIND_EMBEDDED = "PDF · optical OCR", "PDF · automatic OCR", "PDF · embedded text"
+PASSWORD_EXCEPTION = "PasswordException"
+PASSWORD_PROTECTED = "This PDF is password-protected. Save an unlocked copy, then open it here."
 WARN_WORD = "Some Word content may not have been imported. Review the extracted text."
 ERROR_NOT_ALLOWED = "Your browser blocked audio. Press Read aloud again, or open this page in Safari, Chrome, or Edge."
 ERROR_VOICE = "This voice could not play. Choose another voice and press Read aloud."

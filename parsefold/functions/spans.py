@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parsefold.functions.arrays import sums_before
 from parsefold.functions.text import let
 
 
@@ -16,12 +17,10 @@ def match_spans(text: Column, pattern: str, groups: int = 0) -> Column:
     matches = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(groups + 1)]
     rows = F.arrays_zip(F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))).alias("b"), *[m.alias(f"m{g}") for g, m in enumerate(matches)])
 
-    def place(a: Column, r: Column) -> Column:
-        start = a["at"] + F.char_length(r["b"])
-        one = F.struct(start.alias("start"), r["m0"].alias("match"), *[r[f"m{g}"].alias(f"g{g}") for g in range(1, groups + 1)])
-        return F.struct((start + F.char_length(r["m0"])).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+    def placed(x: Column) -> Column:
+        def one(r: Column, at: Column) -> Column:
+            return F.struct((at + F.char_length(r["b"])).alias("start"), r["m0"].alias("match"), *[r[f"m{g}"].alias(f"g{g}") for g in range(1, groups + 1)])
 
-    kinds = "".join(f",g{g}:string" for g in range(1, groups + 1))
-    empty = F.array().cast(f"array<struct<start:int,match:string{kinds}>>")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return let(rows, lambda x: F.aggregate(x, first, place, lambda a: a["out"]))
+        return F.zip_with(x, sums_before(F.transform(x, lambda r: F.char_length(r["b"]) + F.char_length(r["m0"]))), one)
+
+    return let(rows, placed)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parsefold.functions import fixed_values as v
+from parsefold.functions.arrays import exploded, scan, sums_before
 from parsefold.functions.spans import match_spans
 from parsefold.functions.text import is_author_year, is_next_section, is_reference_entry, is_reference_heading, let, trim, trim_start
 
@@ -53,26 +54,25 @@ def page_lines(text: Column, page: Column) -> Column:
     """array<struct<page, start, end, text, blank_before, edge>> of the lines of a page
     that are not blank: trimmed text and its offsets; whether a blank line stands
     before it (after another line); whether it is the first or last of three or more."""
-    pieces = F.split(text, "\n", -1)
+    def placed(pieces: Column) -> Column:
+        def line(piece: Column, at: Column) -> Column:
+            start = at + F.char_length(piece) - F.char_length(trim_start(piece))
+            return let(trim(piece), lambda bare: F.struct(start.alias("start"), (start + F.char_length(bare)).alias("end"), bare.alias("text")))
 
-    def add(a: Column, piece: Column) -> Column:
-        def kept(bare: Column) -> Column:
-            start = a["at"] + F.char_length(piece) - F.char_length(trim_start(piece))
-            line = F.struct(page.cast("int").alias("page"), start.alias("start"), (start + F.char_length(bare)).alias("end"), bare.alias("text"), (a["gap"] & (F.size(a["out"]) > 0)).alias("blank_before"))
-            blank = bare == ""
-            return F.struct((a["at"] + F.char_length(piece) + 1).alias("at"), blank.alias("gap"), F.when(blank, a["out"]).otherwise(F.concat(a["out"], F.array(line))).alias("out"))
+        return F.zip_with(pieces, sums_before(F.transform(pieces, lambda x: F.char_length(x) + 1)), line)
 
-        return let(trim(piece), kept)
+    def with_gaps(every: Column) -> Column:
+        def gap(x: Column, i: Column) -> Column:
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.coalesce(F.get(every, i - 1)["text"] == "", F.lit(False)).alias("gap"))
 
-    empty = F.array().cast("array<struct<page:int,start:int,end:int,text:string,blank_before:boolean>>")
-    first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("gap"), empty.alias("out"))
-    lines = F.aggregate(pieces, first, add, lambda a: a["out"])
+        return F.filter(F.transform(every, gap), lambda x: x["text"] != "")
 
     def marked(found: Column) -> Column:
         many = F.size(found) >= 3
-        return F.transform(found, lambda x, i: F.struct(x["page"].alias("page"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), x["blank_before"].alias("blank_before"), (many & ((i == 0) | (i == F.size(found) - 1))).alias("edge")))
+        return F.transform(found, lambda x, i: F.struct(page.cast("int").alias("page"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), (x["gap"] & (i > 0)).alias("blank_before"), (many & ((i == 0) | (i == F.size(found) - 1))).alias("edge")))
 
-    return let(lines, marked)
+    lines = let(F.split(text, "\n", -1), placed)
+    return let(let(lines, with_gaps), marked)
 
 
 def lines_of(pages: Column) -> Column:
@@ -93,14 +93,10 @@ def in_references(lines: Column) -> Column:
 
         return F.transform(lines, flag)
 
-    def latch(a: Column, f: Column) -> Column:
-        now = f["open"] | (a["now"] & ~f["close"])
-        return F.struct(now.alias("now"), F.concat(a["out"], F.array(now)).alias("out"))
-
-    first = F.struct(F.lit(False).alias("now"), F.array().cast("array<boolean>").alias("out"))
     whole = let(F.transform(lines, lambda x: is_reference_entry(x["text"])), flags)
+    latched = scan(whole, F.lit(False), lambda now, f: f["open"] | (now & ~f["close"]), "boolean")
     any_heading = F.exists(lines, lambda x: is_reference_heading(x["text"]))
-    return F.when(any_heading, F.aggregate(whole, first, latch, lambda a: a["out"])).otherwise(F.transform(lines, lambda x: F.lit(False)))
+    return F.when(any_heading, latched).otherwise(F.transform(lines, lambda x: F.lit(False)))
 
 
 def line_spans(line: Column, rules: tuple[str, ...]) -> Column:
@@ -236,10 +232,15 @@ def resolve(spans: Column) -> Column:
 
     def keep(a: Column, s: Column) -> Column:
         free = (s["page"] != a["page"]) | (s["start"] >= a["end"])
-        return F.when(free, F.struct(s["page"].alias("page"), s["end"].alias("end"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a)
+        return F.struct(F.when(free, s["page"]).otherwise(a["page"]).alias("page"), F.when(free, s["end"]).otherwise(a["end"]).alias("end"), free.alias("kept"))
+
+    def kept(every: Column) -> Column:
+        first = F.struct(F.lit(-1).alias("page"), F.lit(0).alias("end"), F.lit(False).alias("kept"))
+        states = scan(every, first, keep, "struct<page:int,end:int,kept:boolean>")
+        both = F.filter(F.zip_with(every, states, lambda s, a: F.struct(s.alias("s"), a["kept"].alias("kept"))), lambda x: x["kept"])
+        return F.transform(both, lambda x: x["s"])
 
-    first = F.struct(F.lit(-1).alias("page"), F.lit(0).alias("end"), no_spans().alias("out"))
-    return F.aggregate(F.array_sort(spans, ordered), first, keep, lambda a: a["out"])
+    return let(F.array_sort(spans, ordered), kept)
 
 
 def with_id(spans: Column) -> Column:
@@ -258,4 +259,4 @@ def with_omissions(documents: DataFrame, pages: str = "pages", out: str = "omiss
 
 def omission_rows(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row for each omission of documents(key, omissions)."""
-    return documents.select(key, F.explode("omissions").alias("o")).select(key, "o.*")
+    return exploded(documents, F.col("omissions"), key)

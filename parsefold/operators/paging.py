@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parsefold.functions import fixed_values as v
+from parsefold.functions.shipping import ship
 from parsefold.functions.text import clean, trim, word_count
 
 # ECMAScript white space, which differs from Python's.
@@ -89,18 +90,21 @@ def _split(pages: pa.Array) -> pa.Array:
 
 def paginate(text: Column) -> Column:
     """array of pages of at most 5000 characters."""
+    ship()
     return _paginate(clean(text))
 
 
 def split_passages(pages: Column) -> Column:
     """array<struct<page, paragraph, start, end, text>> of passages of at most 240
     characters, with half-open offsets into the cleaned pages."""
+    ship()
     return _split(F.transform(pages, clean))
 
 
 def make_documents(rows: DataFrame, pages: str = "pages") -> DataFrame:
     """rows with cleaned `pages`, `passages`, `words` and `error` (null, or why there is
     no document; then passages is null). Blank pages keep their number."""
+    ship(rows.sparkSession)
     cleaned = rows.withColumn(pages, F.transform(F.coalesce(F.col(pages), F.array().cast("array<string>")), lambda p: clean(F.coalesce(p, F.lit("")))))
     joined = F.array_join(pages, "\n\n")
     error = F.when(trim(joined) == "", v.NO_TEXT).when(F.char_length(joined) > v.MAX_CHARACTERS, v.TOO_MANY_CHARACTERS)

@@ -59,7 +59,7 @@ def choose_source(mode: Column, embedded: Column, embedded_error: Column, optica
 
 
 def kind_label(mode: Column, optical_pages: Column) -> Column:
-    return F.when(mode == "optical", "PDF · optical OCR").when(optical_pages > 0, "PDF · automatic OCR").otherwise("PDF · embedded text")
+    return F.when(mode == "optical", v.KIND_OPTICAL).when(optical_pages > 0, v.KIND_AUTOMATIC).otherwise(v.KIND_EMBEDDED)
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
@@ -73,13 +73,14 @@ def read_pages(pages: DataFrame) -> DataFrame:
 
 def pdf_documents(read: DataFrame) -> DataFrame:
     """One row for each document of read_pages: pages in order, kind, warnings (what was
-    read optically first, then page by page: low confidence, note, no text), error."""
+    read optically first, then page by page: low confidence, note, no text), error. A
+    provider that meets a password gives a page with the error PasswordException."""
     page = (F.col("page") + 1).cast("string")
     many = F.col("n") > 1
     optical = F.col("source") == "optical"
-    low = F.when(optical & (F.col("confidence") < v.LOW_CONFIDENCE) & (trim(F.col("text")) != ""), F.concat(F.lit("Recognition confidence is low"), F.when(many, F.concat(F.lit(" on page "), page)).otherwise(""), F.lit(". Review the text before listening.")))
+    low = F.when(optical & (F.col("confidence") < v.LOW_CONFIDENCE) & (trim(F.col("text")) != ""), F.concat(F.lit(v.WARN_LOW), F.when(many, F.concat(F.lit(v.WARN_LOW_PAGE), page)).otherwise(""), F.lit(v.WARN_LOW_END)))
     note = F.when(F.col("note").isNotNull(), F.concat(F.lit("Page "), page, F.lit(": "), F.col("note")))
-    blank = F.when(F.col("text") == "", F.concat(F.lit("No readable text was found on page "), page, F.lit(".")))
+    blank = F.when(F.col("text") == "", F.format_string(v.WARN_BLANK, page))
     counted = read.withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
     said = counted.withColumn("said", F.filter(F.array(low, note, blank), lambda x: x.isNotNull()))
     by_doc = said.groupBy("doc_id").agg(
@@ -90,9 +91,9 @@ def pdf_documents(read: DataFrame) -> DataFrame:
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("page"))).alias("page_error"),
         F.max("running").alias("characters"),
     )
-    summary = F.when(F.col("optical_pages") > 0, F.format_string("Read %d of %d pages visually. Check names, numbers, and reading order. If characters are missing from the visible page, recognition cannot reliably restore them.", F.col("optical_pages"), F.col("n")))
+    summary = F.when(F.col("optical_pages") > 0, F.format_string(v.WARN_OPTICAL, F.col("optical_pages"), F.col("n")))
     warnings = F.concat(F.filter(F.array(summary), lambda x: x.isNotNull()), F.flatten(F.transform("p", lambda x: x["said"])))
-    error = F.when(F.col("n") > v.MAX_PDF_PAGES, v.TOO_MANY_PAGES).when(F.col("page_error").isNotNull(), F.col("page_error")).when(F.col("characters") > v.MAX_CHARACTERS, v.TOO_MANY_CHARACTERS)
+    error = F.when(F.col("n") > v.MAX_PDF_PAGES, v.TOO_MANY_PAGES).when(F.col("page_error") == v.PASSWORD_EXCEPTION, v.PASSWORD_PROTECTED).when(F.col("page_error").isNotNull(), F.col("page_error")).when(F.col("characters") > v.MAX_CHARACTERS, v.TOO_MANY_CHARACTERS)
     return by_doc.select("doc_id", kind_label(F.col("mode"), F.col("optical_pages")).alias("kind"), F.transform("p", lambda x: F.coalesce(x["text"], F.lit(""))).alias("pages"), warnings.alias("warnings"), error.alias("error"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parsefold.functions import fixed_values as v
+from parsefold.functions.arrays import exploded, fresh
 from parsefold.functions.text import has_letter_or_digit, let, squash
 
 
@@ -38,7 +39,10 @@ def spoken(passage: Column, spans: Column) -> Column:
 def speech_queue(passages: Column, spans: Column) -> Column:
     """array<struct<queue_index, source_index, page, text>>: what is left of each passage,
     numbered from 0; source_index is its place among all passages."""
-    said = F.transform(passages, lambda p, i: F.struct(i.alias("source_index"), p["page"].alias("page"), spoken(p, spans).alias("text")))
+    last = F.coalesce(F.array_max(F.transform(passages, lambda p: p["page"])), F.lit(-1))
+    pages = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    by_page = F.transform(pages, lambda n: F.filter(spans, lambda o: o["page"] == n))
+    said = let(by_page, lambda own: F.transform(passages, lambda p, i: F.struct(i.alias("source_index"), p["page"].alias("page"), spoken(p, F.get(own, p["page"])).alias("text"))))
     left = F.filter(said, lambda s: s["text"].isNotNull())
     return let(left, lambda x: F.transform(x, lambda s, i: F.struct(i.alias("queue_index"), s["source_index"].alias("source_index"), s["page"].alias("page"), s["text"].alias("text"))))
 
@@ -52,13 +56,14 @@ def speech_plan(documents: DataFrame, enabled: Column | bool = True, restored: C
     those that touch no passage) and spoken_words."""
     restored = F.lit(None).cast("array<string>") if restored is None else restored
     on = F.lit(enabled) if isinstance(enabled, bool) else enabled
-    stood = documents.withColumn("__active", active(F.col("omissions"), on, restored))
-    planned = stood.withColumn("queue", let(F.col("__active"), lambda a: speech_queue(F.col("passages"), a)))
-    return planned.withColumn("skipped", F.size("__active")).withColumn("spoken_words", queue_words(F.col("queue"))).drop("__active")
+    held = fresh(documents, "__active")
+    stood = documents.withColumn(held, active(F.col("omissions"), on, restored))
+    planned = stood.withColumn("queue", let(F.col(held), lambda a: speech_queue(F.col("passages"), a)))
+    return planned.withColumn("skipped", F.size(held)).withColumn("spoken_words", queue_words(F.col("queue"))).drop(held)
 
 
 def queue_rows(planned: DataFrame, key: str = "doc_id") -> DataFrame:
-    return planned.select(key, F.explode("queue").alias("q")).select(key, "q.*")
+    return exploded(planned, F.col("queue"), key)
 
 
 def overlapping(passages: DataFrame, omissions: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parsefold.functions import fixed_values as v
+from parsefold.functions.arrays import exploded, fresh
 from parsefold.functions.text import let, trim
 from parsefold.operators.paging import make_documents
 
 
 def selected(documents: DataFrame, wanted, fallback: DataFrame, key: str = "doc_id") -> DataFrame:
     """The document asked for, or the fallback where there is none."""
-    ranked = documents.where(F.col(key) == wanted).withColumn("__n", F.lit(0)).unionByName(fallback.withColumn("__n", F.lit(1)))
-    return ranked.orderBy("__n").limit(1).drop("__n")
+    n = fresh(documents, "__n")
+    ranked = documents.where(F.col(key) == wanted).withColumn(n, F.lit(0)).unionByName(fallback.withColumn(n, F.lit(1)))
+    return ranked.orderBy(n).limit(1).drop(n)
 
 
 def on_page(rows: DataFrame, page) -> DataFrame:
@@ -29,7 +31,8 @@ def paragraph_groups(passages: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, page, group, paragraph, first, last): runs of passages of one paragraph."""
     w = Window.partitionBy(key, "page").orderBy("source_index")
     changed = F.coalesce((F.col("paragraph") != F.lag("paragraph").over(w)).cast("int"), F.lit(1))
-    marked = passages.withColumn("__c", changed).withColumn("group", F.sum("__c").over(w) - 1)
+    c = fresh(passages, "__c")
+    marked = passages.withColumn(c, changed).withColumn("group", F.sum(c).over(w) - 1)
     return marked.groupBy(key, "page", "group").agg(F.min("paragraph").alias("paragraph"), F.min("source_index").alias("first"), F.max("source_index").alias("last"))
 
 
@@ -67,7 +70,7 @@ def library(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 def skipped_passages(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each passage, and whether the queue passes it over."""
     inside = let(F.transform("queue", lambda q: q["source_index"]), lambda ids: F.transform("passages", lambda p, i: F.struct(i.alias("source_index"), p["page"].alias("page"), (~F.array_contains(ids, i)).alias("skipped"))))
-    return documents.select(key, F.explode(inside).alias("x")).select(key, "x.*")
+    return exploded(documents, inside, key)
 
 
 def edit_page(documents: DataFrame, key_value, page, text: Column, key: str = "doc_id") -> DataFrame:
@@ -116,6 +119,20 @@ def unique_errors(errors: DataFrame) -> DataFrame:
     return by.select("ord", "message", "value")
 
 
-def series_label(config: Column, key: Column, payload_key: Column) -> Column:
-    """The label of a chart series: by the key its payload names, else by its own."""
-    return F.coalesce(F.try_element_at(config, payload_key), F.try_element_at(config, key))
+def shown_series(items: DataFrame, item: str = "item") -> DataFrame:
+    """The items of a chart that have a label at all: those of type 'none' are dropped."""
+    return items.where(F.coalesce(F.try_element_at(F.col(item), F.lit("type")) != "none", F.lit(True)))
+
+
+def series_key(item: Column, name_key: str | None = None) -> Column:
+    """What an item (a map of its fields) is looked up by: the name key asked for, its name,
+    its data key, or 'value'."""
+    fields = [F.try_element_at(item, F.lit(n)) for n in ("name", "dataKey")]
+    return F.coalesce(F.lit(name_key).cast("string"), *fields, F.lit("value"))
+
+
+def series_label(config: Column, key: Column, item: Column, payload: Column) -> Column:
+    """The label of a chart series: the item's field of that key, or else its payload's,
+    names an entry of config; where there is none, the key itself does."""
+    named = F.coalesce(F.try_element_at(item, key), F.try_element_at(payload, key), key)
+    return F.coalesce(F.try_element_at(config, named), F.try_element_at(config, key))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from typing import Any
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -16,11 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parsefold.functions import fixed_values as v
+from parsefold.functions.shipping import ship
 from parsefold.functions.text import extension, file_stem, title_or_default, trim
 from parsefold.operators.paging import make_documents, paginate
 from parsefold.operators.pdf import pdf_documents, read_pages
+from parsefold.streaming.tasks import Signal, abortable, run_job
 
-SAMPLE_PAGE = "Some pages are best heard. Press play and follow the words at your own pace.\n\nThis page is here so that a voice can be tried before anything is opened."
+SAMPLE_PAGE = "Some pages are best heard. Press play and follow the words at your own pace.\n\nThis page is here so that a voice can be tried before anything is opened.\n\nOpen a file of your own, and it takes the place of this one."
 
 
 def route(name: Column, mime: Column) -> Column:
@@ -55,10 +58,24 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def _docx_body(content: bytes):
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+
+
+def docx_is_whole(content: bytes) -> bool:
+    """Whether a Word file's body holds nothing but what a reader of its raw text knows."""
+
+    def known(node) -> bool:
+        name = node.tag.rpartition("}")[2]
+        return name in v.WORD_ELEMENTS and (name in v.WORD_CLOSED or all(known(c) for c in node))
+
+    body = _docx_body(content)
+    return body is None or all(known(c) for c in body)
+
+
 def docx_text(content: bytes) -> str:
     """The raw text of a Word file: each paragraph followed by a blank line, tabs kept."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
 
     def text(node) -> str:
         if node.tag == f"{_W}t":
@@ -68,21 +85,50 @@ def docx_text(content: bytes) -> str:
         inner = "".join(text(c) for c in node)
         return inner + "\n\n" if node.tag == f"{_W}p" else inner
 
-    body = root.find(f"{_W}body")
+    body = _docx_body(content)
     return text(body) if body is not None else ""
 
 
 def _decoded_docx(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        texts, errors = [], []
+        rows = []
         for content in part.column(1).to_pylist():
             try:
-                texts.append(docx_text(content))
-                errors.append(None)
+                rows.append((docx_text(content), docx_is_whole(content), None))
             except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
-                texts.append(None)
-                errors.append(f"This Word file could not be opened: {e}")
-        yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "text", "error"])
+                rows.append((None, True, f"This Word file could not be opened: {e}"))
+        texts, whole, errors = zip(*rows) if rows else ((), (), ())
+        yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), pa.array(whole, pa.bool_()), pa.array(errors, pa.string())], names=["path", "text", "whole", "error"])
+
+
+def image_recogniser(make_engine: Callable[[], Any], timeout_ms: int = v.TASK_TIMEOUT_MS) -> Callable[[DataFrame], DataFrame]:
+    """An image_provider for import_files. make_engine() gives an object with
+    recognize(bytes) -> (text, confidence) and close(); each task makes one before its first
+    image, uses it for all, and closes it. An image that fails or takes longer than
+    timeout_ms becomes an error, and after a time-out the engine is made anew."""
+
+    def recognised(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = None
+        try:
+            for part in parts:
+                rows = []
+                for content in part.column(1).to_pylist():
+                    try:
+                        engine = engine or make_engine()
+                        text, confidence = abortable(lambda: engine.recognize(content), Signal(), timeout_ms)
+                        rows.append((text, float(confidence), None))
+                    except Exception as e:  # noqa: BLE001  becomes the file's error
+                        rows.append((None, None, str(e) or type(e).__name__))
+                        if isinstance(e, TimeoutError):
+                            engine.close()
+                            engine = None
+                texts, confidences, errors = zip(*rows) if rows else ((), (), ())
+                yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), pa.array(confidences, pa.float64()), pa.array(errors, pa.string())], names=["path", "text", "confidence", "error"])
+        finally:
+            if engine is not None:
+                engine.close()
+
+    return lambda files: files.select("path", "content").mapInArrow(recognised, "path string, text string, confidence double, error string")
 
 
 def import_files(files: DataFrame, pdf_provider: Callable[[DataFrame], DataFrame] | None = None, image_provider: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -92,6 +138,7 @@ def import_files(files: DataFrame, pdf_provider: Callable[[DataFrame], DataFrame
     pdf_provider turns (path, content) into page rows for read_pages with `path` as
     doc_id; image_provider into (path, text, confidence, error). Without one, such files
     are refused with an error."""
+    ship(files.sparkSession)
     routed = files.withColumn("route", route(F.col("name"), F.col("mime")))
     empty = F.array().cast("array<string>")
     null = F.lit(None).cast("string")
@@ -104,9 +151,9 @@ def import_files(files: DataFrame, pdf_provider: Callable[[DataFrame], DataFrame
     parts = [row(routed.where("error IS NOT NULL"), null, empty, empty, F.col("error"))]
     text = F.make_valid_utf8(F.col("content").cast("string"))
     parts.append(row(good.where("route = 'text'"), F.lit("Text"), paginate(F.regexp_replace(text, r"^\x{FEFF}", ""))))
-    word = good.where("route = 'docx'").select("path", "content").mapInArrow(_decoded_docx, "path string, text string, error string")
+    word = good.where("route = 'docx'").select("path", "content").mapInArrow(_decoded_docx, "path string, text string, whole boolean, error string")
     word = good.where("route = 'docx'").select("path", "name").join(word, "path")
-    parts.append(row(word, F.lit("Word"), F.coalesce(paginate(F.col("text")), empty), empty, F.col("error")))
+    parts.append(row(word, F.lit("Word"), F.coalesce(paginate(F.col("text")), empty), F.when(F.col("whole"), empty).otherwise(F.array(F.lit(v.WARN_WORD))), F.col("error")))
     for kind, provider, label in (("pdf", pdf_provider, "PDF"), ("image", image_provider, "Image · text recognized")):
         own = good.where(F.col("route") == kind)
         if provider is None:
@@ -116,7 +163,7 @@ def import_files(files: DataFrame, pdf_provider: Callable[[DataFrame], DataFrame
             parts.append(own.select("path", "name").join(read, "path").select(*columns))
         else:
             read = own.select("path", "name").join(provider(own.select("path", "content")), "path")
-            low = F.when((F.col("confidence") < v.LOW_CONFIDENCE) & (trim(F.col("text")) != ""), "Recognition confidence is low. Review the text before listening.")
+            low = F.when((F.col("confidence") < v.LOW_CONFIDENCE) & (trim(F.col("text")) != ""), v.WARN_LOW + v.WARN_LOW_END)
             warnings = F.filter(F.array(F.lit(v.WARN_IMAGE), low), lambda x: x.isNotNull())
             parts.append(row(read, F.lit(label), F.coalesce(paginate(F.col("text")), empty), warnings, F.col("error")))
     rows = parts[0]
@@ -127,6 +174,22 @@ def import_files(files: DataFrame, pdf_provider: Callable[[DataFrame], DataFrame
     return made.withColumn("error", error).withColumn("doc_id", F.xxhash64("path")).drop("refused")
 
 
+def import_to(path: str, files: DataFrame, signal: Signal | None = None, progress: Callable[[str, int], None] | None = None, timeout_ms: int | None = None, **providers: Callable[[DataFrame], DataFrame]) -> str | None:
+    """Import files and write the documents that were opened under path as Parquet; what
+    failed is reported, a line for each file, or None. Setting the signal, from another
+    thread, ends the running tasks and raises Cancelled; so does the time limit, with
+    TimeoutError. progress(message, percent) follows the share of tasks done."""
+    spark, made = files.sparkSession, import_files(files, **providers)
+
+    def work() -> str | None:
+        made.write.mode("overwrite").parquet(f"{path}/all")
+        done = spark.read.schema(made.schema).parquet(f"{path}/all")
+        done.where("error IS NULL").write.mode("overwrite").parquet(f"{path}/documents")
+        return failure_report(done).first()["report"] or None
+
+    return run_job(spark, work, signal or Signal(), progress, "Opening files…", timeout_ms)
+
+
 def add_text(texts: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
     """Pasted texts as documents; a blank title is replaced, a text too long refused."""
     guarded = texts.withColumn("refused", F.when(F.char_length(text) > v.MAX_CHARACTERS, v.TOO_MANY_CHARACTERS))

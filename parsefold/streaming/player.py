@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parsefold.functions import fixed_values as v
+from parsefold.functions.shipping import ship
 
 LOG = "session_key string, seq long, command string, number double, text string, epoch long"
 OUTPUT = "session_key string, seq long, step int, index int, status string, epoch long, said int, message string"
@@ -110,6 +111,7 @@ def _played(player: Player, key: str, log: pd.DataFrame) -> pd.DataFrame:
 
 def play_log(log: DataFrame) -> DataFrame:
     """What each session emits, from its whole log in order of seq."""
+    ship(log.sparkSession)
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _played(Player(), key[0], rows)
@@ -120,6 +122,7 @@ def play_log(log: DataFrame) -> DataFrame:
 def play_stream(log: DataFrame) -> DataFrame:
     """The same for a streaming log: a session's state is kept between batches; inside a
     batch its rows are taken in order of seq."""
+    ship(log.sparkSession)
 
     def one(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         player = Player(*state.get) if state.exists else Player()

@@ -84,6 +84,88 @@ def test_files_are_imported_and_failures_reported(spark, tmp_path):
     assert read["e.pdf"].pages == [DENSE] and read["e.pdf"].kind == "PDF · embedded text"
 
 
+def test_word_files_with_unknown_parts_are_marked(spark, tmp_path):
+    whole = docx(["One"])
+    assert imports.docx_is_whole(whole)
+    with zipfile.ZipFile(io.BytesIO(whole)) as z:
+        xml = z.read("word/document.xml").decode().replace("<w:body>", "<w:body><w:altChunk/>")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", xml)
+    (tmp_path / "a.docx").write_bytes(whole)
+    (tmp_path / "b.docx").write_bytes(out.getvalue())
+    got = {r.name: r.warnings for r in imports.import_files(imports.scan_files(spark, str(tmp_path))).collect()}
+    assert got == {"a.docx": [], "b.docx": [v.WARN_WORD]}
+
+
+class Engine:
+    """Reads an image as its own bytes; tells how many engines a task made."""
+
+    def __init__(self):
+        self.uses = 0
+
+    def recognize(self, content):
+        import time
+
+        self.uses += 1
+        if content == b"bad":
+            raise ValueError("unreadable")
+        if content == b"slow":
+            time.sleep(5)
+        return f"{content.decode()} seen as number {self.uses}", 40.0 if content == b"dim" else 95.0
+
+    def close(self):
+        self.uses = -100
+
+
+def test_images_are_recognised_by_one_engine_a_task(spark, tmp_path):
+    for name, content in (("a.png", b"clear"), ("b.png", b"dim"), ("c.png", b"bad"), ("d.png", b"slow"), ("e.png", b"last")):
+        (tmp_path / name).write_bytes(content)
+    files = imports.scan_files(spark, str(tmp_path)).coalesce(1).orderBy("path")
+    got = {r.name: r for r in imports.import_files(files, image_provider=imports.image_recogniser(Engine, 500)).collect()}
+    assert got["a.png"].warnings == [v.WARN_IMAGE] and got["a.png"].kind == "Image · text recognized"
+    assert got["b.png"].warnings == [v.WARN_IMAGE, v.WARN_LOW + v.WARN_LOW_END]
+    assert got["c.png"].error == "unreadable" and got["d.png"].error == v.TIMED_OUT
+    numbers = [int(got[n].pages[0].split()[-1]) for n in ("a.png", "b.png", "e.png")]
+    assert numbers == [1, 2, 1]  # a new engine follows a time-out
+
+
+def test_a_password_is_named(spark):
+    rows = [("d", 0, "auto", None, v.PASSWORD_EXCEPTION, None, v.PASSWORD_EXCEPTION, None)]
+    pages = spark.createDataFrame(rows, "doc_id string, page int, mode string, embedded string, embedded_error string, optical string, optical_error string, confidence double")
+    assert pdf.pdf_documents(pdf.read_pages(pages)).first().error == v.PASSWORD_PROTECTED
+
+
+def test_imports_are_cancelled_timed_and_followed(spark, tmp_path):
+    import threading
+    import time
+
+    from parsefold.streaming.tasks import Cancelled, Signal, run_job
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_bytes(b"Hello")
+    (tmp_path / "in/b.exe").write_bytes(b"x")
+    told = []
+    report = imports.import_to(str(tmp_path / "out"), imports.scan_files(spark, str(tmp_path / "in")), progress=lambda m, p: told.append(p))
+    assert report == f"b.exe: {v.UNSUPPORTED}" and [r.name for r in spark.read.parquet(str(tmp_path / "out/documents")).collect()] == ["a.txt"]
+    assert told[0] == 0 and told[-1] == 100 and all(0 <= p <= 100 for p in told)
+
+    slow = lambda: spark.range(8, numPartitions=8).mapInPandas(lambda parts: (time.sleep(30) or p for p in parts), "id long").collect()
+    for signal, limit, error in ((Signal(), None, Cancelled), (Signal(), 1500, TimeoutError)):
+        if limit is None:
+            threading.Timer(1.5, signal.abort).start()
+        told.clear()
+        began = time.time()
+        with pytest.raises(error):
+            run_job(spark, slow, signal, lambda m, p: told.append(p), timeout_ms=limit)
+        assert time.time() - began < 15 and told and 100 not in told
+        for _ in range(100):
+            if not spark.sparkContext.statusTracker().getActiveJobsIds():
+                break
+            time.sleep(0.1)
+        assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
 def test_text_is_saved_by_file_name(spark, tmp_path):
     docs = spark.createDataFrame([("x.y.pdf", ["One.", "Two."])], "name string, pages array<string>")
     imports.save_text(docs, str(tmp_path / "out"))
