@@ -7,7 +7,6 @@ import ctypes
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parsefold.functions.arrays import fresh  # noqa: F401  for the operators
+from parsefold.functions.shipping import ship  # noqa: F401
+
 #: The characters that separate words, fixed by the word pattern [^\x20\x09-\x0D]+.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -28,11 +30,14 @@ def session() -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or, where that is
-    unset (one machine, tests), a temporary one that is set as checkpoint folder."""
+    unset on one machine (tests), a temporary one that is set as checkpoint folder. A
+    cluster without the setting is refused."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         named = getattr(sc, "_parsefold_shared", None)
+        if named is None and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if named is None:
             named = tempfile.mkdtemp(prefix="parsefold-")
             sc._parsefold_shared = named
@@ -41,25 +46,6 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each SparkContext."""
-    sc = spark.sparkContext
-    if getattr(sc, "_parsefold_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(root)
-    folder = tempfile.mkdtemp(prefix="parsefold-code-")
-    path = os.path.join(folder, f"{name}_code_{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for at, _, files in os.walk(root):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    full = os.path.join(at, f)
-                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
-    sc.addPyFile(path)
-    sc._parsefold_shipped = True
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/parsefold/{name}-{uuid.uuid4().hex}"
 
@@ -74,14 +60,6 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def utf8(text: Column) -> Column:
     """The bytes of a text; null counts as empty."""
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")

@@ -207,24 +207,14 @@ def count_words(docs: DataFrame, ids: np.ndarray, labels: np.ndarray, halves: np
 
     found = docs.mapInArrow(counted, "word binary, c0 long, c1 long, c2 long, c3 long")
     out = table(found.groupBy("word").agg(*[F.sum(f"c{g}").alias(f"c{g}") for g in range(4)]), "words")
-    known.unpersist()
+    known.destroy()
     return out
 
 
-def learned_sequences(words: DataFrame) -> tuple[pa.Table, pa.Table]:
-    """Of the words of training rows: (key, context, shorter, c0..c3) of the top length,
-    with frequencies in the four sets, and (k, key, context, shorter) of the shared
-    lengths; `shorter` is the key of the next shorter sequence with the same end. A
-    bounded sample's words, so their number is bounded."""
-    longest = SHARED[-1]
-
-    def top(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if len(part):
-                found = sequences(Words([b" ".join(part.column(0).to_pylist())]), (longest, TOP))
-                often = [np.repeat(part.column(1 + g).to_numpy(), np.diff(found.bounds)) for g in range(4)]
-                keys = (found.gram[TOP], found.context[TOP], found.gram[longest])
-                yield pa.record_batch([pa.array(x.view(np.int64)) for x in keys] + [pa.array(c) for c in often], names=["key", "context", "shorter", "c0", "c1", "c2", "c3"])
+def learned_lengths(words: DataFrame) -> pa.Table:
+    """(k, key, context, shorter) of each sequence of the shared lengths in words of training
+    rows; `shorter` is the key of the next shorter sequence with the same end. They are a
+    bounded sample's words, so the number of rows is bounded."""
 
     def shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -235,11 +225,26 @@ def learned_sequences(words: DataFrame) -> tuple[pa.Table, pa.Table]:
                 columns = (key, found.context[n][first], shorter)
                 yield pa.record_batch([pa.array(np.full(len(first), k, np.int32)), *(pa.array(x.view(np.int64)) for x in columns)], names=["k", "key", "context", "shorter"])
 
+    learned = words.where("c0 + c1 + c2 + c3 > 0").select("word")
+    return learned.mapInArrow(shared, "k int, key long, context long, shorter long").distinct().toArrow()
+
+
+def learned_top(words: DataFrame) -> pa.Table:
+    """(key, context, shorter, c0..c3) of the top length, with frequencies in the four sets;
+    bounded likewise."""
+    longest = SHARED[-1]
+
+    def top(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if len(part):
+                found = sequences(Words([b" ".join(part.column(0).to_pylist())]), (longest, TOP))
+                often = [np.repeat(part.column(1 + g).to_numpy(), np.diff(found.bounds)) for g in range(4)]
+                keys = (found.gram[TOP], found.context[TOP], found.gram[longest])
+                yield pa.record_batch([pa.array(x.view(np.int64)) for x in keys] + [pa.array(c) for c in often], names=["key", "context", "shorter", "c0", "c1", "c2", "c3"])
+
     sets = [f"c{g}" for g in range(4)]
-    learned = words.where("c0 + c1 + c2 + c3 > 0")
-    upper = learned.mapInArrow(top, "key long, context long, shorter long, c0 long, c1 long, c2 long, c3 long")
-    upper = upper.groupBy("key", "context", "shorter").agg(*[F.sum(c).cast("int").alias(c) for c in sets])
-    return upper.toArrow(), learned.select("word").mapInArrow(shared, "k int, key long, context long, shorter long").distinct().toArrow()
+    upper = words.where("c0 + c1 + c2 + c3 > 0").mapInArrow(top, "key long, context long, shorter long, c0 long, c1 long, c2 long, c3 long")
+    return upper.groupBy("key", "context", "shorter").agg(*[F.sum(c).cast("int").alias(c) for c in sets]).toArrow()
 
 
 def continuations(words: DataFrame, grams: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,7 +286,7 @@ def continuations(words: DataFrame, grams: np.ndarray, contexts: np.ndarray) ->
     pairs = words.select("word").mapInArrow(around, "h int, z long").repartition("h").distinct()
     sequence = pairs.groupBy("h", F.shiftright("z", 21).alias("g")).agg(F.count("*").alias("n"))
     got = sequence.groupBy("h", F.greatest("g", F.lit(-1).cast("long")).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
-    given.unpersist()
+    given.destroy()
     h, g, n, kinds = (got.column(c).to_numpy() for c in ("h", "g", "n", "kinds"))
     often = np.zeros(len(grams))
     often[g[g >= 0]] = n[g >= 0]
@@ -295,32 +300,44 @@ def shares(often: np.ndarray, of: np.ndarray, mass: np.ndarray, kinds: np.ndarra
     return np.maximum(often - DISCOUNT, 0) / full[of], np.where(mass > 0, DISCOUNT * kinds / full, 1.0)
 
 
-def shared_probabilities(words: DataFrame, lower: pa.Table) -> tuple[Index, np.ndarray]:
+def shared_probabilities(words: DataFrame) -> tuple[Index, np.ndarray]:
     """The interpolated probability of each sequence of the longest shared length."""
-    which, key, context, shorter = (lower.column(c).to_numpy() for c in ("k", "key", "context", "shorter"))
-    key, context, shorter = (x.view(np.uint64) for x in (key, context, shorter))
-    order = np.argsort(key)
-    which, key, context, shorter = which[order], key[order], context[order], shorter[order]
-    contexts, of = np.unique(context, return_inverse=True)
-    add, keep = shares(*(lambda often, mass, kinds: (often, of, mass, kinds))(*continuations(words, key, contexts)))
-    p, every = np.full(len(key), FLOOR), Index(key)
+    lower = learned_lengths(words)
+    order = np.argsort(_keys(lower, "key"))
+    key, which = _keys(lower, "key")[order], lower.column("k").to_numpy().astype(np.int8)[order]
+    contexts, of = np.unique(_keys(lower, "context")[order], return_inverse=True)
+    every, of = Index(key), of.astype(np.int32)
+    shorter = every.find(_keys(lower, "shorter")[order]).astype(np.int32)
+    del lower, order
+    give_back()
+    often, mass, kinds = continuations(words, key, contexts)
+    add, keep = shares(often, of, mass, kinds)
+    p = np.full(len(key), FLOOR)
     for k in range(len(SHARED)):
         own = np.flatnonzero(which == k)
-        p[own] = add[own] + keep[of[own]] * (p[every.find(shorter[own])] if k else FLOOR)
+        p[own] = add[own] + keep[of[own]] * (p[shorter[own]] if k else FLOOR)
     own = np.flatnonzero(which == len(SHARED) - 1)
     return Index(key[own]), p[own]
 
 
+def _keys(found: pa.Table, name: str) -> np.ndarray:
+    return found.column(name).to_numpy().view(np.uint64)
+
+
 def differences(often: list[np.ndarray], of: np.ndarray, contexts: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From frequencies by class: the log ratio of both classes' probabilities of each
     sequence, and, by context, of every sequence that neither has seen: whatever its
     shared probability, it cancels. The last entries, zero, are for what is not there."""
-    ends, left = [], []
-    for c in often:
-        add, keep = shares(c, of, np.bincount(of, c, contexts), np.bincount(of, c > 0, contexts))
-        ends.append(np.log(add + keep[of] * p))
-        left.append(np.log(keep))
-    return tuple(np.append(x[1] - x[0], 0.0).astype(np.float32) for x in (ends, left))
+    ends, left = np.zeros(len(of) + 1, np.float32), np.zeros(contexts + 1, np.float32)
+    for c, sign in zip(often, (-1, 1)):
+        mass = np.bincount(of, c, contexts)
+        kinds = np.bincount(of[c > 0], minlength=contexts)
+        left[:-1] += sign * np.log(np.where(mass > 0, DISCOUNT * kinds / np.maximum(mass, 1), 1.0))
+        for low in range(0, len(of), 1 << 18):  # in parts, for the driver's memory
+            some = slice(low, min(low + (1 << 18), len(of)))
+            add, keep = shares(c[some], of[some], mass, kinds)
+            ends[some] += sign * np.log(add + keep[of[some]] * p[some])
+    return ends, left
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
@@ -338,20 +355,23 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ids, y = (chosen.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label"))
     halves = (mix(ids.view(np.uint64) if len(ids) else np.zeros(0, np.uint64)) & np.uint64(1)).astype(np.int64)
     words = count_words(rows, ids, y, halves)
-    upper, lower = learned_sequences(words)
-    place, known = shared_probabilities(words, lower)
-    del lower
-    order = np.argsort(upper.column("key").to_numpy().view(np.uint64))
-    key, context, shorter = (upper.column(c).to_numpy()[order].view(np.uint64) for c in ("key", "context", "shorter"))
+    place, known = shared_probabilities(words)
+    give_back()
+    upper = learned_top(words)
+    order = np.argsort(_keys(upper, "key"))
+    key = _keys(upper, "key")[order]
+    contexts, of = np.unique(_keys(upper, "context")[order], return_inverse=True)
+    of = of.astype(np.int32)
+    p = known[place.find(_keys(upper, "shorter")[order])].astype(np.float32)
     c = [upper.column(f"c{g}").to_numpy()[order] for g in range(4)]
-    del upper, order
-    p = known[place.find(shorter)]
-    contexts, of = np.unique(context, return_inverse=True)
-    del context, shorter, known, place
-    by_set = lambda ordinary, toxic: differences([sum(c[g] for g in s).astype(np.float64) for s in (ordinary, toxic)], of, len(contexts), p)
+    del upper, order, known, place
+    give_back()
+    by_set = lambda ordinary, toxic: differences([sum(c[g] for g in s) for s in (ordinary, toxic)], of, len(contexts), p)
     half = [by_set((1 - k,), (3 - k,)) for k in (0, 1)]  # learned from the other half
     gram, context = Index(key), Index(contexts)
     delta, rest = by_set((0, 1), (2, 3))
+    del c, of, p, key
+    give_back()
     one = (np.zeros(1), np.zeros(1), np.ones(1))
     model = Model(gram, delta, context, rest, *one)
     shared = docs.sparkSession.sparkContext.broadcast((gram, context, half))
@@ -373,7 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     train = rows.join(F.broadcast(sampled.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
     got = train.mapInArrow(described, "label int, f array<double>").toArrow()
-    shared.unpersist()
+    shared.destroy()
     x = np.array(got.column("f").to_pylist(), dtype=np.float64).reshape(len(got), len(WORST) + 3)
     t = got.column("label").to_numpy().astype(np.float64)
     if not 0 < t.sum() < len(t):

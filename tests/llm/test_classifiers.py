@@ -26,7 +26,7 @@ def held_out(spark, query, column):
 
 def test_toxicity_on_held_out_rows(spark):
     area, p, y = held_out(spark, op4_toxicity, "toxic")
-    assert area > 0.75 and (p[y == 0] == 0).mean() > 0.95
+    assert area > 0.75 and (p[y == 0] == 0).mean() > 0.95 and (p[y == 1] == 1).mean() > 0.6
 
 
 def test_quality_on_held_out_rows(spark):
@@ -63,24 +63,73 @@ def test_held_out_and_odd_labels_are_not_sampled(spark, odd_labels):
     assert training_labels(odd_labels, "quality", 1)[0].count() == 2
 
 
-def test_kneser_ney_tables_equal_plain_counts():
-    bucket, context, often = np.array([0, 1, 2, 5]), np.array([3, 3, 4, 3]), np.array([2, 1, 4, 0])
-    add, keep = toxicity.tables(bucket, context, often, 8)
-    assert np.allclose(add[[0, 1, 2, 5]], [1.25 / 3, 0.25 / 3, 3.25 / 4, 0])
-    assert np.allclose(keep, [1, 1, 1, 0.75 * 2 / 3, 0.75 * 1 / 4, 1, 1, 1])
-    # What a context gives to its sequences and what it leaves add up to one.
-    assert np.isclose(add[[0, 1, 5]].sum() + keep[3], 1) and np.isclose(add[2] + keep[4], 1)
+def plain_word_scores(texts, classes, words):
+    """Class-conditional Kneser-Ney over characters with plain dictionaries and every count
+    of the corpus: log P(word | toxic) - log P(word | ordinary)."""
+    pad = " " * toxicity.TOP
+    shown = lambda w: pad + w.decode() + " "
+    ends = lambda w: range(len(pad), len(pad) + len(w.decode()) + 1)
+    before = {}
+    for w in {w for t in texts for w in t.lower().split()}:
+        for i in ends(w):
+            for n in toxicity.SHARED:
+                before.setdefault(shown(w)[i + 1 - n : i + 1], set()).add(shown(w)[i - n])
+    top = [{}, {}]
+    for t, c in zip(texts, classes):
+        for w in t.lower().split() if c is not None else ():
+            for i in ends(w):
+                g = shown(w)[i + 1 - toxicity.TOP : i + 1]
+                top[c][g] = top[c].get(g, 0) + 1
+
+    def interpolated(counts, g, below):
+        own = [n for s, n in counts.items() if s[:-1] == g[:-1] and len(s) == len(g)]
+        if not own:
+            return below
+        return max(counts.get(g, 0) - toxicity.DISCOUNT, 0) / sum(own) + toxicity.DISCOUNT * len(own) / sum(own) * below
+
+    kinds = {g: len(b) for g, b in before.items()}
+
+    def score(w):
+        total = 0.0
+        for i in ends(w):
+            p = toxicity.FLOOR
+            for n in toxicity.SHARED:
+                p = interpolated(kinds, shown(w)[i + 1 - n : i + 1], p)
+            g = shown(w)[i + 1 - toxicity.TOP : i + 1]
+            total += np.log(interpolated(top[1], g, p)) - np.log(interpolated(top[0], g, p))
+        return total
+
+    return [score(w) for w in words]
+
+
+def test_word_scores_equal_plain_kneser_ney(spark):
+    """Also of words and sequences that no class has seen, and of words of other documents,
+    whose characters stand before and after those of the classes."""
+    toxic = ["you idiot and clown", "idiots of a clownish kind you", "what an idiot", "clown clown", "éa clown"]
+    plain = ["a kind day and an idea", "what a day", "clowns are kind of a show", "an idea of you", "éa day"]
+    other = ["idio idea idolish bidiot xidiom clowd", "dayday kindness zclown qdayz unkind", "", None, "Idiotic ideal"]
+    rows = [(i, t) for i, t in enumerate(toxic * 4 + plain * 4 + other)]
+    labels = [(i, int(i < 20)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    taken = {r.doc_id for r in docs.where(crc_fold(F.col("doc_id")) != 0).collect()}
+    texts = [(t or "").encode() for _, t in rows]
+    classes = [int(i < 20) if i < 40 and i in taken else None for i, _ in rows]
+    words = [w.encode() for w in ("idiot", "clown", "day", "idiotically", "bidiot", "kind", "xyz", "éa", "clownx", "dayday", "unheard", "i")]
+    want = plain_word_scores(texts, classes, words)
+    assert np.allclose(model.scores(Words([b" ".join(words)])), want, atol=1e-5) and max(want) > 1 and min(want) < -1
 
 
 def test_sequences_of_words_equal_plain_hashes():
     texts = [b"abc de abc", "éx".encode()]
     words = Words(texts)
     assert words.distinct == [b"abc", b"de", "éx".encode()] and words.ids.tolist() == [0, 1, 0, 2]
-    gram, context, before, bounds = toxicity.sequences(words)
-    assert bounds.tolist() == [0, 4, 7, 10]
-    same = toxicity.sequences(Words([b"zabc"]))
-    assert gram[2][2] == same[0][2][3] and gram[2][2] != gram[2][1]  # 'bc' in both words
-    assert context[2][2] == same[1][2][3] and gram[3][2] == same[0][3][3] and gram[4][2] != same[0][4][3]
+    found = toxicity.sequences(words, (2, 3, 4))
+    assert found.bounds.tolist() == [0, 4, 7, 10]
+    same = toxicity.sequences(Words([b"zabc"]), (2, 3, 4))
+    assert found.gram[2][2] == same.gram[2][3] and found.gram[2][2] != found.gram[2][1]  # 'bc' in both words
+    assert found.context[2][2] == same.context[2][3] and found.gram[3][2] == same.gram[3][3] and found.gram[4][2] != same.gram[4][3]
+    assert chr(found.before[2][2]) == "a" and chr(found.last[2]) == "c"
 
 
 def test_logistic_recovers_a_boundary():
@@ -114,25 +163,36 @@ def test_pooled_rows_do_not_depend_on_the_batch():
     assert np.allclose(both[1, -3:], [2 / 5, 2 / 4, 0]) and np.allclose(both[5, -3:], [1 / 4, 1 / 3, 1])
 
 
-def test_sequences_are_counted_exactly(spark):
+def test_continuations_are_counted_over_all_documents(spark):
     """More distinct sequences than 2^19, and more than 64 characters before one."""
     random = np.random.default_rng(5)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
     texts = [" ".join("".join(r) for r in letters[random.integers(26, size=(4000, 8))]) for _ in range(100)]
     texts.append(" ".join(chr(0x4E00 + i) + "qj" for i in range(300)))
     docs = spark.createDataFrame(list(enumerate(t.encode() for t in texts)), "doc_id long, text binary")
-    lower, top = toxicity.count_sequences(toxicity.count_words(docs, np.array([0, 1]), np.array([0, 1]), np.array([0, 0])))
-    words = {w for t in texts for w in t.split()}
-    ends = {}
-    for w in words:
-        padded = " " * 8 + w + " "
-        for i in range(8, len(padded)):
-            ends.setdefault(padded[i - 5 : i + 1], set()).add(padded[i - 6])
-    k, n = lower.column("k").to_numpy(), lower.column("n").to_numpy()
-    assert len(ends) > 1 << 19 and sorted(n[k == 4]) == sorted(map(len, ends.values()))
-    assert n[k == 1].max() >= 300
-    trained = [texts[g].split() for g in (0, 1)]
-    assert [sum(top.column(c).to_pylist()) for c in ("c0", "c2")] == [sum(len(w) + 1 for w in t) for t in trained]
+    words = toxicity.count_words(docs, np.array([0, 100]), np.array([0, 1]), np.array([0, 0]))
+    upper, lower = toxicity.learned_top(words), toxicity.learned_lengths(words)
+    learned = {w for t in (texts[0], texts[100]) for w in t.split()}
+    n = 6
+    last = lambda w: [(" " * 8 + w + " ")[i - n + 1 : i + 2] for i in range(7, 8 + len(w))]  # noqa: E731  one before, then the sequence
+    given = {s[1:] for w in learned for s in last(w)}
+    before, around = {}, {}
+    for w in {w for t in texts for w in t.split()}:
+        for s in last(w):
+            before.setdefault(s[1:], set()).add(s[0])
+            around.setdefault(s[1:-1], set()).add((s[0], s[-1]))
+    assert len(before) > 1 << 19
+    which, key, context = (lower.column(c).to_numpy() for c in ("k", "key", "context"))
+    key, context = np.sort(key.view(np.uint64)), np.unique(context.view(np.uint64))
+    often, mass, kinds = toxicity.continuations(words, key, context)
+    own = np.isin(key, lower.column("key").to_numpy().view(np.uint64)[which == 4])
+    assert sorted(often[own]) == sorted(len(before[g]) for g in given) and often.max() >= 300
+    own = np.isin(context, lower.column("context").to_numpy().view(np.uint64)[which == 4])
+    contexts = {g[:-1] for g in given}
+    assert sorted(mass[own]) == sorted(len(around[h]) for h in contexts)
+    assert sorted(kinds[own]) == sorted(len({x for _, x in around[h]}) for h in contexts)
+    trained = [texts[g].split() for g in (0, 100)]
+    assert [sum(upper.column(c).to_pylist()) for c in ("c0", "c2")] == [sum(len(w) + 1 for w in t) for t in trained]
 
 
 def test_index_finds_every_key_and_no_other():
