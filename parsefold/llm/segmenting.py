@@ -119,9 +119,10 @@ def parts_of(text: str) -> list[str]:
 
 
 class Lattices:
-    """The lattices of the distinct words of a batch. Node n is a character of a word;
-    edge (n, L) is the piece of L + 1 characters from there, with probability
-    chance[n, L] of being taken by a path that comes to n."""
+    """The lattices of the distinct words of a batch. Node n is a character of a word; its
+    edges, one for each piece that begins there, are begin[n] to begin[n + 1] of the arrays
+    size (characters of the piece, less one), piece (-1: bytes of a character that has no
+    piece) and chance (of being taken by a path that comes to the node)."""
 
     def __init__(self, vocabulary: Vocabulary, distinct: list[str]):
         joined = " ".join(distinct) + " "
@@ -129,63 +130,111 @@ class Lattices:
         ends = np.flatnonzero(points == 32)
         self.first = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
         self.length = ends - self.first
-        n, wide = len(points), vocabulary.longest
+        n = len(points)
         value = points.astype(np.uint64) * _Q + _ONE
-        piece = np.full((n, wide), -1, np.int32)
-        alive, h, power, used = np.flatnonzero(points != 32), np.zeros(n, np.uint64), 1, 1
-        for k in range(wide):
+        nodes, pieces = [], []  # by size of the piece
+        alive, h, power = np.flatnonzero(points != 32), np.zeros(n, np.uint64), 1
+        for k in range(vocabulary.longest):
             alive = alive[alive + k < n]
             if not len(alive):
                 break
             h[alive] += value[alive + k] * np.uint64(power)
             power = power * _P % (1 << 64)
             found = vocabulary.find(h[alive])
-            piece[alive, k] = np.maximum(found, -1)
-            if (found >= 0).any():
-                used = k + 1
+            hit = np.flatnonzero(found >= 0) if k else np.arange(len(alive))  # every character has an edge of its own
+            nodes.append(alive[hit])
+            pieces.append(np.maximum(found[hit], -1))
             alive = alive[found >= -1]
-        wide = used
-        self.piece = piece = np.ascontiguousarray(piece[:, :wide])
+        while len(nodes) > 1 and not len(nodes[-1]):
+            nodes, pieces = nodes[:-1], pieces[:-1]
+        self.wide = wide = len(nodes)
+        chances = [np.where(x >= 0, vocabulary.chance[x], np.exp(_FALLBACK)) for x in pieces]
         left = np.repeat(ends, self.length + 1) - np.arange(n)
-        order = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[order], np.arange(left.max() + 2))
-        span = np.repeat(self.length, self.length + 1)
-        reach = np.arange(1, wide + 1)
-        bare = (piece[:, 0] < 0) & (points != 32)
-        chance = vocabulary.chance[piece]
-        chance[bare, 0] = np.exp(_FALLBACK)
+        long_ = np.repeat(self.length, self.length + 1) > _SHORT
         below = np.ones(n + wide)  # weight of all paths from a node to its word's end
+        short = [np.flatnonzero(~long_[x]) for x in nodes]
+        left8 = np.minimum(left, 255).astype(np.uint8)
+        by_left = [x[np.argsort(left8[nodes[k][x]], kind="stable")] for k, x in enumerate(short)]
+        cuts = [np.searchsorted(left8[nodes[k][x]], np.arange(_SHORT + 2)) for k, x in enumerate(by_left)]
         for d in range(1, min(left.max(), _SHORT) + 1):
-            at = order[cuts[d] : cuts[d + 1]]
-            at = at[span[at] <= _SHORT] if d + 1 < len(cuts) else at
-            w = min(d, wide)
-            total = np.zeros(len(at))
-            for k in range(w):  # one by one, so that sums do not depend on the batch's width
-                total += chance[at, k] * below[at + (k + 1)]
-            below[at] = total
+            for k in range(min(d, wide)):  # in one order, so that sums do not depend on the batch
+                own = by_left[k][cuts[k][d] : cuts[k][d + 1]]
+                if len(own):
+                    at = nodes[k][own]
+                    weight = chances[k][own] * below[at + (k + 1)]
+                    below[at] = below[at] + weight if k else weight
         for k in range(wide):
-            chance[:, k] *= below[k + 1 : k + 1 + n]
+            chances[k] *= below[nodes[k] + (k + 1)]
         if self.length.max() > _SHORT:  # in long words weights would vanish: the same in logs
-            weight = np.where(piece >= 0, vocabulary.score[piece], -np.inf)
-            weight[bare, 0] = _FALLBACK
-            logs = np.zeros(n + wide)
-            for d in range(1, left.max() + 1):
-                at = order[cuts[d] : cuts[d + 1]]
-                at = at[span[at] > _SHORT]
-                w = min(d, wide)
-                total = weight[at, :w] + logs[at[:, None] + reach[:w]]
-                top = total.max(axis=1)
-                logs[at] = top + np.log(np.cumsum(np.exp(total - top[:, None]), axis=1)[:, -1])
-            at = np.flatnonzero((span > _SHORT) & (points != 32))
-            chance[at] = np.exp(weight[at] + logs[at[:, None] + reach] - logs[at, None])
-        chance[points == 32] = 0
-        total = chance[:, 0].copy()
-        for k in range(1, wide):
-            total += chance[:, k]
-        chance /= np.maximum(total, 1e-300)[:, None]
-        self.chance = chance
-        self.upto = np.cumsum(chance, axis=1, dtype=np.float32)
-        self.last = wide - 1 - (chance[:, ::-1] > 0).argmax(axis=1)
+            self._long_words(vocabulary, np.flatnonzero(long_ & (points != 32)), left, nodes, pieces, chances)
+        total = np.zeros(n)
+        many = np.zeros(n, np.int64)
+        for k in range(wide):
+            total[nodes[k]] += chances[k]
+            many[nodes[k]] += 1
+        self.begin = offsets(many)
+        edges = int(self.begin[-1])
+        self.size, self.piece = np.empty(edges, np.int8), np.empty(edges, np.int32)
+        self.chance, self.upto = np.empty(edges), np.empty(edges, np.float32)
+        total = np.maximum(total, 1e-300)
+        so_far, place = np.zeros(n, np.float32), self.begin[:-1].copy()
+        for k in range(wide):
+            at = nodes[k]
+            to = place[at]
+            place[at] += 1
+            chance = chances[k] / total[at]
+            so_far[at] += chance.astype(np.float32)
+            self.size[to], self.piece[to], self.chance[to], self.upto[to] = k, pieces[k], chance, so_far[at]
+        self.upto[self.begin[1:][many > 0] - 1] = 2.0  # the last takes what rounding leaves
+
+    def _long_words(self, vocabulary: Vocabulary, own: np.ndarray, left: np.ndarray, nodes: list[np.ndarray], pieces: list[np.ndarray], chances: list[np.ndarray]) -> None:
+        """Put the chances of edges of long words, computed in logs, in their places."""
+        row = np.full(len(left), -1, np.int64)
+        row[own] = np.arange(len(own))
+        weight = np.full((len(own), self.wide), -np.inf)
+        mine = [np.flatnonzero(row[x] >= 0) for x in nodes]
+        for k, at in enumerate(mine):
+            x = pieces[k][at]
+            weight[row[nodes[k][at]], k] = np.where(x >= 0, vocabulary.score[x], _FALLBACK)
+        reach, logs = np.arange(1, self.wide + 1), np.zeros(len(left) + self.wide)
+        order = own[np.argsort(left[own], kind="stable")]
+        cuts = np.searchsorted(left[order], np.arange(left[order[-1]] + 2))
+        for d in range(1, len(cuts) - 1):
+            at = order[cuts[d] : cuts[d + 1]]
+            w = min(d, self.wide)
+            total = weight[row[at], :w] + logs[at[:, None] + reach[:w]]
+            top = total.max(axis=1)
+            logs[at] = top + np.log(np.cumsum(np.exp(total - top[:, None]), axis=1)[:, -1])
+        for k, at in enumerate(mine):
+            x = nodes[k][at]
+            chances[k][at] = np.exp(weight[row[x], k] + logs[x + (k + 1)] - logs[x])
+
+    def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge of each node that its number in (0, 1) falls on."""
+        edge = self.begin[node]
+        open_ = np.flatnonzero(self.upto[edge] <= u)
+        while len(open_):
+            edge[open_] += 1
+            open_ = open_[self.upto[edge[open_]] <= u[open_]]
+        return edge
+
+    def rows(self, node: np.ndarray) -> np.ndarray:
+        """The chances of each node's edges by size, zero where there is none."""
+        many = self.begin[node + 1] - self.begin[node]
+        row = np.repeat(np.arange(len(node)), many)
+        edge = np.arange(len(row)) + np.repeat(self.begin[node] - (np.cumsum(many) - many), many)
+        out = np.zeros((len(node), self.wide))
+        out[row, self.size[edge]] = self.chance[edge]
+        return out
+
+    def edge_of(self, node: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The edge of each node that has the given size."""
+        edge = self.begin[node]
+        open_ = np.flatnonzero(self.size[edge] != size)
+        while len(open_):
+            edge[open_] += 1
+            open_ = open_[self.size[edge[open_]] != size[open_]]
+        return edge
 
 
 def _stream(key: np.ndarray, stream: int) -> np.ndarray:
@@ -215,32 +264,36 @@ class Paths:
 
     def __init__(self, word: np.ndarray, node: np.ndarray, edge: np.ndarray, log: np.ndarray, bounds: np.ndarray):
         self.word, self.node, self.edge, self.bounds = word, node, edge, bounds
-        # Sums are of integers, so that they do not depend on what stands before a text.
-        self.log = np.rint(log.astype(np.float64) * _FINE).astype(np.int64)
-        self.total = offsets(self.log)
+        # Logs are integers (see _FINE), so that sums do not depend on what stands before a text.
+        self.log = log
+        self.total = offsets(log)
+        self.owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))  # the text of each step
+
+
+def _logs(chance: np.ndarray) -> np.ndarray:
+    return np.rint(np.log(np.maximum(chance, 1e-300)) * _FINE).astype(np.int64)
 
 
-def _walk(lattices: Lattices, word_node: np.ndarray, word_end: np.ndarray, word: np.ndarray, kind: np.ndarray, key: np.ndarray, stream: int, place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Draw steps from the given nodes to their words' ends: (word, node, edge, chance),
-    ordered by word, then node."""
-    found = []
-    base = mix(_stream(key, stream) + place.astype(np.uint64) * np.uint64(_P))
-    live, at = np.arange(len(word)), word_node.copy()
+def _walk(lattices: Lattices, word_node: np.ndarray, word_end: np.ndarray, word: np.ndarray, kind: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Draw steps from the given nodes to their words' ends: (word, node, edge), in order of
+    the words given, then of nodes. `base` holds each word's own hash."""
+    found, many = [], np.zeros(len(word), np.int64)
+    first = lattices.first[kind]
+    live = np.flatnonzero(word_node < word_end)
+    at, ends, first, base = word_node[live], word_end[live], first[live], base[live]
     while len(live):
-        open_ = at < word_end[live]
-        live, at = live[open_], at[open_]
-        if not len(live):
-            break
-        u = _unit(mix(base[live] + (at - lattices.first[kind[live]]).astype(np.uint64) * _Q))
-        edge = np.minimum((lattices.upto[at] <= u[:, None]).sum(axis=1), lattices.last[at])
-        found.append((live, at, edge, lattices.chance[at, edge]))
-        at = at + edge + 1
-    if not found:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, np.zeros(0)
-    live, node, edge, p = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(live * (int(word_end.max()) + 1) + node, kind="stable")
-    return word[live[order]], node[order], edge[order], p[order]
+        edge = lattices.choose(at, _unit(mix(base + (at - first).astype(np.uint64) * _Q)))
+        found.append((live, at, edge))
+        many[live] += 1
+        at = at + lattices.size[edge] + 1
+        open_ = np.flatnonzero(at < ends)
+        live, at, ends, first, base = live[open_], at[open_], ends[open_], first[open_], base[open_]
+    total = offsets(many)
+    node, edge = np.empty(total[-1], np.int64), np.empty(total[-1], np.int64)
+    for k, (live, at, taken) in enumerate(found):  # a word's k-th step stands k after its first
+        place = total[live] + k
+        node[place], edge[place] = at, taken
+    return np.repeat(word, many), node, edge
 
 
 def sample(vocabulary: Vocabulary, keys: np.ndarray, texts: list[str], samples: int = SAMPLES, seed: int = SEED) -> list[list[tuple[float, float, float, np.ndarray]]]:
@@ -263,31 +316,35 @@ def sample(vocabulary: Vocabulary, keys: np.ndarray, texts: list[str], samples:
     place = np.arange(len(words)) - word_bounds[doc]
     start, end = lattices.first[kind], lattices.first[kind] + lattices.length[kind]
     every = np.arange(len(words))
+    spread = place.astype(np.uint64) * np.uint64(_P)
+
+    def own_hash(stream: int) -> np.ndarray:
+        """A hash for each word of each text, in a stream of its own."""
+        return mix(_stream(row_key, stream)[doc] + spread)
 
-    def finished(word: np.ndarray, node: np.ndarray, edge: np.ndarray, p: np.ndarray) -> Paths:
-        return Paths(word, node, edge, np.log(np.maximum(p, 1e-300)), np.searchsorted(doc[word], np.arange(docs + 1)))
+    def finished(word: np.ndarray, node: np.ndarray, edge: np.ndarray) -> Paths:
+        return Paths(word, node, edge, _logs(lattices.chance[edge]), np.searchsorted(doc[word], np.arange(docs + 1)))
 
     def values(paths: Paths, above: np.ndarray, born: np.ndarray, banned: np.ndarray, stream: int, alive: np.ndarray) -> np.ndarray:
         """The largest perturbed value in the set that leaves the path at each step, from
         the step at which the path was born (before it the set belongs to its parent)."""
-        owner = doc[paths.word]
+        owner = paths.owner
         before = (paths.total[:-1] - paths.total[paths.bounds[:-1]][owner]) / _FINE
-        away = 1 - lattices.chance[paths.node, paths.edge]
+        away = 1 - lattices.chance[paths.edge]
         own = np.flatnonzero(born >= 0)
         at = paths.bounds[:-1][own] + born[own]
-        c = lattices.chance[paths.node[at]]
-        c[np.arange(len(c)), paths.edge[at]] = 0
+        c = lattices.rows(paths.node[at])
+        c[np.arange(len(c)), lattices.size[paths.edge[at]]] = 0
         away[at] = np.cumsum(c * ((banned[own, None] >> np.arange(c.shape[1]) & 1) == 0), axis=1)[:, -1]
         step = np.arange(len(paths.log)) - paths.bounds[:-1][owner]
-        with np.errstate(divide="ignore", over="ignore"):
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
             mass = before + np.log(away)
-            u = _uniform(row_key[owner], stream, step)
-            top = above[owner]
-            g = mass - np.log(np.exp(mass - top) - np.log(u))
-        g[~np.isfinite(mass) | (step < born[owner]) | ~alive[owner]] = -np.inf
+            u = _unit(mix(_stream(row_key, stream)[owner] + step.astype(np.uint64) * np.uint64(_P)))
+            g = mass - np.log(np.exp(mass - above[owner]) - np.log(u))
+        g[(away <= 0) | (step < np.where(alive, born, np.iinfo(np.int64).max)[owner])] = -np.inf
         return g
 
-    first = finished(*_walk(lattices, start, end, every, kind, row_key[doc], 2, place))
+    first = finished(*_walk(lattices, start, end, every, kind, own_hash(2)))
     best = -np.log(-np.log(_uniform(row_key, 1, np.zeros(docs))))
     born, banned = np.full(docs, -1), np.zeros(docs, np.int64)
     alive = np.ones(docs, bool)
@@ -305,8 +362,8 @@ def sample(vocabulary: Vocabulary, keys: np.ndarray, texts: list[str], samples:
                 source[better] = q
         for q, (paths, g, _, _) in enumerate(queues):
             own = source == q
-            hit = np.flatnonzero((g == top[doc[paths.word]]) & own[doc[paths.word]])
-            step[doc[paths.word][hit[::-1]]] = hit[::-1]
+            hit = np.flatnonzero((g == top[paths.owner]) & own[paths.owner])
+            step[paths.owner[hit[::-1]]] = hit[::-1]
         alive = np.isfinite(top)
         if r == samples:
             threshold = np.where(alive, top, -np.inf)
@@ -314,7 +371,9 @@ def sample(vocabulary: Vocabulary, keys: np.ndarray, texts: list[str], samples:
         if not alive.any():
             break
         # Draw the new path of each text: its parent's steps, another edge, then fresh steps.
-        keep, turn, born, banned = [], [], np.full(docs, -1), np.zeros(docs, np.int64)
+        born, banned = np.full(docs, -1), np.zeros(docs, np.int64)
+        turned, after = np.full(docs, -1), np.full(docs, np.iinfo(np.int64).max)  # edge, and word, of the turn
+        at_node = np.zeros(docs, np.int64)
         for q, (paths, g, was_born, was_banned) in enumerate(queues):
             own = np.flatnonzero((source == q) & alive)
             if not len(own):
@@ -322,29 +381,32 @@ def sample(vocabulary: Vocabulary, keys: np.ndarray, texts: list[str], samples:
             at = step[own]
             born[own] = at - paths.bounds[own]
             same = born[own] == was_born[own]
-            banned[own] = np.where(same, was_banned[own], 0) | (1 << paths.edge[at].astype(np.int64))
+            banned[own] = np.where(same, was_banned[own], 0) | (1 << lattices.size[paths.edge[at]].astype(np.int64))
             g[at] = -np.inf
-            stop = np.full(docs, -1)
-            stop[own] = at
-            index = np.arange(len(g))
-            kept = index < stop[doc[paths.word]]
-            keep.append((paths.word[kept], paths.node[kept], paths.edge[kept], paths.log[kept] / _FINE))
-            c = lattices.chance[paths.node[at]] * ((banned[own, None] >> np.arange(lattices.chance.shape[1]) & 1) == 0)
-            edge = _choose(c, _uniform(row_key[own], 10 * r + 4, born[own]))
-            turn.append((paths.word[at], paths.node[at], edge, np.log(np.maximum(lattices.chance[paths.node[at], edge], 1e-300))))
-        turned = [np.concatenate(x) for x in zip(*turn)]
+            c = lattices.rows(paths.node[at]) * ((banned[own, None] >> np.arange(lattices.wide) & 1) == 0)
+            size = _choose(c, _uniform(row_key[own], 10 * r + 4, born[own]))
+            turned[own], after[own], at_node[own] = lattices.edge_of(paths.node[at], size), paths.word[at], paths.node[at]
         # The rest of the word of the turn, and all later words of its text.
-        turn_doc = doc[turned[0]]
-        after = np.full(docs, np.iinfo(np.int64).max)
-        after[turn_doc] = turned[0]
-        later = every[every > after[doc]]
-        go = np.concatenate([turned[0], later])
-        begin = np.concatenate([turned[1] + turned[2] + 1, start[later]])
-        w, n, e, p = _walk(lattices, begin, end[go], go, kind[go], row_key[doc[go]], 10 * r + 5, place[go])
-        pieces = [np.concatenate(x) for x in zip(*keep, tuple(turned), (w, n, e, np.log(np.maximum(p, 1e-300))))]
-        order = np.argsort(pieces[0] * len(lattices.points) + pieces[1], kind="stable")
-        word, node, edge, log = (x[order] for x in pieces)
-        path = Paths(word, node, edge, log, np.searchsorted(doc[word], np.arange(docs + 1)))
+        go = np.flatnonzero(every >= after[doc])
+        begin = start[go]
+        turns = np.flatnonzero(go == after[doc[go]])
+        begin[turns] = (at_node + lattices.size[turned] + 1)[doc[go[turns]]]
+        w, n, e = _walk(lattices, begin, end[go], go, kind[go], own_hash(10 * r + 5)[go])
+        fresh = np.bincount(doc[w], minlength=docs)
+        bounds = offsets(np.where(alive, born + 1 + fresh, 0))
+        word, node, edge, log = (np.empty(bounds[-1], np.int64) for _ in range(4))
+        for q, (paths, _, _, _) in enumerate(queues):
+            owner = paths.owner
+            local = np.arange(len(owner)) - paths.bounds[:-1][owner]
+            kept = np.flatnonzero(local < np.where((source == q) & alive, born, 0)[owner])
+            to = bounds[:-1][owner[kept]] + local[kept]
+            word[to], node[to], edge[to], log[to] = paths.word[kept], paths.node[kept], paths.edge[kept], paths.log[kept]
+        own = np.flatnonzero(alive)
+        to = bounds[own] + born[own]
+        word[to], node[to], edge[to], log[to] = after[own], at_node[own], turned[own], _logs(lattices.chance[turned[own]])
+        to = np.arange(len(w)) - (offsets(fresh)[:-1] - bounds[:-1] - born - 1)[doc[w]]
+        word[to], node[to], edge[to], log[to] = w, n, e, _logs(lattices.chance[e])
+        path = Paths(word, node, edge, log, bounds)
         emitted.append((path, np.where(alive, top, -np.inf), alive.copy()))
         queues.append((path, values(path, top, born, banned, 10 * r + 6, alive), born, banned))
 
@@ -353,7 +415,7 @@ def sample(vocabulary: Vocabulary, keys: np.ndarray, texts: list[str], samples:
         logp = (paths.total[paths.bounds[1:]] - paths.total[paths.bounds[:-1]]) / _FINE
         with np.errstate(over="ignore"):
             inclusion = -np.expm1(-np.exp(logp - threshold))
-        ids = lattices.piece[paths.node, paths.edge]
+        ids = lattices.piece[paths.edge]
         bare = np.flatnonzero(ids < 0)
         for i in np.flatnonzero(there):
             low, high = paths.bounds[i], paths.bounds[i + 1]
