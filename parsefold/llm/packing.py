@@ -5,8 +5,9 @@ of its ids. Pieces are dealt at random into blocks of bounded size. In a block,
 fit in falling order gives a first packing, and a swap-based local search then takes
 the emptiest bin and moves its pieces, or exchanges one for one or one for two, into
 other underfull bins, each step increasing the sum of squared fills, until the bin is
-empty or no step is left. The bins that stay underfull are opened and dealt again,
-so that what blocks leave over is packed together.
+empty or no step is left. The bins that stay underfull are opened and dealt again, so
+that what blocks leave over is packed together, until one block holds all of it or no
+bin less is needed.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
@@ -65,6 +67,8 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", json_pat
                     columns, out = [*columns, pa.array(blobs, pa.binary())], [*out, "ids"]
                 yield pa.record_batch(columns, names=out)
             give_back()
+        bpe.words.clear()  # workers outlive the stage
+        give_back()
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long" + ", ids binary" * keep_ids
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(cut, kinds)
@@ -97,21 +101,20 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 2) -> list[list[int]]:
-    """Empties bins by moves and exchanges between underfull bins. Each step moves
-    tokens from the bin being emptied to a fuller one, so the sum of squared fills
-    grows with every step and the search ends."""
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Empties bins by moves and exchanges between underfull bins, until a round over all
+    of them empties none. Each step moves tokens from the bin being emptied to a fuller
+    one, so the sum of squared fills grows with every step and the search ends."""
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(rounds):
+    emptied = True
+    while emptied:
         open_ = sorted((f, k) for k, f in enumerate(fill) if 0 < f < capacity)
         emptied = False
         for _, k in open_:
             if not 0 < fill[k] < capacity:
                 continue
             emptied |= _empty(k, [j for _, j in open_ if j != k], bins, size, fill, capacity)
-        if not emptied:
-            break
     return [b for b in bins if b]
 
 
@@ -189,7 +192,7 @@ def _packed(rows: DataFrame, blocks: int, level: int, capacity: int) -> DataFram
         group = group.sort_by([("length", "descending"), ("salt", "ascending")])
         where, offset, fill = pack_block(group.column("length").to_numpy(), capacity)
         block = group.column("block")[0].as_py()
-        sequence = (np.int64(level) << 60) + (np.int64(block) << 30) + where
+        sequence = (np.int64(level) << 56) + (np.int64(block) << 20) + where
         out = group.select(names)
         for name, x in (("sequence_id", sequence), ("offset", offset), ("fill", fill)):
             out = out.append_column(name, pa.array(x))
@@ -208,12 +211,19 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", json_path:
     text counts as empty; repeated rows and null ids are packed like any others, one
     piece set for each row; an empty table gives no rows. Extra columns are not read."""
     kept = table(pieces(docs, doc_id, text, json_path, ranks_path, capacity, keep_ids), "pieces")
-    n = kept.count()
-    blocks = -(-n // block) or 1
-    first = _packed(kept, blocks, 0, capacity)
-    if blocks > 1:
-        first = table(first, "packed")
-        left = first.where(F.col("fill") < capacity)
-        again = -(-left.count() // block) or 1
-        first = first.where(F.col("fill") == capacity).unionByName(_packed(left, again, 1, capacity))
-    return first.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)
+    n, level, before, done = kept.count(), 0, None, []
+    left = kept
+    while True:
+        blocks = -(-n // block) or 1
+        done.append(_packed(left, blocks, level, capacity))
+        if blocks == 1:
+            break
+        done[-1] = now = table(done[-1], "packed")
+        left = now.where(F.col("fill") < capacity)
+        n, bins = left.agg(F.count("*"), F.count_distinct("sequence_id")).first()
+        if before is not None and bins >= before:
+            break
+        done[-1] = now.where(F.col("fill") == capacity)
+        before, level = bins, level + 1
+    every = reduce(DataFrame.unionByName, done)
+    return every.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)

@@ -13,8 +13,9 @@ import numpy as np
 import tiktoken
 import tokenizers
 
-#: Distinct words remembered by a worker; beyond that it starts anew.
-REMEMBERED = 250_000
+#: Distinct words of at most SHORT characters that a worker remembers; beyond that it
+#: starts anew.
+REMEMBERED, SHORT = 250_000, 64
 _ODD = re.compile(r"[^\S \n]")
 
 
@@ -27,10 +28,12 @@ class _Ids(dict):
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
         ids = self.encode(word if word[:1] == "\n" else " " + word)
-        self[word] = out = np.array(ids, np.uint32).tobytes()
+        out = np.array(ids, np.uint32).tobytes()
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = out
         return out
 
 

@@ -41,9 +41,9 @@ PER_CLASS = 12_000
 WORST, STRETCH = (1, 2, 3, 5), 8
 #: Words of at most SHORT bytes a worker remembers (their scores, or that they were sent)
 #: before it starts anew.
-REMEMBERED, SHORT = 1 << 18, 64
+REMEMBERED, SHORT = 1 << 16, 64
 #: Bytes of words whose sequences are made at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: Probability that stands below the shortest sequences.
 FLOOR = 1e-5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -417,5 +417,7 @@ def scorer(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "score", per_class: int = PER_CLASS) -> DataFrame:
-    """docs with a toxicity probability in column `out` (replaced if it is there)."""
+    """docs with a toxicity probability in column `out` (replaced if it is there), for every
+    row: also for null, empty and repeated texts and rows without id, whose scores depend
+    on the text alone. An empty table gives no rows."""
     return docs.withColumn(out, scorer(docs, fit(docs, labels, doc_id, text, per_class), text))
