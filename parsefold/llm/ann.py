@@ -2,9 +2,11 @@
 
 Vectors are scaled to unit length and put through fast pseudo-rotations (three rounds of
 random signs and a Walsh-Hadamard transform); the hash is the signed axis nearest to the
-result. Each of TABLES tables is searched in the PROBES buckets whose axes the query is
-nearest to. A bucket and the queries that probe it meet in a task, in which distances
-are exact, on the original vectors; only each query's best leave the task.
+result, taken AXES times. Each of TABLES
+tables is searched in the buckets whose axes the query is nearest to. A bucket and the
+queries that probe it meet in a task. There a vector is one byte a component with a
+bound on what that costs; what may still be among a query's nearest is then fetched
+once, by id, and measured exactly.
 
 Equal vectors are one row with their k + 1 smallest ids (no other copy can be among the
 k nearest of any query), so a vector repeated in a third of all rows costs as much as
@@ -17,24 +19,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parsefold.llm.common import ship, table
 
 K = 10
 TABLES = 16
-#: Buckets searched in each table: at least MIN_PROBES, and so many that about
-#: MIN_SEARCHED vectors stand in all of them together (small tables are searched whole).
-MIN_PROBES, MIN_SEARCHED = 4, 10_000
-#: At least so many with buckets named by one, two and three axes. On vectors spread evenly
-#: in 64 dimensions the last two find 0.98 of the ten nearest at 2^21 (brute force) and
-#: 0.975 at 2^28 (simulated neighbours).
-LEVEL_PROBES = (MIN_PROBES, 64, 512)
+#: Signed axes that name a bucket, and the share of each axis's kinds that a query probes:
+#: with 64 dimensions 20 * 20 of 128 * 128 buckets a table, which hold about a third of all
+#: rows over 16 tables, at every size. On vectors spread evenly even 16 * 16 find 0.92 of the
+#: ten nearest of 500, 0.955 of 2,000, 0.983 of 10,256, 0.997 of 51,282 and 0.99 of 200,000:
+#: the larger the table, the nearer its neighbours. From millions of rows on fewer probes will do (64
+#: buckets find 0.98 at 2^21, three axes and 512 buckets 0.975 at 2^28).
+AXES, PROBE_SHARE = 2, 5 / 32
 #: Scores of buckets held at once while probes are chosen.
 SCORES = 1 << 21
 #: Vectors of one bucket in one task.
 CHUNK = 65_536
+#: Rows, at most, into which the ids of equal queries are dealt.
+SALTS = 16
 SEED = 20_240_101
 
 
@@ -104,79 +110,111 @@ def _matrices(part: pa.RecordBatch, kind: str) -> Iterator[tuple[np.ndarray, np.
         yield ids[own], flat[first[own][:, None] + np.arange(dim)]
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, distance) of each query's k nearest rows of x, ties to smaller ids.
-    The screen by inner products keeps everything within rounding of the k-th."""
-    x, q = x.astype(np.float64), q.astype(np.float64)
+def encoded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as one signed byte a component, the scale of each, and how far each is from
+    what its bytes say (rounded up)."""
+    x = x.astype(np.float64)
+    scale = np.maximum(np.abs(x).max(axis=1), 1e-300) / 127
+    bytes_ = np.rint(x / scale[:, None]).astype(np.int8)
+    away = np.sqrt(((x - bytes_ * scale[:, None]) ** 2).sum(axis=1))
+    return bytes_, scale, away * (1 + 1e-9)
+
+
+def _screened(ids: np.ndarray, x: np.ndarray, away: np.ndarray, queries: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query, id, lowest, highest distance) of all rows that may be among each query's k
+    nearest of x, whose rows are known to within `away`."""
     out: list[tuple[np.ndarray, ...]] = []
     norms = (x * x).sum(axis=1)
-    step = max(1, (1 << 22) // max(1, len(x)))
+    step = max(1, (1 << 21) // max(1, len(x)))
     for at in range(0, len(q), step):
         some = q[at : at + step]
-        d = norms[None, :] - 2 * some @ x.T + (some * some).sum(axis=1)[:, None]
-        far = np.partition(d, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(some), np.inf)
-        slack = 1e-9 * (norms.max(initial=0) + (some * some).sum(axis=1))
-        i, j = np.nonzero(d <= (far + slack)[:, None])
-        exact = np.sqrt(((some[i] - x[j]) ** 2).sum(axis=1))
-        order = np.lexsort((ids[j], exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        kept = rank < k
-        out.append((queries[at + i[kept]], ids[j[kept]], exact[kept]))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (queries[:0], ids[:0], np.zeros(0))
-
-
-def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, tables: int = TABLES, probe_count: int | None = None, levels: int | None = None) -> DataFrame:
+        own = (some * some).sum(axis=1)
+        d = np.sqrt(np.maximum(norms[None, :] - 2 * some @ x.T + own[:, None], 0))
+        slack = away[None, :] + 1e-6 * np.sqrt(norms[None, :] + own[:, None])  # and what rounding may have cost
+        low, high = d - slack, d + slack
+        cut = np.partition(high, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(some), np.inf)
+        i, j = np.nonzero(low <= cut[:, None])
+        out.append((queries[at + i], ids[j], low[i, j], high[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (queries[:0], ids[:0], np.zeros(0), np.zeros(0))
+
+
+@F.arrow_udf(T.DoubleType())
+def _distance(one: pa.Array, other: pa.Array) -> pa.Array:
+    """Euclidean distances in double precision; both arrays hold lists of equal lengths."""
+    out = np.zeros(len(one))
+    for low in range(0, len(one), 4096):
+        a, b = one.slice(low, 4096), other.slice(low, 4096)
+        lengths = pc.list_value_length(a).to_numpy(zero_copy_only=False)
+        square = (a.flatten().to_numpy(zero_copy_only=False).astype(np.float64) - b.flatten().to_numpy(zero_copy_only=False).astype(np.float64)) ** 2
+        if len(square):
+            out[low : low + len(a)] = np.sqrt(np.add.reduceat(square, np.cumsum(lengths) - lengths))
+    return pa.array(out)
+
+
+def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, tables: int = TABLES, axes: int = AXES, probe_share: float = PROBE_SHARE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row with is_query, its k nearest
     found rows other than itself by Euclidean distance in double precision, ties to
-    smaller ids; all candidates, if fewer were found.
+    smaller ids; all candidates, if there are fewer.
+
+    A bucket is named by `axes` signed axes, each of twice as many kinds as there are
+    dimensions (padded to a power of two). In each table a query visits the
+    (probe_share * kinds) ** axes buckets that it is nearest to; with a share of 1 it
+    visits all buckets of one table, and the answer is exact. A query for which fewer than k rows
+    are found, though there are more, is searched against all rows, in blocks.
 
     Vectors that are null or empty, all zero, or hold a null or non-finite component take
     no part, nor do rows without id. Vectors of different dimensions are never near. Of
     rows that repeat an id with the same vector one counts. Other columns are not read;
-    an empty table gives no rows."""
+    an empty table gives no rows. Equal vectors are one row, and equal queries one query,
+    however often they stand there; a row that is near to very many queries is joined by
+    its id, where Spark's own splitting of skewed joins applies."""
     spark = vectors.sparkSession
     ship(spark)
     kind = "<f8" if "double" in dict(vectors.dtypes)[vector] else "<f4"
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q"))
-    rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
     fields = "array<double>" if kind == "<f8" else "array<float>"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast(fields).alias("v"), is_query.alias("q"))
+    rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
     ranked = rows.select("id", "v").withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
-    distinct = table(ranked.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), F.col("v").cast(fields).alias("v"), "ids"), "vectors")
-    asked = table(rows.where("q").select("id", "v").distinct(), "queries")
-    of = asked.select("id", F.min("id").over(Window.partitionBy("v")).alias("key"), "v")
-    of = table(of, "asked")
-    keys = of.where("id = key").select("key", F.col("v").cast(fields).alias("v"))
-
-    n = distinct.count()
-    levels = levels or (1 if n < 1 << 21 else 2 if n < 1 << 28 else 3)
-    asked_probes = probe_count
+    distinct = table(ranked.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "v", "ids"), "vectors")
+    # Equal queries: their ids in SALTS rows at most, all under the least of them.
+    salted = rows.where("q").groupBy("v", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(F.array_sort(F.collect_set("id")).alias("of"))
+    salted = table(salted, "queries")
+    keys = table(salted.groupBy("v").agg(F.min(F.col("of")[0]).alias("key")).select("key", "v"), "keys")
+    of = salted.join(keys, "v").select("key", "of")
+
+    sizes = {r["dim"]: (r["n"], r["ids"]) for r in distinct.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()}  # one row for each dimension
     seeds: dict[int, np.ndarray] = {}
 
     def signs(dim: int) -> np.ndarray:
         if dim not in seeds:
-            seeds[dim] = rotations(dim, tables, levels)
+            seeds[dim] = rotations(dim, tables, axes)
         return seeds[dim]
 
-    def size(dim: int) -> int:
-        return (2 << max(1, dim - 1).bit_length()) ** levels
-
     def count(dim: int) -> int:
-        return min(size(dim), asked_probes or max(*LEVEL_PROBES[:levels], MIN_PROBES**levels, -(-size(dim) * MIN_SEARCHED // (tables * max(n, 1)))))
+        kinds = 2 << max(1, dim - 1).bit_length()
+        return int(np.ceil((probe_share * kinds) ** axes))
 
     def code(dim: int, t: int, bucket: np.ndarray) -> np.ndarray:
         return bucket * tables + t + (np.int64(dim) << 44)
 
+    def sent(code: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        """Rows gathered by code: codes, ids, bytes, scales and distances of vectors from them."""
+        order = np.argsort(code, kind="stable")
+        cut = np.flatnonzero(np.diff(code[order], prepend=-1))
+        groups = [order[a:b] for a, b in zip(cut, np.append(cut[1:], len(order)))]
+        held = (ids, *encoded(x))
+        return pa.record_batch([pa.array(code[order[cut]]), pa.array([len(g) for g in groups], pa.int32())] + [pa.array([a[g].tobytes() for g in groups], pa.binary()) for a in held], names=["code", "n", "ids", "bytes", "scale", "away"])
+
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for ids, x in _matrices(part, kind):
                 for t in range(tables):
-                    c = code(x.shape[1], t, buckets(x, signs(x.shape[1])[t]))
-                    order = np.argsort(c, kind="stable")
-                    cut = np.flatnonzero(np.diff(c[order], prepend=-1))
-                    ends = np.append(cut[1:], len(order))
-                    groups = [order[a:b] for a, b in zip(cut, ends)]
-                    yield pa.record_batch([pa.array(c[order[cut]]), pa.array([len(g) for g in groups], pa.int32()), pa.array([ids[g].tobytes() for g in groups], pa.binary()), pa.array([x[g].tobytes() for g in groups], pa.binary())], names=["code", "n", "ids", "x"])
+                    yield sent(code(x.shape[1], t, buckets(x, signs(x.shape[1])[t])), ids, x)
+
+    def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for ids, x in _matrices(part, kind):
+                yield sent(np.full(len(ids), np.int64(x.shape[1]) << 44), ids, x)
 
     def probing(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -185,32 +223,50 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
                 step = max(1, SCORES // (count(dim) * (2 << max(1, dim - 1).bit_length())))
                 for at in range(0, len(vectors), step):
                     ids, x = every[at : at + step], vectors[at : at + step]
-                    for t in range(tables):
-                        c = code(dim, t, probes(x, signs(dim)[t], count(dim)))
-                        yield pa.record_batch([pa.array(c.ravel()), pa.array([i.tobytes() for i in np.repeat(ids, c.shape[1])], pa.binary()), pa.array([v.tobytes() for v in np.repeat(x, c.shape[1], axis=0)], pa.binary())], names=["code", "ids", "x"])
+                    for t in range(tables if probe_share < 1 else 1):
+                        c = probes(x, signs(dim)[t], count(dim))
+                        yield pa.record_batch([pa.array(code(dim, t, c).ravel()), pa.array(np.repeat(ids, c.shape[1]))], names=["code", "key"])
 
-    indexed = distinct.select("rep", "v").mapInArrow(hashed, "code long, n int, ids binary, x binary")
-    asking = keys.mapInArrow(probing, "code long, ids binary, x binary")
-    # Only probed buckets travel; large ones are dealt to several tasks, each of which every query of the bucket visits.
-    loads = indexed.groupBy("code").agg(F.sum("n").alias("rows")).join(asking.select("code").distinct(), "code")
-    loads = table(loads.select("code", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "loads")
-    dealt = indexed.join(loads, "code").select("code", F.pmod(F.xxhash64("ids"), F.col("chunks")).cast("int").alias("chunk"), "ids", "x")
-    sent = asking.join(loads, "code").select("code", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "ids", "x")
+    index = "code long, n int, ids binary, bytes binary, scale binary, away binary"
 
     def meet(one: pa.Table, other: pa.Table) -> pa.Table:
         if not one.num_rows or not other.num_rows:
-            return pa.table({"key": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"key": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "low": pa.array([], pa.float64()), "high": pa.array([], pa.float64())})
         dim = one.column("code")[0].as_py() >> 44
-        ids, queries = (np.frombuffer(b"".join(s.column("ids").to_pylist()), np.int64) for s in (one, other))
-        x, q = (np.frombuffer(b"".join(s.column("x").to_pylist()), kind).reshape(-1, dim) for s in (one, other))
-        key, rep, score = _nearest(ids, x, queries, q, k + 1)
-        return pa.table({"key": key, "rep": rep, "score": score})
-
-    found = dealt.groupBy("code", "chunk").cogroup(sent.groupBy("code", "chunk")).applyInArrow(meet, "key long, rep long, score double")
-    best = found.distinct().withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("score", "rep"))).where(F.col("n") <= k + 1)
-    best = best.join(distinct.select("rep", "ids"), "rep").select("key", "score", F.explode("ids").alias("vec_id"))
-    # Of a key's copies only the k + 1 first by distance and id can be in any answer.
-    best = best.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    answers = of.select(F.col("id").alias("query_id"), "key").join(best, "key").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ids, b, scale, away = (np.frombuffer(b"".join(one.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("bytes", np.int8), ("scale", np.float64), ("away", np.float64)))
+        q = other.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        found = _screened(ids, b.reshape(-1, dim) * scale[:, None], away, other.column("key").to_numpy(), q, k + 1)
+        return pa.table(dict(zip(("key", "rep", "low", "high"), found)))
+
+    def nearest(dealt: DataFrame, asked: DataFrame) -> DataFrame:
+        """(key, near): the k + 1 nearest found (score, vec_id) of each key, in order."""
+        found = dealt.groupBy("code", "chunk").cogroup(asked.join(keys, "key").groupBy("code", "chunk")).applyInArrow(meet, "key long, rep long, low double, high double")
+        found = found.groupBy("key", "rep").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        by_key = Window.partitionBy("key")
+        found = found.withColumn("n", F.row_number().over(by_key.orderBy("high", "rep")))
+        found = found.withColumn("cut", F.max(F.when(F.col("n") == k + 1, F.col("high"))).over(by_key)).where("cut IS NULL OR low <= cut")
+        exact = found.select("key", "rep").join(distinct, "rep").join(keys.select("key", F.col("v").alias("w")), "key")
+        scored = exact.select("key", "ids", _distance(F.col("v"), F.col("w")).alias("score"))
+        near = scored.select("key", F.explode(F.transform("ids", lambda i: F.struct(F.col("score").alias("score"), i.alias("vec_id")))).alias("x"))
+        return near.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k + 1).alias("near"))
+
+    # Only probed buckets travel; large ones are dealt to several tasks, each of which every query of the bucket visits.
+    indexed, asking = distinct.select("rep", "v").mapInArrow(hashed, index), keys.mapInArrow(probing, "code long, key long")
+    loads = indexed.groupBy("code").agg(F.sum("n").alias("rows")).join(asking.select("code").distinct(), "code")
+    loads = table(loads.select("code", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "loads")
+    dealt = indexed.join(loads, "code").withColumn("chunk", F.pmod(F.xxhash64("ids"), F.col("chunks")).cast("int")).drop("chunks")
+    visits = asking.join(loads, "code").select("code", "key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    found = table(nearest(dealt, visits), "nearest")
+
+    there = spark.createDataFrame([(d, ids) for d, (_, ids) in sizes.items()], "dim int, ids long")
+    wanted = keys.join(there, F.size("v") == F.col("dim")).select("key", "dim", F.least("ids", F.lit(k + 1)).alias("want"))
+    short = wanted.join(found, "key", "left").where(F.coalesce(F.size("near"), F.lit(0)) < F.col("want")).select("key", "dim")
+    short = table(short, "short")
+    if not short.isEmpty():
+        blocks = -(-max(n for n, _ in sizes.values()) // CHUNK)
+        every = distinct.select("rep", "v").mapInArrow(gathered, index).withColumn("chunk", F.pmod(F.xxhash64("ids"), F.lit(blocks)).cast("int"))
+        all_blocks = short.select(F.shiftleft(F.col("dim").cast("long"), 44).alias("code"), "key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("chunk"))
+        found = found.join(short, "key", "left_anti").unionByName(table(nearest(every, all_blocks), "widened"))
+    answers = of.join(found, "key").select(F.explode("of").alias("query_id"), "near")
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return answers.select("query_id", F.posexplode(others).alias("n", "x")).select("query_id", (F.col("n") + 1).alias("rank"), "x.vec_id", "x.score")

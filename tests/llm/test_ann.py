@@ -36,7 +36,7 @@ def test_recall_when_few_buckets_are_searched(spark):
     x = (centres[random.integers(40, size=4000)] + 0.3 * random.normal(size=(4000, 32))).astype(np.float32)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
     got = {}
-    for r in ann.search(df, F.col("vec_id") % 100 == 0, probe_count=4).collect():
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, axes=1, probe_share=1 / 16).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     ids, y = np.arange(4000), x.astype(np.float64)
     hits = sum(len({i for i, _ in brute(ids, y, q)} & got[q]) for q in range(0, 4000, 100))
@@ -49,7 +49,7 @@ def test_copies_and_split_buckets_lose_nothing(spark, monkeypatch):
     x = np.concatenate([np.tile(random.normal(size=8), (120, 1)), random.normal(size=(80, 8))]).astype(np.float32)
     df = spark.createDataFrame([(i, [float(v) for v in r], "clash") for i, r in enumerate(x)], "vec_id long, embedding array<float>, score string").repartition(5)
     got = {}
-    for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, probe_share=1.0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     y = x.astype(np.float64)
     for q in range(0, 200, 20):
@@ -72,11 +72,10 @@ def test_hadamard_is_orthogonal():
     assert np.array_equal(h @ h.T, 16 * np.eye(16))
 
 
-@pytest.mark.parametrize("levels,cosine", [(2, 0.537), (3, 0.622)])
-def test_recall_with_buckets_of_several_axes(spark, monkeypatch, levels, cosine):
+@pytest.mark.parametrize("axes,share,cosine", [(2, 1 / 16, 0.537), (3, 1 / 16, 0.622)])
+def test_recall_with_fewer_probes_in_large_tables(spark, axes, share, cosine):
     """Queries with ten neighbours as near as the nearest of 2^21 (2^28) vectors spread
-    evenly; MIN_SEARCHED adds no probes there."""
-    monkeypatch.setattr(ann, "MIN_SEARCHED", 1)
+    evenly."""
     random = np.random.default_rng(6)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     q = unit(random.normal(size=(30, 64)))
@@ -85,5 +84,46 @@ def test_recall_with_buckets_of_several_axes(spark, monkeypatch, levels, cosine)
     near = cosine * q[:, None] + np.sqrt(1 - cosine**2) * away
     x = np.concatenate([q, near.reshape(-1, 64), unit(random.normal(size=(200, 64)))]).astype(np.float32)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {(r.query_id, r.vec_id) for r in ann.search(df, F.col("vec_id") < 30, levels=levels).collect()}
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, F.col("vec_id") < 30, axes=axes, probe_share=share).collect()}
     assert sum((i, 30 + 10 * i + j) in got for i in range(30) for j in range(10)) >= 0.9 * 300
+
+
+def answers(found):
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return got
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_a_share_of_one_is_exact(spark, kind):
+    random = np.random.default_rng(8)
+    x = random.normal(size=(700, 12))
+    x[100:200] = x[:100] * (1 + 1e-7)  # nearly equal: the bytes can't tell them apart
+    x[200:230] = x[230:260]
+    x = x.astype(np.float32 if kind == "float" else np.float64)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = answers(ann.search(df, F.col("vec_id") % 7 == 0, probe_share=1.0))
+    y = x.astype(np.float64)
+    for q in range(0, 700, 7):
+        want = brute(np.arange(700), y, q)
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want], rtol=1e-12, atol=1e-12)
+        assert {i for i, s in got[q] if s < want[-1][1] - 1e-9} == {i for i, s in want if s < want[-1][1] - 1e-9}
+
+
+def test_a_query_far_from_all_others_still_gets_ten(spark, monkeypatch):
+    """All other vectors lie in buckets that it does not probe: it is searched against all
+    rows, in several blocks."""
+    monkeypatch.setattr(ann, "CHUNK", 500)
+    random = np.random.default_rng(9)
+    x = (np.ones(64) + 0.01 * random.normal(size=(3000, 64))).astype(np.float32)
+    x[0] = -x[0]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = answers(ann.search(df, F.col("vec_id") == 0, probe_share=1 / 64))
+    assert [i for i, _ in got[0]] == [i for i, _ in brute(np.arange(3000), x.astype(np.float64), 0)]
+
+
+def test_bytes_bound_what_they_cost():
+    x = np.random.default_rng(1).normal(size=(500, 20)) * np.geomspace(1e-20, 1e20, 500)[:, None]
+    b, scale, away = ann.encoded(x)
+    assert b.dtype == np.int8 and (np.sqrt(((x - b * scale[:, None]) ** 2).sum(1)) <= away).all() and (away <= np.abs(x).max(1) * np.sqrt(20) / 200).all()
