@@ -60,6 +60,28 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than a 1/HOT of a table's rows, and more than LEAST, is split in joins.
+HOT, LEAST, SALTS = 512, 64, 64
+
+
+def join_to_one(many: DataFrame, one: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """many joined with one, which has at most one row for each key (a column of both). The
+    rows of a hot key are dealt to SALTS tasks, each of which gets that key's one row; no
+    table has more than HOT hot keys. counts(key, count), where it is known already, says
+    how many rows of many a key has; keys left out are not hot."""
+    counts = many.groupBy(key).count() if counts is None else counts
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    hot = [r[0] for r in counts.where((F.col("count") * HOT > total) & (F.col("count") > LEAST)).select(key).collect()]
+    if not hot:
+        return many.join(one, key, how)
+    salt = fresh(many, "__salt")
+    is_hot = F.col(key).isin(hot)
+    row = F.xxhash64(*many.columns)
+    dealt = many.withColumn(salt, F.when(is_hot, F.pmod(row, F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(one.withColumn(salt, F.explode(copies)), [key, salt], how).drop(salt)
+
+
 def utf8(text: Column) -> Column:
     """The bytes of a text; null counts as empty."""
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parsefold.llm.common import fresh, give_back, ship, table, utf8
+from parsefold.llm.common import fresh, give_back, join_to_one, ship, table, utf8
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -78,7 +78,8 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
-    """df with its fingerprint as a signed long in column `out`; null text counts as empty."""
+    """df with its fingerprint as a signed long in column `out`, which is replaced if it is
+    there; null text counts as empty; an empty table gives no rows."""
     ship(df.sparkSession)
     return df.withColumn(out, _fingerprints(utf8(F.col(text))))
 
@@ -360,8 +361,9 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         ends = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ends.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        large = join_to_one(ends, least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = table(large, "large-stars")
+        small = join_to_one(large, large.groupBy("u").agg(F.min("v").alias("m")), "u")
         both = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = table(contract(both.select("e.*").where("u > v").distinct()).distinct(), "stars")
         is_ = summary(now)
@@ -380,13 +382,13 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", budget
     gives an empty result. Other columns of df are not read."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = table(with_fingerprint(rows).select("doc_id", "fp"), "fingerprints")
-    reps = table(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    reps = table(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")), "distinct")
     joined = connected(trie_forest(reps, budget))
     grouped = reps.join(joined, reps.fp == joined.u, "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     grouped = table(grouped, "roots")
     names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return signed.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = table(join_to_one(grouped.select("fp", "root"), names, "root").select("fp", "component_id"), "named")
+    return join_to_one(signed, named, "fp", counts=reps.select("fp", "count")).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parsefold.llm.common import new_path, ship, table
+from parsefold.llm.common import join_to_one, new_path, ship, table
 
 MAGIC = b"WARC/1."
 CUT = b"\r\n\r\n" + MAGIC
@@ -61,9 +61,9 @@ def write_pages(pages: DataFrame, path: str, page_id: str = "page_id", url: str
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), body.alias("body"))
     rows = rows.withColumn("digest", sha1_base32(F.col("body"))).withColumn("size", F.octet_length("body"))
-    again = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    again = table(again.where("n > 1 AND first IS NOT NULL").select("digest", "size", "first"), "payloads")
-    rows = rows.join(again, ["digest", "size"], "left")
+    again = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("count"))
+    again = table(again.where("count > 1 AND first IS NOT NULL"), "payloads")
+    rows = join_to_one(rows, again.select("digest", "first"), "digest", "left", again.select("digest", "count"))
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))
     rows = rows.select("*", revisit.alias("revisit"), http.alias("http"))
