@@ -26,9 +26,11 @@ from parsefold.llm.labelled import standardise, training_labels
 ROWS, DIM, TRIPLE_DIM = 8192, 64, 128
 #: Labelled training rows of each class, at most.
 PER_CLASS = 10_000
-HIDDEN, EPOCHS, SEED = 24, 25, 7
+HIDDEN, EPOCHS, BATCH, SEED = 24, 50, 64, 7
 KEEP_AT = 0.3
-_BLOCKS, _SALTS = 32, 64
+#: Sums of tasks are added up a block of rows at a time, in rounds of at most 2^FAN_BITS
+#: terms: four rounds take 2^24 tasks.
+_BLOCKS, FAN_BITS, ROUNDS = 32, 6, 4
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _AA = np.uint64(int(_A) ** 2 % (1 << 64))
 WIDTH = DIM + TRIPLE_DIM + 4
@@ -69,8 +71,8 @@ def neighbours(words: Words, hashes: np.ndarray) -> np.ndarray:
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
-    """The context table over all texts: summed in the tasks, then by block and salt,
-    then by block; what the driver gets has a fixed size."""
+    """The context table over all texts: summed in the tasks, then by block in rounds of
+    bounded fan-in; what the driver gets has a fixed size."""
 
     def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((ROWS, DIM))
@@ -79,22 +81,23 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
                 words = Words(texts)
                 if words.distinct:
                     total += neighbours(words, word_hashes(words)[0])
-        salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % _SALTS
-        blobs = [b.tobytes() for b in np.split(total.astype(np.int32), _BLOCKS)]
-        yield pa.record_batch([pa.array(range(_BLOCKS), pa.int32()), pa.array([salt] * _BLOCKS, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "salt", "sums"])
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
+        blobs = [b.tobytes() for b in np.split(total.astype(np.int64), _BLOCKS)]
+        yield pa.record_batch([pa.array(range(_BLOCKS), pa.int32()), pa.array([task] * _BLOCKS, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "task", "sums"])
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(ROWS * DIM // _BLOCKS, np.int64)
         for blob in group.column("sums"):
-            total += np.frombuffer(blob.as_buffer(), np.int32)
-        return pa.table({"block": group.column("block").slice(0, 1), "salt": pa.array([0], pa.int32()), "sums": pa.array([np.clip(total, -(1 << 31), (1 << 31) - 1).astype(np.int32).tobytes()], pa.binary())})
+            total += np.frombuffer(blob.as_buffer(), np.int64)
+        return pa.table({"block": group.column("block").slice(0, 1), "task": group.column("task").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    kinds = "block int, salt int, sums binary"
+    kinds = "block int, task int, sums binary"
     found = docs.select("text").mapInArrow(summed, kinds)
-    found = found.groupBy("block", "salt").applyInArrow(add, kinds).groupBy("block").applyInArrow(add, kinds).toArrow()
+    for _ in range(ROUNDS):
+        found = found.withColumn("task", F.shiftright("task", FAN_BITS)).groupBy("block", "task").applyInArrow(add, kinds)
     table = np.zeros((ROWS, DIM), np.float64)
-    for block, blob in zip(found.column("block").to_pylist(), found.column("sums").to_pylist()):
-        table.reshape(_BLOCKS, -1)[block] = np.frombuffer(blob, np.int32)
+    for block, blob in zip(*(c.to_pylist() for c in found.select("block", "sums").toArrow().columns)):
+        table.reshape(_BLOCKS, -1)[block] += np.frombuffer(blob, np.int64)
     table = np.sign(table) * np.sqrt(np.abs(table))  # frequent neighbours would drown the rest
     norm = np.linalg.norm(table, axis=1, keepdims=True)
     table = np.where(norm > 0, table / np.maximum(norm, 1e-9), 0)
@@ -167,14 +170,12 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, table: np.ndarray) -
     w = [a.astype(np.float32) for a in w]
     m, v, step, decay = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0, 1e-4
     rows = np.flatnonzero(~aside)
-    size = 64 if len(rows) < 4000 else 256
-    epochs = EPOCHS if len(rows) >= 4000 else 2 * EPOCHS
     weight = (weight / weight.mean()).astype(np.float32)
-    for epoch in range(epochs):
+    for epoch in range(EPOCHS):
         random.shuffle(rows)
-        rate = 0.004 * (1 - epoch / epochs) + 1e-4
-        for at in range(0, len(rows), size):
-            i = rows[at : at + size]
+        rate = 0.004 * (1 - epoch / EPOCHS) + 1e-4
+        for at in range(0, len(rows), BATCH):
+            i = rows[at : at + BATCH]
             a = np.tanh(z[i] @ w[0] + w[1])
             p = 1 / (1 + np.exp(-np.clip(a @ w[2] + w[3], -30, 30)))
             d = weight[i] * (p - y[i]).astype(np.float32) / len(i)
@@ -195,8 +196,12 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, table: np.ndarray) -
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Network:
     """Learn from docs and labels(doc_id, quality), of which at most `per_class` rows of
-    each class outside the held-out fold are used. Null texts count as empty. Without a
-    row of either class every score is the share of good rows (1 if there is none)."""
+    each class outside the held-out fold are used.
+
+    Null texts count as empty; a text's length has no bound. Repeated rows count each time;
+    rows without id are in no class. Without a row of either class (an empty table, too)
+    every score is the share of good rows (1 if there is none). Other columns are not
+    read."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(F.col(text)).alias("text"))
     sampled, share = training_labels(labels, "quality", per_class)
@@ -237,5 +242,7 @@ def scorer(docs: DataFrame, net: Network, text: str = "text") -> Column:
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "score", per_class: int = PER_CLASS) -> DataFrame:
-    """docs with a quality probability in column `out` (replaced if it is there)."""
+    """docs with a quality probability in column `out` (replaced if it is there), for every
+    row: also for null, empty and repeated texts and rows without id, whose scores depend
+    on the text alone. An empty table gives no rows."""
     return docs.withColumn(out, scorer(docs, fit(docs, labels, doc_id, text, per_class), text))
