@@ -26,8 +26,9 @@ from parsefold.llm.common import ship
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Distinct words remembered by a worker; beyond that it starts anew.
-REMEMBERED = 1_000_000
+#: Distinct words of at most SHORT characters that a worker remembers; beyond that it
+#: starts anew.
+REMEMBERED, SHORT = 1_000_000, 64
 
 
 class PairMerger(dict):
@@ -86,9 +87,11 @@ class PairMerger(dict):
         return cost - (len(part) - left)
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = n = self.count_part(word if word[:1] == "\n" else MARK + word)
+        n = self.count_part(word if word[:1] == "\n" else MARK + word)
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = n
         return n
 
     def count(self, text: str) -> int:
@@ -115,8 +118,9 @@ def merger(path: str) -> PairMerger:
 
 
 def with_token_counts(df: DataFrame, text: str = "text", model_path: str | None = None, out: str = "n_tokens") -> DataFrame:
-    """df with the number of tokens of each whole text in column `out` (long). Null text
-    and empty text have none; other columns are kept as they are."""
+    """df with the number of tokens of each whole text in column `out` (long), which is
+    replaced if it is there. Null text and empty text have none; repeated rows are counted
+    one by one; an empty table gives no rows; other columns are kept as they are."""
     ship(df.sparkSession)
     path = model_path or public_tokenizers.path(MODEL)
 
