@@ -4,6 +4,7 @@ package to executors, and vectorised views of a batch of texts."""
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -82,6 +83,13 @@ def join_to_one(many: DataFrame, one: DataFrame, key: str, how: str = "inner", c
     return dealt.join(one.withColumn(salt, F.explode(copies)), [key, salt], how).drop(salt)
 
 
+def clean(spark: SparkSession) -> None:
+    """Have the driver collect plans that nothing refers to any more: Spark then deletes
+    their shuffle files on the executors' disks, which it would else keep for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(text: Column) -> Column:
     """The bytes of a text; null counts as empty."""
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")

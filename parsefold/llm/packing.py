@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parsefold.llm.common import give_back, mix, ship, table
-from parsefold.llm.tokenizing import byte_bpe
+from parsefold.llm.tokenizing import byte_bpe, forget
 
 CAPACITY = 2048
 END = 0
@@ -67,7 +67,8 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", json_pat
                     columns, out = [*columns, pa.array(blobs, pa.binary())], [*out, "ids"]
                 yield pa.record_batch(columns, names=out)
             give_back()
-        bpe.words.clear()  # workers outlive the stage
+        del bpe
+        forget()
         give_back()
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long" + ", ids binary" * keep_ids

@@ -7,7 +7,9 @@ with other white space, or runs of it, go to the library whole."""
 from __future__ import annotations
 
 import base64
+import json
 import re
+from functools import cached_property
 
 import numpy as np
 import tiktoken
@@ -46,9 +48,13 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.words = _Ids(self.fast.encode_ordinary)
-        self.slow = tokenizers.Tokenizer.from_file(json_path)
-        added = self.slow.get_added_tokens_decoder().values()
-        self.special = [t.content for t in added]
+        with open(json_path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    @cached_property
+    def slow(self) -> tokenizers.Tokenizer:
+        """The library itself, for texts that hold its special strings."""
+        return tokenizers.Tokenizer.from_file(self.json_path)
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers, without added special tokens."""
@@ -63,6 +69,11 @@ class ByteBpe:
 _LOADED: dict[tuple, ByteBpe] = {}
 
 
+def forget() -> None:
+    """Drop what byte_bpe has loaded: workers outlive the stages that they serve."""
+    _LOADED.clear()
+
+
 def byte_bpe(json_path: str, ranks_path: str, pattern: str) -> ByteBpe:
     """One for each worker and vocabulary."""
     key = (json_path, ranks_path, pattern)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parsefold.llm.common import batches, give_back, mix, offsets, segment_max, segment_sum, ship, slices, table, utf8, Words
+from parsefold.llm.common import batches, clean, give_back, mix, offsets, segment_max, segment_sum, ship, slices, table, utf8, Words
 from parsefold.llm.labelled import logistic, standardise, training_labels
 
 #: Lengths of the sequences: those that both classes share, then each class's own.
@@ -42,8 +42,9 @@ WORST, STRETCH = (1, 2, 3, 5), 8
 #: Words of at most SHORT bytes a worker remembers (their scores, or that they were sent)
 #: before it starts anew.
 REMEMBERED, SHORT = 1 << 16, 64
-#: Bytes of words whose sequences are made at once.
-AT_ONCE = 1 << 18
+#: Bytes of words whose sequences are made at once, and surroundings of each length that a
+#: task remembers having sent.
+AT_ONCE, SEEN = 1 << 17, 1 << 20
 #: Probability that stands below the shortest sequences.
 FLOOR = 1e-5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -98,7 +99,7 @@ class Index:
     """Places of keys in a sorted array of them; len(keys) for a key that is not there."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(1, len(keys).bit_length())
+        bits = max(1, len(keys).bit_length() - 1)
         self.keys, self.shift = keys, np.uint64(64 - bits)
         self.starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
@@ -255,12 +256,17 @@ def continuations(words: DataFrame, grams: np.ndarray, contexts: np.ndarray) ->
     spark = words.sparkSession
     given = spark.sparkContext.broadcast((Index(grams), Index(contexts)))
 
-    def emitted(some: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def emitted(some: list[bytes], seen: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         gram, context = given.value
         found = sequences(Words([b" ".join(some)]), SHARED)
         for n in SHARED:
-            # Equal surroundings of a sequence count once; what is equal here needn't travel twice.
-            once = np.unique(mix(found.gram[n] + found.before[n] * _BASE), return_index=True)[1]
+            # Equal surroundings of a sequence count once; what was sent needn't travel twice.
+            around, once = np.unique(mix(found.gram[n] + found.before[n] * _BASE), return_index=True)
+            if len(seen[n]):
+                old = seen[n][np.minimum(np.searchsorted(seen[n], around), len(seen[n]) - 1)] == around
+                around, once = around[~old], once[~old]
+            if len(seen[n]) + len(around) <= SEEN:
+                seen[n] = np.sort(np.concatenate([seen[n], around]), kind="stable")
             h = context.find(found.context[n][once])
             there = np.flatnonzero(h < len(contexts))
             once, h = once[there], h[there]
@@ -271,16 +277,17 @@ def continuations(words: DataFrame, grams: np.ndarray, contexts: np.ndarray) ->
 
     def around(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
+        seen = {n: np.zeros(0, np.uint64) for n in SHARED}
         size = 0
         for part in parts:
             for some in slices(part.column(0), 4096):
                 held += some
                 size += sum(map(len, some))
                 if size >= AT_ONCE:
-                    yield from emitted(held)
+                    yield from emitted(held, seen)
                     held, size = [], 0
         if held:
-            yield from emitted(held)
+            yield from emitted(held, seen)
         give_back()
 
     pairs = words.select("word").mapInArrow(around, "h int, z long").repartition("h").distinct()
@@ -355,8 +362,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ids, y = (chosen.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label"))
     halves = (mix(ids.view(np.uint64) if len(ids) else np.zeros(0, np.uint64)) & np.uint64(1)).astype(np.int64)
     words = count_words(rows, ids, y, halves)
+    clean(docs.sparkSession)
     place, known = shared_probabilities(words)
     give_back()
+    clean(docs.sparkSession)
     upper = learned_top(words)
     order = np.argsort(_keys(upper, "key"))
     key = _keys(upper, "key")[order]
@@ -366,6 +375,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     c = [upper.column(f"c{g}").to_numpy()[order] for g in range(4)]
     del upper, order, known, place
     give_back()
+    clean(docs.sparkSession)
     by_set = lambda ordinary, toxic: differences([sum(c[g] for g in s) for s in (ordinary, toxic)], of, len(contexts), p)
     half = [by_set((1 - k,), (3 - k,)) for k in (0, 1)]  # learned from the other half
     gram, context = Index(key), Index(contexts)
