@@ -81,13 +81,20 @@ def plain_word_scores(texts, classes, words):
                 g = shown(w)[i + 1 - toxicity.TOP : i + 1]
                 top[c][g] = top[c].get(g, 0) + 1
 
-    def interpolated(counts, g, below):
-        own = [n for s, n in counts.items() if s[:-1] == g[:-1] and len(s) == len(g)]
+    def by_context(counts):
+        own = {}
+        for g, n in counts.items():
+            own.setdefault((len(g), g[:-1]), []).append(n)
+        return counts, own
+
+    def interpolated(tables, g, below):
+        counts, contexts = tables
+        own = contexts.get((len(g), g[:-1]))
         if not own:
             return below
         return max(counts.get(g, 0) - toxicity.DISCOUNT, 0) / sum(own) + toxicity.DISCOUNT * len(own) / sum(own) * below
 
-    kinds = {g: len(b) for g, b in before.items()}
+    kinds, top = by_context({g: len(b) for g, b in before.items()}), [by_context(t) for t in top]
 
     def score(w):
         total = 0.0
