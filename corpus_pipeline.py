@@ -12,7 +12,8 @@ from parsefold.llm.common import fresh, table
 
 TOXIC_AT = 0.5
 
-#: No SQL: classifiers are trained and fingerprints joined; tests compare with brute force.
+#: No SQL: classifiers are trained and fingerprints joined. Tests hold each stage against a
+#: plain version of its decision: scores row by row, all pairs of fingerprints, the library.
 ORACLE_SQL = None
 
 
@@ -26,24 +27,32 @@ def _where(docs: DataFrame, score, keep: Callable) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts: a score of quality.KEEP_AT or more.
+    Null texts count as empty; repeated rows and rows without id are judged by their text,
+    long texts whole; an empty table stays empty. Columns are kept as they are."""
     net = quality.fit(docs, _labels(spark, sf_dir))
     return _where(docs, quality.scorer(docs, net), lambda s: s >= quality.KEEP_AT)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models do not reject."""
+    """Documents that the toxicity models do not reject: a score under TOXIC_AT. Null texts
+    count as empty; repeated rows and rows without id are judged by their text, long texts
+    whole; an empty table stays empty. Columns are kept as they are."""
     model = toxicity.fit(docs, _labels(spark, sf_dir))
     return _where(docs, toxicity.scorer(docs, model), lambda s: s < TOXIC_AT)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates."""
+    """One document, that of the smallest doc_id, of each group of near-duplicates. Texts
+    that are null, empty or blank are equal, so one of them stays; of rows that repeat an id
+    one stays; rows without id go where their group has another. An empty table stays
+    empty. Columns are kept as they are."""
     return simhash.deduplicate(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of the documents left, with its sequence and place."""
+    """Every piece of the documents left, with its sequence and place. A null text is one
+    piece of one token; an empty table gives no piece."""
     return packing.pack(docs)
 
 
