@@ -37,8 +37,10 @@ TABLES = 16
 AXES, PROBE_SHARE = 2, 5 / 32
 #: Scores of buckets held at once while probes are chosen.
 SCORES = 1 << 21
-#: Vectors of one bucket in one task.
+#: Vectors, at most, of the buckets of one first axis in one task.
 CHUNK = 65_536
+#: Rows of a bucket from which distances are a product of matrices; pairs held at once.
+LARGE, PAIRS = 512, 1 << 16
 #: Rows, at most, into which the ids of equal queries are dealt.
 SALTS = 16
 SEED = 20_240_101
@@ -120,22 +122,63 @@ def encoded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bytes_, scale, away * (1 + 1e-9)
 
 
-def _screened(ids: np.ndarray, x: np.ndarray, away: np.ndarray, queries: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query, id, lowest, highest distance) of all rows that may be among each query's k
-    nearest of x, whose rows are known to within `away`."""
-    out: list[tuple[np.ndarray, ...]] = []
-    norms = (x * x).sum(axis=1)
-    step = max(1, (1 << 21) // max(1, len(x)))
-    for at in range(0, len(q), step):
-        some = q[at : at + step]
-        own = (some * some).sum(axis=1)
-        d = np.sqrt(np.maximum(norms[None, :] - 2 * some @ x.T + own[:, None], 0))
-        slack = away[None, :] + 1e-6 * np.sqrt(norms[None, :] + own[:, None])  # and what rounding may have cost
-        low, high = d - slack, d + slack
-        cut = np.partition(high, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(some), np.inf)
-        i, j = np.nonzero(low <= cut[:, None])
-        out.append((queries[at + i], ids[j], low[i, j], high[i, j]))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (queries[:0], ids[:0], np.zeros(0), np.zeros(0))
+class _Group:
+    """The rows that meet in a task: ids, vectors from their bytes, how far these may be
+    off, and the bucket of each, in order of buckets."""
+
+    def __init__(self, rows: pa.Table, dim: int):
+        column = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+        bucket = column("bucket", np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.bucket, self.ids, self.away = bucket[order], column("ids", np.int64)[order], column("away", np.float64)[order]
+        self.x = column("bytes", np.int8).reshape(-1, dim)[order] * column("scale", np.float64)[order, None]
+        self.norm = (self.x * self.x).sum(axis=1)
+
+    def bounds(self, i: np.ndarray, j: np.ndarray, square: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(query, row, lowest, highest distance) from squared distances."""
+        d = np.sqrt(np.maximum(square, 0))
+        slack = self.away[j] + 1e-6 * np.sqrt(self.norm[j] + own[i])  # and what rounding may have cost
+        return i, j, d - slack, d + slack
+
+    def near(self, q: np.ndarray, visitor: np.ndarray, visited: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(query, row, lowest, highest distance) of all rows that may be among the k nearest
+        of those in the buckets that a query visits."""
+        low, high = np.searchsorted(self.bucket, visited, "left"), np.searchsorted(self.bucket, visited, "right")
+        own = (q * q).sum(axis=1)
+        found = []
+        large = high - low >= LARGE
+        for bucket in np.unique(visited[large]):  # rows in their order: a product of matrices
+            at = np.flatnonzero(visited == bucket)
+            a, b = low[at[0]], high[at[0]]
+            step = max(1, PAIRS // (b - a))
+            for first in range(0, len(at), step):
+                i = visitor[at[first : first + step]]
+                square = self.norm[None, a:b] - 2 * q[i] @ self.x[a:b].T + own[i][:, None]
+                i, j = np.repeat(i, b - a), np.tile(np.arange(a, b), len(i))
+                found.append(nearest_of(*self.bounds(i, j, square.ravel(), own), k))
+        small = np.flatnonzero(~large & (high > low))
+        total = np.cumsum((high - low)[small])
+        for some in np.split(small, np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS))) if len(small) else ():
+            n = (high - low)[some]
+            i = np.repeat(visitor[some], n)
+            j = np.arange(n.sum()) + np.repeat(low[some] - (np.cumsum(n) - n), n)
+            found.append(self.bounds(i, j, ((self.x[j] - q[i]) ** 2).sum(axis=1), own))
+        if not found:
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.float64))
+        return nearest_of(*(np.concatenate(c) for c in zip(*found)), k)
+
+
+def nearest_of(i: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The (query, row, low, high) that may be among each query's k nearest: whose lowest
+    distance is not beyond the k-th smallest of the highest."""
+    order = np.lexsort((high, i))
+    i, j, low, high = i[order], j[order], low[order], high[order]
+    begin = np.searchsorted(i, i)
+    last = begin + k - 1
+    full = last < np.searchsorted(i, i, "right")
+    cut = np.where(full, high[np.minimum(last, len(i) - 1)], np.inf)
+    kept = low <= cut
+    return i[kept], j[kept], low[kept], high[kept]
 
 
 @F.arrow_udf(T.DoubleType())
@@ -195,26 +238,32 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
         return int(np.ceil((probe_share * kinds) ** axes))
 
     def code(dim: int, t: int, bucket: np.ndarray) -> np.ndarray:
-        return bucket * tables + t + (np.int64(dim) << 44)
+        """What buckets with the same first axis share."""
+        kinds = 2 << max(1, dim - 1).bit_length()
+        return bucket // kinds ** (axes - 1) * tables + t + (np.int64(dim) << 44)
 
-    def sent(code: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        """Rows gathered by code: codes, ids, bytes, scales and distances of vectors from them."""
+    def gathered(code: np.ndarray, held: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """Rows gathered by code: a row for each code, the values of its rows end to end."""
         order = np.argsort(code, kind="stable")
         cut = np.flatnonzero(np.diff(code[order], prepend=-1))
         groups = [order[a:b] for a, b in zip(cut, np.append(cut[1:], len(order)))]
-        held = (ids, *encoded(x))
-        return pa.record_batch([pa.array(code[order[cut]]), pa.array([len(g) for g in groups], pa.int32())] + [pa.array([a[g].tobytes() for g in groups], pa.binary()) for a in held], names=["code", "n", "ids", "bytes", "scale", "away"])
+        columns = [pa.array([a[g].tobytes() for g in groups], pa.binary()) for a in held.values()]
+        return pa.record_batch([pa.array(code[order[cut]]), pa.array([len(g) for g in groups], pa.int32()), *columns], names=["code", "n", *held])
+
+    def sent(code: np.ndarray, bucket: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        return gathered(code, dict(zip(("bucket", "ids", "bytes", "scale", "away"), (bucket, ids, *encoded(x)))))
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for ids, x in _matrices(part, kind):
                 for t in range(tables):
-                    yield sent(code(x.shape[1], t, buckets(x, signs(x.shape[1])[t])), ids, x)
+                    bucket = buckets(x, signs(x.shape[1])[t])
+                    yield sent(code(x.shape[1], t, bucket), bucket, ids, x)
 
-    def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def together(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for ids, x in _matrices(part, kind):
-                yield sent(np.full(len(ids), np.int64(x.shape[1]) << 44), ids, x)
+                yield sent(np.full(len(ids), np.int64(x.shape[1]) << 44), np.zeros(len(ids), np.int64), ids, x)
 
     def probing(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -224,23 +273,34 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
                 for at in range(0, len(vectors), step):
                     ids, x = every[at : at + step], vectors[at : at + step]
                     for t in range(tables if probe_share < 1 else 1):
-                        c = probes(x, signs(dim)[t], count(dim))
-                        yield pa.record_batch([pa.array(code(dim, t, c).ravel()), pa.array(np.repeat(ids, c.shape[1]))], names=["code", "key"])
+                        bucket = probes(x, signs(dim)[t], count(dim))
+                        for one in range(len(ids)):
+                            told = gathered(code(dim, t, bucket[one]), {"bucket": bucket[one]})
+                            keys_, vs = pa.array(np.full(len(told), ids[one])), pa.array([x[one].tobytes()] * len(told), pa.binary())
+                            yield pa.record_batch([told.column("code"), keys_, told.column("bucket"), vs], names=["code", "key", "bucket", "v"])
+
+    def asking_all(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zero = np.zeros(1, np.int64).tobytes()
+        for part in parts:
+            for ids, x in _matrices(part, kind):
+                yield pa.record_batch([pa.array(np.full(len(ids), np.int64(x.shape[1]) << 44)), pa.array(ids), pa.array([zero] * len(ids), pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["code", "key", "bucket", "v"])
 
-    index = "code long, n int, ids binary, bytes binary, scale binary, away binary"
+    index = "code long, n int, bucket binary, ids binary, bytes binary, scale binary, away binary"
+    visit = "code long, key long, bucket binary, v binary"
 
     def meet(one: pa.Table, other: pa.Table) -> pa.Table:
         if not one.num_rows or not other.num_rows:
             return pa.table({"key": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "low": pa.array([], pa.float64()), "high": pa.array([], pa.float64())})
         dim = one.column("code")[0].as_py() >> 44
-        ids, b, scale, away = (np.frombuffer(b"".join(one.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("bytes", np.int8), ("scale", np.float64), ("away", np.float64)))
-        q = other.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        found = _screened(ids, b.reshape(-1, dim) * scale[:, None], away, other.column("key").to_numpy(), q, k + 1)
-        return pa.table(dict(zip(("key", "rep", "low", "high"), found)))
+        group = _Group(one, dim)
+        blobs = other.column("bucket").to_pylist()
+        q = np.frombuffer(b"".join(other.column("v").to_pylist()), kind).astype(np.float64).reshape(-1, dim)
+        i, j, low, high = group.near(q, np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs]), np.frombuffer(b"".join(blobs), np.int64), k + 1)
+        return pa.table({"key": other.column("key").to_numpy()[i], "rep": group.ids[j], "low": low, "high": high})
 
     def nearest(dealt: DataFrame, asked: DataFrame) -> DataFrame:
         """(key, near): the k + 1 nearest found (score, vec_id) of each key, in order."""
-        found = dealt.groupBy("code", "chunk").cogroup(asked.join(keys, "key").groupBy("code", "chunk")).applyInArrow(meet, "key long, rep long, low double, high double")
+        found = dealt.groupBy("code", "chunk").cogroup(asked.groupBy("code", "chunk")).applyInArrow(meet, "key long, rep long, low double, high double")
         found = found.groupBy("key", "rep").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         by_key = Window.partitionBy("key")
         found = found.withColumn("n", F.row_number().over(by_key.orderBy("high", "rep")))
@@ -251,11 +311,11 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
         return near.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k + 1).alias("near"))
 
     # Only probed buckets travel; large ones are dealt to several tasks, each of which every query of the bucket visits.
-    indexed, asking = distinct.select("rep", "v").mapInArrow(hashed, index), keys.mapInArrow(probing, "code long, key long")
+    indexed, asking = distinct.select("rep", "v").mapInArrow(hashed, index), keys.mapInArrow(probing, visit)
     loads = indexed.groupBy("code").agg(F.sum("n").alias("rows")).join(asking.select("code").distinct(), "code")
     loads = table(loads.select("code", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "loads")
     dealt = indexed.join(loads, "code").withColumn("chunk", F.pmod(F.xxhash64("ids"), F.col("chunks")).cast("int")).drop("chunks")
-    visits = asking.join(loads, "code").select("code", "key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    visits = asking.join(loads, "code").select("code", "key", "bucket", "v", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     found = table(nearest(dealt, visits), "nearest")
 
     there = spark.createDataFrame([(d, ids) for d, (_, ids) in sizes.items()], "dim int, ids long")
@@ -264,8 +324,9 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     short = table(short, "short")
     if not short.isEmpty():
         blocks = -(-max(n for n, _ in sizes.values()) // CHUNK)
-        every = distinct.select("rep", "v").mapInArrow(gathered, index).withColumn("chunk", F.pmod(F.xxhash64("ids"), F.lit(blocks)).cast("int"))
-        all_blocks = short.select(F.shiftleft(F.col("dim").cast("long"), 44).alias("code"), "key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("chunk"))
+        every = distinct.select("rep", "v").mapInArrow(together, index).withColumn("chunk", F.pmod(F.xxhash64("ids"), F.lit(blocks)).cast("int"))
+        lacking = keys.join(short.select("key"), "key").select("key", "v").mapInArrow(asking_all, visit)
+        all_blocks = lacking.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         found = found.join(short, "key", "left_anti").unionByName(table(nearest(every, all_blocks), "widened"))
     answers = of.join(found, "key").select(F.explode("of").alias("query_id"), "near")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
