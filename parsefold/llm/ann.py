@@ -91,7 +91,7 @@ def probes(x: np.ndarray, signs: np.ndarray, count: int) -> np.ndarray:
         both = np.stack([y, -y], axis=2).reshape(len(y), -1)
         total = (score[:, :, None] + both[:, None, :]).reshape(len(y), -1)
         code = (codes[:, :, None] * both.shape[1] + np.arange(both.shape[1])).reshape(len(y), -1)
-        best = np.argsort(-total, axis=1, kind="stable")[:, :count]
+        best = np.argpartition(-total, count - 1, axis=1)[:, :count] if count < total.shape[1] else np.broadcast_to(np.arange(total.shape[1]), total.shape)
         codes, score = np.take_along_axis(code, best, 1), np.take_along_axis(total, best, 1)
     return codes
 
@@ -250,20 +250,21 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
         columns = [pa.array([a[g].tobytes() for g in groups], pa.binary()) for a in held.values()]
         return pa.record_batch([pa.array(code[order[cut]]), pa.array([len(g) for g in groups], pa.int32()), *columns], names=["code", "n", *held])
 
-    def sent(code: np.ndarray, bucket: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        return gathered(code, dict(zip(("bucket", "ids", "bytes", "scale", "away"), (bucket, ids, *encoded(x)))))
+    def sent(code: np.ndarray, bucket: np.ndarray, ids: np.ndarray, known: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return gathered(code, dict(zip(("bucket", "ids", "bytes", "scale", "away"), (bucket, ids, *known))))
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for ids, x in _matrices(part, kind):
+                known = encoded(x)
                 for t in range(tables):
                     bucket = buckets(x, signs(x.shape[1])[t])
-                    yield sent(code(x.shape[1], t, bucket), bucket, ids, x)
+                    yield sent(code(x.shape[1], t, bucket), bucket, ids, known)
 
     def together(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for ids, x in _matrices(part, kind):
-                yield sent(np.full(len(ids), np.int64(x.shape[1]) << 44), np.zeros(len(ids), np.int64), ids, x)
+                yield sent(np.full(len(ids), np.int64(x.shape[1]) << 44), np.zeros(len(ids), np.int64), ids, encoded(x))
 
     def probing(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -311,7 +312,7 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
         return near.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k + 1).alias("near"))
 
     # Only probed buckets travel; large ones are dealt to several tasks, each of which every query of the bucket visits.
-    indexed, asking = distinct.select("rep", "v").mapInArrow(hashed, index), keys.mapInArrow(probing, visit)
+    indexed, asking = table(distinct.select("rep", "v").mapInArrow(hashed, index), "index"), table(keys.mapInArrow(probing, visit), "visits")
     loads = indexed.groupBy("code").agg(F.sum("n").alias("rows")).join(asking.select("code").distinct(), "code")
     loads = table(loads.select("code", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "loads")
     dealt = indexed.join(loads, "code").withColumn("chunk", F.pmod(F.xxhash64("ids"), F.col("chunks")).cast("int")).drop("chunks")
