@@ -95,6 +95,12 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
 
 
+def pinned(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with value as a column that is evaluated where it stands: Spark does not take a
+    Python function out of a projection once its argument has grown a lambda."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def crc_fold(key: Column, folds: int = 5) -> Column:
     """crc32 of the key written as text, mod folds."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(folds)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsefold.llm import ann, chat, packing, quality, rules, segmenting, simhash, tokencount, toxicity, warc
+from parsefold.llm import ann, chat, divergence, packing, periodic, quality, rules, segmenting, simhash, sketch, tokencount, toxicity, warc
 from parsefold.llm.common import crc_fold
 
 
@@ -148,6 +148,156 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, at(i))), " ")
+
+    edited = F.when((h % 10 == 0) & (rules.word_chars(F.col("text")) > 0), rules.let(rules.words(F.col("text")), repeated)).otherwise(F.col("text"))
+    found = periodic.with_runs(read(spark, sf_dir, "documents").select("doc_id", edited.alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return found.withColumn("best", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) DIV (-best.period)").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: Twice as many words stand behind a rank at each level: texts of up to 2^17 words.
+OP11_LEVELS = 16
+
+
+def op11_sql() -> str:
+    """For each level k, words i and i + q begin the same 2^k words; in a run of period q,
+    2^(k-1) < q <= 2^k, the nearest such q is its period. Stretches of equal words at that
+    distance are then islands."""
+    ranks = "".join(
+        f", r{k} AS MATERIALIZED (SELECT doc_id, i, dense_rank() OVER (ORDER BY doc_id, r, s) AS r FROM (SELECT doc_id, i, r, lead(r, {1 << (k - 1)}, 0) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM r{k - 1}))"
+        for k in range(1, OP11_LEVELS)
+    )
+    near = " UNION ".join(f"SELECT DISTINCT doc_id, q FROM (SELECT doc_id, lead(i) OVER (PARTITION BY doc_id, r ORDER BY i) - i AS q FROM r{k}) WHERE q <= {1 << k} AND q > {(1 << k) // 2}" for k in range(OP11_LEVELS))
+    return rf"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda w: w <> '') AS w,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT) AS h
+  FROM documents
+), drawn AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS hit, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS d FROM split
+), edited AS (
+  SELECT doc_id, CASE WHEN hit THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // d) END]) ELSE w END AS w FROM drawn
+), words AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM edited),
+r0 AS MATERIALIZED (SELECT doc_id, i, dense_rank() OVER (ORDER BY doc_id, word) AS r FROM words){ranks},
+near AS MATERIALIZED ({near}),
+equal AS (
+  SELECT n.doc_id, n.q, a.i, a.i - row_number() OVER (PARTITION BY n.doc_id, n.q ORDER BY a.i) AS island
+  FROM near n JOIN r0 a ON a.doc_id = n.doc_id JOIN r0 b ON b.doc_id = n.doc_id AND b.i = a.i + n.q AND b.r = a.r
+), long AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM equal GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT * FROM long x WHERE NOT EXISTS (SELECT 1 FROM long y WHERE y.doc_id = x.doc_id AND y.q < x.q AND x.q % y.q = 0 AND y.s <= x.s AND y.s + y.l >= x.s + x.l)
+), dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS c FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id),
+each AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed, min((-l, s, q)) AS best FROM runs GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[2] AS start, -best[1] AS length, best[3] AS period, 1000 * -best[1] // best[3] AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM documents LEFT JOIN each USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketch.audit(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", sketch.hexadecimal(F.col("sketch")).alias("fingerprint"), sketch.hexadecimal(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op12_sql() -> str:
+    """The same 64-bit arithmetic, word for word, in 128 bits."""
+    top = "18446744073709551616::UHUGEINT"
+    summed = " + ".join(f"coalesce(lead(h, {k}) OVER each, 0)::UHUGEINT * {m}::UHUGEINT % {top}" for k, m in enumerate(sketch.multipliers(sketch.SHINGLE_WORDS)))
+    step = lambda x, right, m: f"(xor({x}, {x} >> {right})::UHUGEINT * {m}::UHUGEINT % {top})::UBIGINT"
+    return rf"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next,
+    coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) AS u
+  FROM documents WINDOW o AS (ORDER BY doc_id)
+), both_texts AS (
+  SELECT doc_id, false AS edited, t FROM ordered
+  UNION ALL SELECT doc_id, true, left(t, length(t) - length(t) // 4) || left(u, length(t) // 4) FROM ordered
+), split AS (
+  SELECT doc_id, edited, list_filter(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda w: w <> '') AS w FROM both_texts
+), words AS (
+  SELECT doc_id, edited, unnest(range(len(w))) AS i, len(w) AS n, md5_number_lower(unnest(w)) AS h FROM split
+), summed AS (
+  SELECT doc_id, edited, i, n, (({summed}) % {top})::UBIGINT AS x FROM words WINDOW each AS (PARTITION BY doc_id, edited ORDER BY i)
+), mixed AS (SELECT doc_id, edited, {step("x", 30, 0xBF58476D1CE4E5B9)} AS x FROM summed WHERE i + {sketch.SHINGLE_WORDS} <= n OR i = 0
+), again AS (SELECT doc_id, edited, {step("x", 27, 0x94D049BB133111EB)} AS x FROM mixed
+), hashes AS (SELECT DISTINCT doc_id, edited, xor(x, x >> 31) >> 1 AS x FROM again
+), low AS (
+  SELECT doc_id, edited, x FROM hashes QUALIFY x < {(1 << 63) // sketch.SCALE} OR (x = min(x) OVER (PARTITION BY doc_id, edited))
+), sketches AS (
+  SELECT doc_id, edited, coalesce(list(x ORDER BY x) FILTER (x IS NOT NULL), []) AS s FROM both_texts LEFT JOIN low USING (doc_id, edited) GROUP BY doc_id, edited
+), three AS (
+  SELECT o.doc_id, length(o.t) AS n_chars, a.s AS a, b.s AS b, c.s AS c, left(t, length(t) - length(t) // 4) || left(u, length(t) // 4) AS e
+  FROM ordered o JOIN sketches a ON a.doc_id = o.doc_id AND NOT a.edited JOIN sketches b ON b.doc_id = o.doc_id AND b.edited JOIN sketches c ON c.doc_id = o.next AND NOT c.edited
+)
+SELECT doc_id, n_chars, sha256(e) AS edited_sha256,
+  coalesce(array_to_string(list_transform(a, lambda x: printf('%016x', x)), ''), '') AS fingerprint,
+  coalesce(array_to_string(list_transform(b, lambda x: printf('%016x', x)), ''), '') AS edited_fingerprint,
+  CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST(len(a) = len(b) AS DOUBLE) ELSE len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) END AS near_edited,
+  CASE WHEN len(a) = 0 OR len(c) = 0 THEN CAST(len(a) = len(c) AS DOUBLE) ELSE len(list_intersect(a, c))::DOUBLE / least(len(a), len(c)) END AS near_next
+FROM three
+"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    unnest(list_concat([NULL], string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM documents
+), groups AS (SELECT DISTINCT lang, source FROM docs
+), counts AS (SELECT lang, source, term, count(*) AS n FROM docs WHERE term <> '' GROUP BY lang, source, term
+), vocabulary AS (SELECT lang, term FROM docs WHERE term <> '' GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), sized AS (SELECT lang, count(*) AS v FROM vocabulary GROUP BY lang
+), cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n FROM groups g JOIN vocabulary k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), shares AS (
+  SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source)::HUGEINT + 5 * v) AS p FROM cells JOIN sized USING (lang)
+), whole AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang)::HUGEINT + 5 * v) AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM cells GROUP BY lang, term) JOIN sized USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT s.lang, s.source, t.source AS item, sum(abs(s.p - t.p)) AS value FROM shares s JOIN shares t USING (lang, term) GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), both_parts AS (
+  SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM both_parts)
+WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -160,8 +310,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_counts": op10_token_counts,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_document_fingerprints": op12_document_fingerprints,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op6_warc": OP6_SQL, "op8_quality_rules": OP8_SQL}
+    return {
+        "op3_chat_formatting": OP3_SQL,
+        "op6_warc": OP6_SQL,
+        "op8_quality_rules": OP8_SQL,
+        "op11_periodic_runs": op11_sql(),
+        "op12_document_fingerprints": op12_sql(),
+        "op13_source_divergence": OP13_SQL,
+    }
