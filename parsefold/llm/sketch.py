@@ -148,12 +148,11 @@ def in_ranges(rows: DataFrame, key: str, ranges: int | None = None) -> DataFrame
 
     @F.arrow_udf("array<struct<range:int,halo:boolean>>")
     def places(keys: pa.Array) -> pa.Array:
+        # Before the first bound are null keys and, in their range, what follows them.
         none, own = keys.is_null().to_numpy(zero_copy_only=False), keys.fill_null(0).to_numpy(zero_copy_only=False)
         at = np.searchsorted(bounds, own, side="right") - 1 + has_null
         at[none] = 0
-        begins = np.zeros(len(own), bool)
-        begins[~none] = bounds[at[~none] - has_null] == own[~none]
-        begins |= none
+        begins = none | np.isin(own, bounds)
         many = offsets(1 + begins.astype(np.int64))
         to, halo = np.repeat(at, 1 + begins), np.zeros(many[-1], bool)
         last = many[1:][begins] - 1
