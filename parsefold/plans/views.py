@@ -67,6 +67,22 @@ def library(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return documents.select(key, "name", "kind", pages.alias("pages"), F.concat(pages.cast("string"), F.when(pages == 1, " page").otherwise(" pages")).alias("label"))
 
 
+def omission_totals(omissions: DataFrame, sets: list[tuple[str, ...]], key: str = "doc_id") -> DataFrame:
+    """Totals of omission rows over several groupings at once: the columns grouped by (null
+    where a grouping does not use them), `level` (grouping ids: a bit for each column, set
+    where it is not used, the first the highest), omissions, characters and documents. Rows
+    are counted before they are shuffled; documents are told apart by an aggregate by key.
+    An empty grouping gives one row even without omissions."""
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    grouped = omissions.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns])
+    return grouped.agg(
+        F.grouping_id().cast("long").alias("level"),
+        F.count("*").alias("omissions"),
+        F.coalesce(F.sum(F.char_length("text")), F.lit(0)).cast("long").alias("characters"),
+        F.count_distinct(key).alias("documents"),
+    )
+
+
 def skipped_passages(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each passage, and whether the queue passes it over."""
     inside = let(F.transform("queue", lambda q: q["source_index"]), lambda ids: F.transform("passages", lambda p, i: F.struct(i.alias("source_index"), p["page"].alias("page"), (~F.array_contains(ids, i)).alias("skipped"))))

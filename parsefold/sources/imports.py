@@ -89,16 +89,19 @@ def docx_text(content: bytes) -> str:
     return text(body) if body is not None else ""
 
 
-def _decoded_docx(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text and Word files, told apart in the task: path, name, route, text, whole, error."""
     for part in parts:
         rows = []
-        for content in part.column(1).to_pylist():
+        for i in range(part.num_rows):
+            kind, content = part.column(2)[i].as_py(), part.column(3)[i].as_py()
             try:
-                rows.append((docx_text(content), docx_is_whole(content), None))
+                text = content.decode("utf-8-sig", "replace") if kind == "text" else docx_text(content)
+                rows.append((text, kind == "text" or docx_is_whole(content), None))
             except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
                 rows.append((None, True, f"This Word file could not be opened: {e}"))
         texts, whole, errors = zip(*rows) if rows else ((), (), ())
-        yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), pa.array(whole, pa.bool_()), pa.array(errors, pa.string())], names=["path", "text", "whole", "error"])
+        yield pa.record_batch([*part.columns[:3], pa.array(texts, pa.string()), pa.array(whole, pa.bool_()), pa.array(errors, pa.string())], names=["path", "name", "route", "text", "whole", "error"])
 
 
 def image_recogniser(make_engine: Callable[[], Any], timeout_ms: int = v.TASK_TIMEOUT_MS) -> Callable[[DataFrame], DataFrame]:
@@ -149,11 +152,10 @@ def import_files(files: DataFrame, pdf_provider: Callable[[DataFrame], DataFrame
 
     good = routed.where("error IS NULL")
     parts = [row(routed.where("error IS NOT NULL"), null, empty, empty, F.col("error"))]
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    parts.append(row(good.where("route = 'text'"), F.lit("Text"), paginate(F.regexp_replace(text, r"^\x{FEFF}", ""))))
-    word = good.where("route = 'docx'").select("path", "content").mapInArrow(_decoded_docx, "path string, text string, whole boolean, error string")
-    word = good.where("route = 'docx'").select("path", "name").join(word, "path")
-    parts.append(row(word, F.lit("Word"), F.coalesce(paginate(F.col("text")), empty), F.when(F.col("whole"), empty).otherwise(F.array(F.lit(v.WARN_WORD))), F.col("error")))
+    # One pass opens texts and Word files, whatever their mix; names travel with them.
+    opened = good.where("route IN ('text', 'docx')").select("path", "name", "route", "content").mapInArrow(_decoded, "path string, name string, route string, text string, whole boolean, error string")
+    kind = F.when(F.col("route") == "text", "Text").otherwise("Word")
+    parts.append(row(opened, kind, F.coalesce(paginate(F.col("text")), empty), F.when(F.col("whole"), empty).otherwise(F.array(F.lit(v.WARN_WORD))), F.col("error")))
     for kind, provider, label in (("pdf", pdf_provider, "PDF"), ("image", image_provider, "Image · text recognized")):
         own = good.where(F.col("route") == kind)
         if provider is None:
@@ -176,7 +178,7 @@ def import_files(files: DataFrame, pdf_provider: Callable[[DataFrame], DataFrame
 
 def import_to(path: str, files: DataFrame, signal: Signal | None = None, progress: Callable[[str, int], None] | None = None, timeout_ms: int | None = None, **providers: Callable[[DataFrame], DataFrame]) -> str | None:
     """Import files and write the documents that were opened under path as Parquet; what
-    failed is reported, a line for each file, or None. Setting the signal, from another
+    failed is a table beside them, of which the first lines are returned, or None. Setting the signal, from another
     thread, ends the running tasks and raises Cancelled; so does the time limit, with
     TimeoutError. progress(message, percent) follows the share of tasks done."""
     spark, made = files.sparkSession, import_files(files, **providers)
@@ -185,7 +187,8 @@ def import_to(path: str, files: DataFrame, signal: Signal | None = None, progres
         made.write.mode("overwrite").parquet(f"{path}/all")
         done = spark.read.schema(made.schema).parquet(f"{path}/all")
         done.where("error IS NULL").write.mode("overwrite").parquet(f"{path}/documents")
-        return failure_report(done).first()["report"] or None
+        failure_report(done).write.mode("overwrite").parquet(f"{path}/failures")
+        return shown_report(done)
 
     return run_job(spark, work, signal or Signal(), progress, "Opening files…", timeout_ms)
 
@@ -215,9 +218,23 @@ def reread(documents: DataFrame, again: DataFrame, key: str = "doc_id") -> DataF
 
 
 def failure_report(imported: DataFrame) -> DataFrame:
-    """One row: 'name: message' of each failed file, a line each, in order of path."""
-    failed = imported.where("error IS NOT NULL").agg(F.sort_array(F.collect_list(F.struct("path", F.concat("name", F.lit(": "), "error").alias("line")))).alias("x"))
-    return failed.select(F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("report"))
+    """(path, line): 'name: message' for each failed file. Readers that show it order by
+    path; however many files fail, they stay rows."""
+    return imported.where("error IS NOT NULL").select("path", F.concat(F.coalesce("name", F.lit("")), F.lit(": "), "error").alias("line"))
+
+
+#: Lines of a report that is shown as one text.
+SHOWN = 100
+
+
+def shown_report(imported: DataFrame) -> str | None:
+    """The first lines of the failure report by path, and how many more there are; None if
+    nothing failed."""
+    report = failure_report(imported)
+    lines = [r["line"] for r in report.orderBy("path").limit(SHOWN + 1).collect()]
+    if len(lines) > SHOWN:
+        lines[SHOWN:] = [f"and {report.count() - SHOWN} more"]
+    return "\n".join(lines) or None
 
 
 def text_of(documents: DataFrame, *also: str) -> DataFrame:

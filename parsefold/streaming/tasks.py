@@ -77,10 +77,10 @@ def reporter(signal: Signal, progress: Callable[[str, int], None]) -> Callable[[
     return lambda message, percent: None if signal.aborted else progress(message, percent)
 
 
-def run_job(spark: SparkSession, work: Callable[[], Any], signal: Signal, progress: Callable[[str, int], None] | None = None, message: str = "", timeout_ms: int | None = None, every_s: float = 0.2) -> Any:
+def run_job(spark: SparkSession, work: Callable[[], Any], signal: Signal, progress: Callable[[str, int], None] | None = None, message: str = "", timeout_ms: int | None = None, every_s: float = 0.2, share: Callable[[], int] | None = None) -> Any:
     """work(), whose Spark jobs carry a tag: they are cancelled when the signal is set or the
-    time is over. progress(message, percent of the tasks begun that are done) is told every
-    every_s seconds, and nothing any more once the signal is set."""
+    time is over. progress(message, percent of the tasks begun that are done, or what share()
+    gives) is told every every_s seconds, and nothing any more once the signal is set."""
     sc, tag = spark.sparkContext, f"parsefold-{uuid.uuid4().hex}"
     ended = threading.Event()
     told = reporter(signal, progress or (lambda message, percent: None))
@@ -95,6 +95,9 @@ def run_job(spark: SparkSession, work: Callable[[], Any], signal: Signal, progre
     def watch() -> None:
         tracker = sc._jsc.sc().statusTracker()
         while not ended.wait(every_s):
+            if share is not None:
+                told(message, share())
+                continue
             stages = [s for j in tracker.getJobIdsForTag(tag) if tracker.getJobInfo(j).isDefined() for s in tracker.getJobInfo(j).get().stageIds()]
             infos = [x.get() for x in map(tracker.getStageInfo, stages) if x.isDefined()]
             total = sum(i.numTasks() for i in infos)

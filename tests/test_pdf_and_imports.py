@@ -74,7 +74,7 @@ def test_files_are_imported_and_failures_reported(spark, tmp_path):
     assert got["b.docx"].pages == ["One end\n\nTwo end"] and got["b.docx"].kind == "Word"
     assert "could not be opened" in got["c.docx"].error and got["d.exe"].error == v.UNSUPPORTED and got["f.md"].error == v.NO_TEXT
     assert got["g.csv"].pages == ["a,�,b"]
-    report = imports.failure_report(imports.import_files(imports.scan_files(spark, str(tmp_path)))).first().report
+    report = imports.shown_report(imports.import_files(imports.scan_files(spark, str(tmp_path))))
     assert len(report.split("\n")) == 4 and report.startswith("c.docx: ")
 
     def reader(files):
