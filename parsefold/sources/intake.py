@@ -67,6 +67,18 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
 
 
+def _opened(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """These files and no others. Spark looks each of them up, by default in a task of its
+    own; a few for each core will do."""
+    conf = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.format("binaryFile").load([_literal(p) for p in paths])
+    finally:
+        spark.conf.set(conf, before)
+
+
 def _literal(path: str) -> str:
     """The path as a pattern that matches nothing else."""
     return "".join("\\" + c if c in "\\*?[]{}" else c for c in path)
@@ -164,7 +176,7 @@ def take_in(spark: SparkSession, folder: str, path: str, readers: Readers | None
         spark.createDataFrame([], DECODED).write.parquet(opened)
         paths = (r["path"] for r in new.where("error IS NULL").select("path").toLocalIterator())
         while some := list(itertools.islice(paths, PATHS)):
-            content = spark.read.format("binaryFile").load([_literal(p) for p in some])
+            content = _opened(spark, some)
             name = F.element_at(F.split("path", "/"), -1)
             content.select("path", name.alias("name"), route(name, none).alias("route"), "content").mapInArrow(_decoder(readers, counted), DECODED).write.mode("append").parquet(opened)
         decoded = spark.read.schema(spark.createDataFrame([], DECODED).schema).parquet(opened)
