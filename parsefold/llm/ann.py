@@ -1,21 +1,27 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are scaled to unit length and put through fast pseudo-rotations (three rounds of
-random signs and a Walsh-Hadamard transform); the hash is the signed axis nearest to the
-result, taken AXES times. Each of TABLES
-tables is searched in the buckets whose axes the query is nearest to. A bucket and the
-queries that probe it meet in a task. There a vector is one byte a component with a
-bound on what that costs; what may still be among a query's nearest is then fetched
-once, by id, and measured exactly.
+Vectors are centred, scaled to unit length and put through fast pseudo-rotations (three
+rounds of random signs and a Walsh-Hadamard transform); the hash is the signed axis nearest
+to the result, taken once, twice or three times, as the table is large. As Euclidean
+distance also asks for lengths, a bucket is a band of lengths and those axes. Each of TABLES
+tables is searched in the buckets that promise the smallest distance.
+
+How many buckets that takes depends on the data, so it is measured: the true neighbours of a
+bounded sample of queries are found by brute force, and the index is probed as far as it
+takes to find the wanted share of them. A bucket and the queries that probe it meet in a
+task. There a vector is one byte a component with a bound on what that costs; what may still
+be among a query's nearest is then fetched once, by id, and measured exactly.
 
 Equal vectors are one row with their k + 1 smallest ids (no other copy can be among the
-k nearest of any query), so a vector repeated in a third of all rows costs as much as
-any. Buckets that are still large are split into chunks, all of which the query visits.
+k nearest of any query), so a vector repeated in a third of all rows costs as much as any.
+A visit travels once, to the one task that holds its bucket; only a bucket that is itself
+too large for a task is split, and visited in each part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +33,24 @@ from pyspark.sql import types as T
 from parsefold.llm.common import ship, table
 
 K = 10
-TABLES = 16
-#: Signed axes that name a bucket, and the share of each axis's kinds that a query probes:
-#: with 64 dimensions 20 * 20 of 128 * 128 buckets a table, which hold about a third of all
-#: rows over 16 tables, at every size. On vectors spread evenly even 16 * 16 find 0.92 of the
-#: ten nearest of 500, 0.955 of 2,000, 0.983 of 10,256, 0.997 of 51,282 and 0.99 of 200,000:
-#: the larger the table, the nearer its neighbours. From millions of rows on fewer probes will do (64
-#: buckets find 0.98 at 2^21, three axes and 512 buckets 0.975 at 2^28).
-AXES, PROBE_SHARE = 2, 5 / 32
+#: Tables at most: as many are used as make for the least work.
+TABLES = 8
+#: Share of the true neighbours of the sample that the probed buckets hold; what is asked
+#: of the whole is 0.9.
+RECALL = 0.97
+#: The sample: rows from which mean, bands of lengths and the load of buckets are taken, and
+#: queries whose true neighbours are found by brute force.
+FIT_ROWS, FIT_QUERIES = 4096, 128
+#: Bands of lengths, at most, and by what factor their limits differ at least.
+BANDS, APART = 8, 1.1
+#: Rows for each bucket, on average, from which one more axis names it.
+FILLED = 0.5
+#: Rows that meet in a task, about, and rows of one bucket from which it is split.
+GROUP, CHUNK = 32_768, 65_536
+#: What probing a bucket costs, beside measuring a vector.
+PROBE = 0.2
 #: Scores of buckets held at once while probes are chosen.
 SCORES = 1 << 21
-#: Vectors, at most, of the buckets of one first axis in one task.
-CHUNK = 65_536
 #: Rows of a bucket from which distances are a product of matrices; pairs held at once.
 LARGE, PAIRS = 512, 1 << 16
 #: Rows, at most, into which the ids of equal queries are dealt.
@@ -64,36 +76,169 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def rotated(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    padded = np.zeros((len(x), signs.shape[-1]), np.float32)
-    padded[:, : x.shape[1]] = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-    for s in signs:
-        padded = hadamard(padded * s) / np.sqrt(np.float32(signs.shape[-1]))
-    return padded
-
-
-def buckets(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """The bucket of each row in one table: one signed axis for each level."""
-    out = np.zeros(len(x), np.int64)
-    for level in signs:
-        y = rotated(x, level)
-        axis = np.abs(y).argmax(axis=1)
-        out = out * (2 * y.shape[1]) + 2 * axis + (y[np.arange(len(y)), axis] < 0)
-    return out
-
-
-def probes(x: np.ndarray, signs: np.ndarray, count: int) -> np.ndarray:
-    """The `count` buckets of one table that each row is nearest to: highest sums, over
-    the levels, of the coordinates along the signed axes."""
-    codes, score = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), np.float32)
-    for level in signs:
-        y = rotated(x, level)
-        both = np.stack([y, -y], axis=2).reshape(len(y), -1)
-        total = (score[:, :, None] + both[:, None, :]).reshape(len(y), -1)
-        code = (codes[:, :, None] * both.shape[1] + np.arange(both.shape[1])).reshape(len(y), -1)
-        best = np.argpartition(-total, count - 1, axis=1)[:, :count] if count < total.shape[1] else np.broadcast_to(np.arange(total.shape[1]), total.shape)
-        codes, score = np.take_along_axis(code, best, 1), np.take_along_axis(total, best, 1)
-    return codes
+@dataclass
+class Index:
+    """What hashing needs to know of vectors of one dimension."""
+
+    signs: np.ndarray  # tables, axes, 3, width
+    mean: np.ndarray
+    limits: np.ndarray  # lengths between bands
+    length: np.ndarray  # the middle length of each band
+    tallest: float = 0.0  # mean of the largest coordinate after rotation
+    probes: int = 0  # buckets that a query visits in each table
+    ranges: list[np.ndarray] | None = None  # for each table, buckets at which a range begins
+    parts: list[dict[int, int]] | None = None  # for each table, the buckets that are split
+    within: int = 1  # tasks among which the buckets of a range are dealt
+    rows: int = 0
+    whole: bool = False  # all rows are one bucket, and every query visits it
+
+    @property
+    def kinds(self) -> int:
+        return 2 * self.signs.shape[-1]
+
+    @property
+    def cells(self) -> int:
+        """Buckets of a table."""
+        return len(self.length) * self.kinds ** self.signs.shape[1]
+
+    def centred(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Directions and lengths, seen from the mean."""
+        x = x.astype(np.float64) - self.mean
+        length = np.sqrt((x * x).sum(axis=1))
+        return (x / np.maximum(length, 1e-300)[:, None]).astype(np.float32), length
+
+    def along(self, unit: np.ndarray, table_: int) -> list[np.ndarray]:
+        """The coordinates along the signed axes, for each axis of a table's buckets."""
+        out = []
+        for level in self.signs[table_]:
+            y = np.zeros((len(unit), level.shape[-1]), np.float32)
+            y[:, : unit.shape[1]] = unit
+            for s in level:
+                y = hadamard(y * s) / np.sqrt(np.float32(level.shape[-1]))
+            out.append(np.stack([y, -y], axis=2).reshape(len(y), -1))
+        return out
+
+    def band(self, length: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.limits, length, side="right")
+
+    def buckets(self, unit: np.ndarray, length: np.ndarray, table_: int) -> np.ndarray:
+        if self.whole:
+            return np.zeros(len(unit), np.int64)
+        out = self.band(length)
+        for y in self.along(unit, table_):
+            out = out * self.kinds + y.argmax(axis=1)
+        return out
+
+    def promise(self, length: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """What the squared distance is likely to exceed |q|^2 by: for each query, band and
+        sum of coordinates along a bucket's axes."""
+        r = self.length[None, :, None]
+        return r * r - 2 * r * self.tallest * length[:, None, None] * score[:, None, :]
+
+    def sums(self, unit: np.ndarray, table_: int) -> np.ndarray:
+        """For each row and all axes of a table, in order of their number, the sums of the
+        coordinates along them."""
+        total = np.zeros((len(unit), 1), np.float32)
+        for y in self.along(unit, table_):
+            total = (total[:, :, None] + y[:, None, :]).reshape(len(unit), -1)
+        return total
+
+    def probed(self, unit: np.ndarray, length: np.ndarray, table_: int) -> np.ndarray:
+        """The buckets of a table that each row promises to find the nearest in."""
+        if self.whole:
+            return np.zeros((len(unit), 1), np.int64)
+        score = self.sums(unit, table_)
+        each = score.shape[1]
+        best = min(self.probes, each)
+        axes = np.argpartition(-score, best - 1, axis=1)[:, :best] if best < each else np.broadcast_to(np.arange(each), score.shape)
+        value = self.promise(length, np.take_along_axis(score, axes, 1)).reshape(len(unit), -1)
+        code = (np.arange(len(self.length))[None, :, None] * each + axes[:, None, :]).reshape(len(unit), -1)
+        kept = np.argpartition(value, self.probes - 1, axis=1)[:, : self.probes] if self.probes < value.shape[1] else np.broadcast_to(np.arange(value.shape[1]), value.shape)
+        return np.take_along_axis(code, kept, 1)
+
+    def task(self, table_: int, bucket: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The number of the task that a bucket's part meets its visits in: ranges of buckets
+        with about as many rows each, whose buckets may be dealt further, and the parts of
+        buckets that are split."""
+        range_ = np.searchsorted(self.ranges[table_], bucket, side="right")
+        further = np.where(part > 0, self.within + part, (bucket * 2654435761 >> 8) % self.within)
+        return (np.int64(len(self.mean)) << 44) + (((np.int64(table_) << 18) + range_) << 20) + further
+
+    def visited(self, table_: int, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets with their parts: all parts of a bucket that is split."""
+        many = np.ones(len(bucket), np.int64)
+        for hot, parts in self.parts[table_].items():
+            many[bucket == hot] = parts
+        end = np.cumsum(many)
+        return np.repeat(bucket, many), np.arange(end[-1] if len(end) else 0) - np.repeat(end - many, many)
+
+    def place(self, unit: np.ndarray, length: np.ndarray, table_: int, x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """How many buckets of a table come before the bucket of x[j] when query of[j] probes
+        them in order of promise."""
+        bucket = self.buckets(*self.centred(x), table_)
+        out = np.zeros(len(x), np.int64)
+        for q in np.unique(of):
+            own = np.flatnonzero(of == q)
+            score = np.sort(self.sums(unit[q : q + 1], table_)[0])
+            plain = self.sums(unit[q : q + 1], table_)[0]
+            band, axes = np.divmod(bucket[own], len(score))
+            value = self.length[band] ** 2 - 2 * self.length[band] * self.tallest * length[q] * plain[axes]
+            for r in self.length:  # scores from which a bucket of this band promises more
+                from_ = (r * r - value) / np.maximum(2 * r * self.tallest * length[q], 1e-300)
+                out[own] += len(score) - np.searchsorted(score, from_, side="right")
+        return out
+
+
+def fitted(dim: int, n: int, rows: np.ndarray, tables: int, axes: int | None = None) -> Index:
+    """The index for n vectors of one dimension, from a sample of them."""
+    width = 1 << max(1, dim - 1).bit_length()
+    if axes is None:
+        axes = next((a for a in (3, 2) if n >= FILLED * (2 * width) ** a), 1)
+    mean = rows.astype(np.float64).mean(axis=0)
+    length = np.sqrt(((rows - mean) ** 2).sum(axis=1))
+    limits: list[float] = []
+    for limit in np.quantile(length, np.arange(1, BANDS) / BANDS):
+        if limit > APART * (limits[-1] if limits else max(length.min(), 1e-300)) and limit < length.max() / APART:
+            limits.append(float(limit))
+    band = np.searchsorted(limits, length, side="right")
+    middle = np.array([np.median(length[band == b]) if (band == b).any() else 0.0 for b in range(len(limits) + 1)])
+    index = Index(rotations(dim, tables, axes), mean, np.array(limits), middle, rows=n)
+    unit, length = index.centred(rows)
+    index.tallest = float(index.along(unit[:512], 0)[0].max(axis=1).mean())
+    index.ranges, index.parts = [], []
+    many = min(len(rows), -(-n // GROUP))
+    for t in range(tables):
+        held = np.sort(index.buckets(unit, length, t))
+        index.ranges.append(np.unique(held[np.arange(1, many) * len(held) // many]))
+        own, seen = np.unique(held, return_counts=True)
+        index.parts.append({int(o): int(-(-s * n // (len(rows) * CHUNK))) for o, s in zip(own, seen) if s > 1 and s * n > len(rows) * CHUNK})
+    index.within = max(1, -(-n // (GROUP * len(rows))))
+    return index
+
+
+def calibrate(index: Index, queries: np.ndarray, near: np.ndarray, of: np.ndarray, rows: np.ndarray, recall: float) -> float:
+    """Set how many tables a query visits, and how many buckets of each, so that the sample's
+    queries find that share of their neighbours near[j], which belong to query of[j]. Of all
+    numbers of tables the one with the least work counts, which is returned: the share of
+    rows, all tables together, that a query is measured against, and PROBE for each bucket.
+    Where that is not below one, or all is wanted, every query visits all rows."""
+    best = (1.0, 1, 0)
+    if recall < 1 and len(near):
+        unit, length = index.centred(queries)
+        seen, lengths = index.centred(rows[:1024])
+        some = slice(0, 32)
+        places, share = np.full(len(near), np.iinfo(np.int64).max), 0.0
+        held = [index.buckets(seen, lengths, t) for t in range(len(index.signs))]
+        for t in range(len(index.signs)):
+            places = np.minimum(places, index.place(unit, length, t, near, of))
+            index.probes = int(min(index.cells, np.sort(places)[int(np.ceil(recall * len(places))) - 1] + 1))
+            share = sum(float(np.isin(held[s], p).mean()) for s in range(t + 1) for p in index.probed(unit[some], length[some], s)) / len(unit[some])
+            best = min(best, (share + PROBE * (t + 1) * index.probes / index.rows, t + 1, index.probes))
+    work, tables, index.probes = best
+    index.signs = index.signs[:tables]
+    if not index.probes:
+        index.whole, index.within, index.ranges, index.parts = True, 1, [np.zeros(0, np.int64)], [{0: -(-index.rows // CHUNK)}]
+    return work
 
 
 def usable(vector: Column) -> Column:
@@ -194,16 +339,17 @@ def _distance(one: pa.Array, other: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
-def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, tables: int = TABLES, axes: int = AXES, probe_share: float = PROBE_SHARE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, recall: float = RECALL, tables: int = TABLES, axes: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row with is_query, its k nearest
     found rows other than itself by Euclidean distance in double precision, ties to
     smaller ids; all candidates, if there are fewer.
 
-    A bucket is named by `axes` signed axes, each of twice as many kinds as there are
-    dimensions (padded to a power of two). In each table a query visits the
-    (probe_share * kinds) ** axes buckets that it is nearest to; with a share of 1 it
-    visits all buckets of one table, and the answer is exact. A query for which fewer than k rows
-    are found, though there are more, is searched against all rows, in blocks.
+    The index is fitted to a sample of FIT_ROWS rows and FIT_QUERIES queries of each
+    dimension, drawn by hash of their ids, and covers every row; as many buckets are probed
+    as find `recall` of the sample's true neighbours. With a recall of 1 the answer is exact,
+    and all rows are compared. `axes` fixes how many axes name a bucket. A query for which
+    fewer than k rows are found, though there are more, is searched against all rows, in
+    blocks.
 
     Vectors that are null or empty, all zero, or hold a null or non-finite component take
     no part, nor do rows without id. Vectors of different dimensions are never near. Of
@@ -226,21 +372,7 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     of = salted.join(keys, "v").select("key", "of")
 
     sizes = {r["dim"]: (r["n"], r["ids"]) for r in distinct.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()}  # one row for each dimension
-    seeds: dict[int, np.ndarray] = {}
-
-    def signs(dim: int) -> np.ndarray:
-        if dim not in seeds:
-            seeds[dim] = rotations(dim, tables, axes)
-        return seeds[dim]
-
-    def count(dim: int) -> int:
-        kinds = 2 << max(1, dim - 1).bit_length()
-        return int(np.ceil((probe_share * kinds) ** axes))
-
-    def code(dim: int, t: int, bucket: np.ndarray) -> np.ndarray:
-        """What buckets with the same first axis share."""
-        kinds = 2 << max(1, dim - 1).bit_length()
-        return bucket // kinds ** (axes - 1) * tables + t + (np.int64(dim) << 44)
+    known = _fit(distinct, keys, kind, {d: n for d, (n, _) in sizes.items()}, k, recall, tables, axes)
 
     def gathered(code: np.ndarray, held: dict[str, np.ndarray]) -> pa.RecordBatch:
         """Rows gathered by code: a row for each code, the values of its rows end to end."""
@@ -248,45 +380,53 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
         cut = np.flatnonzero(np.diff(code[order], prepend=-1))
         groups = [order[a:b] for a, b in zip(cut, np.append(cut[1:], len(order)))]
         columns = [pa.array([a[g].tobytes() for g in groups], pa.binary()) for a in held.values()]
-        return pa.record_batch([pa.array(code[order[cut]]), pa.array([len(g) for g in groups], pa.int32()), *columns], names=["code", "n", *held])
+        return pa.record_batch([pa.array(code[order[cut]]), *columns], names=["code", *held])
 
-    def sent(code: np.ndarray, bucket: np.ndarray, ids: np.ndarray, known: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return gathered(code, dict(zip(("bucket", "ids", "bytes", "scale", "away"), (bucket, ids, *known))))
+    def sent(code: np.ndarray, bucket: np.ndarray, ids: np.ndarray, what: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return gathered(code, dict(zip(("bucket", "ids", "bytes", "scale", "away"), (bucket, ids, *what))))
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for ids, x in _matrices(part, kind):
-                known = encoded(x)
-                for t in range(tables):
-                    bucket = buckets(x, signs(x.shape[1])[t])
-                    yield sent(code(x.shape[1], t, bucket), bucket, ids, known)
-
-    def together(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for ids, x in _matrices(part, kind):
-                yield sent(np.full(len(ids), np.int64(x.shape[1]) << 44), np.zeros(len(ids), np.int64), ids, encoded(x))
+                index, what = known[x.shape[1]], encoded(x)
+                unit, length = index.centred(x)
+                for t in range(len(index.signs)):
+                    bucket = index.buckets(unit, length, t)
+                    part_ = np.zeros(len(ids), np.int64)
+                    for hot, many in index.parts[t].items():
+                        own = bucket == hot
+                        part_[own] = ids[own] % many
+                    yield sent(index.task(t, bucket, part_), bucket, ids, what)
 
     def probing(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for every, vectors in _matrices(part, kind):
-                dim = vectors.shape[1]
-                step = max(1, SCORES // (count(dim) * (2 << max(1, dim - 1).bit_length())))
+                index = known[vectors.shape[1]]
+                step = max(1, SCORES // (1 if index.whole else index.cells // len(index.length)))
                 for at in range(0, len(vectors), step):
                     ids, x = every[at : at + step], vectors[at : at + step]
-                    for t in range(tables if probe_share < 1 else 1):
-                        bucket = probes(x, signs(dim)[t], count(dim))
+                    unit, length = index.centred(x)
+                    for t in range(len(index.signs)):
+                        found = index.probed(unit, length, t)
                         for one in range(len(ids)):
-                            told = gathered(code(dim, t, bucket[one]), {"bucket": bucket[one]})
-                            keys_, vs = pa.array(np.full(len(told), ids[one])), pa.array([x[one].tobytes()] * len(told), pa.binary())
-                            yield pa.record_batch([told.column("code"), keys_, told.column("bucket"), vs], names=["code", "key", "bucket", "v"])
+                            bucket, part_ = index.visited(t, found[one])
+                            told = gathered(index.task(t, bucket, part_), {"bucket": bucket})
+                            yield pa.record_batch([told.column("code"), pa.array(np.full(len(told), ids[one])), told.column("bucket"), pa.array([x[one].tobytes()] * len(told), pa.binary())], names=["code", "key", "bucket", "v"])
+
+    def together(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for ids, x in _matrices(part, kind):
+                blocks = -(-sizes[x.shape[1]][0] // CHUNK)
+                yield sent((np.int64(x.shape[1]) << 44) + ids % blocks, np.zeros(len(ids), np.int64), ids, encoded(x))
 
     def asking_all(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zero = np.zeros(1, np.int64).tobytes()
         for part in parts:
             for ids, x in _matrices(part, kind):
-                yield pa.record_batch([pa.array(np.full(len(ids), np.int64(x.shape[1]) << 44)), pa.array(ids), pa.array([zero] * len(ids), pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["code", "key", "bucket", "v"])
+                for block in range(-(-sizes[x.shape[1]][0] // CHUNK)):
+                    yield pa.record_batch([pa.array(np.full(len(ids), (np.int64(x.shape[1]) << 44) + block)), pa.array(ids), pa.array([zero] * len(ids), pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["code", "key", "bucket", "v"])
 
-    index = "code long, n int, bucket binary, ids binary, bytes binary, scale binary, away binary"
+    held = "code long, bucket binary, ids binary, bytes binary, scale binary, away binary"
     visit = "code long, key long, bucket binary, v binary"
 
     def meet(one: pa.Table, other: pa.Table) -> pa.Table:
@@ -301,7 +441,7 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
 
     def nearest(dealt: DataFrame, asked: DataFrame) -> DataFrame:
         """(key, near): the k + 1 nearest found (score, vec_id) of each key, in order."""
-        found = dealt.groupBy("code", "chunk").cogroup(asked.groupBy("code", "chunk")).applyInArrow(meet, "key long, rep long, low double, high double")
+        found = dealt.groupBy("code").cogroup(asked.groupBy("code")).applyInArrow(meet, "key long, rep long, low double, high double")
         found = found.groupBy("key", "rep").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         by_key = Window.partitionBy("key")
         found = found.withColumn("n", F.row_number().over(by_key.orderBy("high", "rep")))
@@ -311,24 +451,67 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
         near = scored.select("key", F.explode(F.transform("ids", lambda i: F.struct(F.col("score").alias("score"), i.alias("vec_id")))).alias("x"))
         return near.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k + 1).alias("near"))
 
-    # Only probed buckets travel; large ones are dealt to several tasks, each of which every query of the bucket visits.
-    indexed, asking = table(distinct.select("rep", "v").mapInArrow(hashed, index), "index"), table(keys.mapInArrow(probing, visit), "visits")
-    loads = indexed.groupBy("code").agg(F.sum("n").alias("rows")).join(asking.select("code").distinct(), "code")
-    loads = table(loads.select("code", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "loads")
-    dealt = indexed.join(loads, "code").withColumn("chunk", F.pmod(F.xxhash64("ids"), F.col("chunks")).cast("int")).drop("chunks")
-    visits = asking.join(loads, "code").select("code", "key", "bucket", "v", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    found = table(nearest(dealt, visits), "nearest")
+    asking = keys.select("key", "v")
+    found = table(nearest(distinct.select("rep", "v").mapInArrow(hashed, held), asking.mapInArrow(probing, visit)), "nearest")
 
     there = spark.createDataFrame([(d, ids) for d, (_, ids) in sizes.items()], "dim int, ids long")
     wanted = keys.join(there, F.size("v") == F.col("dim")).select("key", "dim", F.least("ids", F.lit(k + 1)).alias("want"))
     short = wanted.join(found, "key", "left").where(F.coalesce(F.size("near"), F.lit(0)) < F.col("want")).select("key", "dim")
     short = table(short, "short")
     if not short.isEmpty():
-        blocks = -(-max(n for n, _ in sizes.values()) // CHUNK)
-        every = distinct.select("rep", "v").mapInArrow(together, index).withColumn("chunk", F.pmod(F.xxhash64("ids"), F.lit(blocks)).cast("int"))
-        lacking = keys.join(short.select("key"), "key").select("key", "v").mapInArrow(asking_all, visit)
-        all_blocks = lacking.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        found = found.join(short, "key", "left_anti").unionByName(table(nearest(every, all_blocks), "widened"))
+        every, lacking = distinct.select("rep", "v").mapInArrow(together, held), asking.join(short.select("key"), "key").select("key", "v")
+        found = found.join(short, "key", "left_anti").unionByName(table(nearest(every, lacking.mapInArrow(asking_all, visit)), "widened"))
     answers = of.join(found, "key").select(F.explode("of").alias("query_id"), "near")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return answers.select("query_id", F.posexplode(others).alias("n", "x")).select("query_id", (F.col("n") + 1).alias("rank"), "x.vec_id", "x.score")
+
+
+def _fit(distinct: DataFrame, keys: DataFrame, kind: str, sizes: dict[int, int], k: int, recall: float, tables: int, axes: int | None) -> dict[int, Index]:
+    """An index for each dimension, fitted and calibrated on samples that pass the driver."""
+
+    def sample(df: DataFrame, key: str, most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """(keys, vectors) of at most `most` rows of each dimension, by hash of the key."""
+        by = Window.partitionBy("dim").orderBy(F.xxhash64(key), key)
+        own = df.select(key, "v", F.size("v").alias("dim")).withColumn("n", F.row_number().over(by)).where(F.col("n") <= most)
+        found: dict[int, list] = {}
+        for r in own.select(key, "v", "dim").collect():
+            found.setdefault(r["dim"], []).append((r[key], r["v"]))
+        return {d: (np.array([i for i, _ in some], np.int64), np.array([v for _, v in some], np.float64)) for d, some in found.items()}
+
+    rows = sample(distinct, "rep", FIT_ROWS)
+    known = {d: fitted(d, sizes[d], x, tables, axes) for d, (_, x) in rows.items()}
+    asked = sample(keys, "key", FIT_QUERIES) if recall < 1 else {}
+
+    def nearest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k nearest of a task's rows to each query of the sample, but itself."""
+        best: dict[int, tuple[np.ndarray, ...]] = {}
+        for part in parts:
+            for ids, x in _matrices(part, kind):
+                if x.shape[1] not in asked:
+                    continue
+                key, q = asked[x.shape[1]]
+                y = x.astype(np.float64)
+                square = (q * q).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * q @ y.T
+                square[ids[None, :] == key[:, None]] = np.inf
+                take = min(k, len(ids))
+                near = np.argpartition(square, take - 1, axis=1)[:, :take]
+                new = (np.take_along_axis(square, near, 1), x[near])
+                if x.shape[1] in best:
+                    new = tuple(np.concatenate(c, axis=1) for c in zip(best[x.shape[1]], new))
+                    near = np.argsort(new[0], axis=1, kind="stable")[:, :k]
+                    new = (np.take_along_axis(new[0], near, 1), np.take_along_axis(new[1], near[:, :, None], 1))
+                best[x.shape[1]] = new
+        for dim, (square, x) in best.items():
+            i, j = np.nonzero(np.isfinite(square))
+            yield pa.record_batch([pa.array(np.full(len(i), dim, np.int32)), pa.array(i.astype(np.int32)), pa.array(square[i, j]), pa.array([v.tobytes() for v in x[i, j].astype(np.float64)], pa.binary())], names=["dim", "q", "square", "x"])
+
+    if asked:
+        by = Window.partitionBy("dim", "q").orderBy("square", "x")
+        true = distinct.select("rep", "v").mapInArrow(nearest, "dim int, q int, square double, x binary").withColumn("n", F.row_number().over(by)).where(F.col("n") <= k)
+        near: dict[int, list] = {}
+        for r in true.select("dim", "q", "x").collect():  # k rows for each query of the sample
+            near.setdefault(r["dim"], []).append((r["q"], r["x"]))
+    for dim, index in known.items():
+        mine = near.get(dim, []) if asked else []
+        calibrate(index, asked[dim][1] if mine else np.zeros((0, dim)), np.array([np.frombuffer(x) for _, x in mine]).reshape(-1, dim), np.array([q for q, _ in mine], np.int64), rows[dim][1], recall)
+    return known
