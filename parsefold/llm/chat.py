@@ -69,7 +69,9 @@ def format_chats(turns: DataFrame, template: Template = CHAT) -> DataFrame:
     final state; first_error, the place (from 0) of the first turn out of order, else
     null. Turns stand by `turn` (null first), then role and text. Null role or text
     counts as empty, a null conv_id is a conversation like any other, repeated rows are
-    turns of their own; other columns are not read; an empty table gives no rows."""
+    turns of their own; other columns are not read; very long texts are kept whole: a
+    conversation is one row, and one string of at most two gigabytes; an empty table gives no
+    rows."""
     one = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     grouped = turns.select(F.col("conv_id").cast("long").alias("conv_id"), one.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 

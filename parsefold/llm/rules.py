@@ -161,7 +161,8 @@ def apply_rules(df: DataFrame, rules: list[Rule] | None = None, text: str = "tex
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs) and
     base_failed; columns of these names are replaced. Null text has no words; repeated
-    rows are measured one by one."""
+    rows are measured one by one; a very long text is measured whole, in its row; an empty
+    table gives no rows."""
     t = F.col(text)
     both = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), n_repeat_words(w).alias("again")))
     held = fresh(df, "__words")

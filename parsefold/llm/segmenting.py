@@ -445,8 +445,10 @@ def segment(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path
 
     Null text counts as empty, which has one segmentation, the empty one. Repeated keys
     with the same text get the same samples; a null key has numbers of its own. A mark
-    (U+2581) inside a text counts as a space, as in the library. Other columns are not
-    read; an empty table gives no rows."""
+    (U+2581) inside a text counts as a space, as in the library. A text is sampled whole, at
+    about 110 bytes of memory a character: one of some 25 million characters, or a word of
+    more than a million, asks for more time or memory than a small task has. Other columns
+    are not read; an empty table gives no rows."""
     ship(docs.sparkSession)
     path = model_path or public_tokenizers.path(MODEL)
 

@@ -79,7 +79,8 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """df with its fingerprint as a signed long in column `out`, which is replaced if it is
-    there; null text counts as empty; an empty table gives no rows."""
+    there; null text counts as empty; repeated rows repeat; a very long text is hashed whole,
+    65,536 shingles at a time beside its words; an empty table gives no rows."""
     ship(df.sparkSession)
     return df.withColumn(out, _fingerprints(utf8(F.col(text))))
 
@@ -377,7 +378,7 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", budget
     doc_id reachable by links of at most `budget` differing bits).
 
     Null text counts as empty; a text with no word has fingerprint zero and links like
-    any other. Equal texts, repeated rows and repeated ids share a component. A null
+    any other; a very long text is read whole, by the task that holds its row. Equal texts, repeated rows and repeated ids share a component. A null
     doc_id never names a component unless no row of it has another id. An empty table
     gives an empty result. Other columns of df are not read."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -119,7 +119,8 @@ def merger(path: str) -> PairMerger:
 
 def with_token_counts(df: DataFrame, text: str = "text", model_path: str | None = None, out: str = "n_tokens") -> DataFrame:
     """df with the number of tokens of each whole text in column `out` (long), which is
-    replaced if it is there. Null text and empty text have none; repeated rows are counted
+    replaced if it is there. Null text and empty text have none; a very long text is counted
+    whole, word by word; repeated rows are counted
     one by one; an empty table gives no rows; other columns are kept as they are."""
     ship(df.sparkSession)
     path = model_path or public_tokenizers.path(MODEL)

@@ -56,8 +56,9 @@ def write_pages(pages: DataFrame, path: str, page_id: str = "page_id", url: str
     Of rows with equal payloads of at least min_bytes bytes, those with the smallest
     page_id (one, where ids are unique) become responses, the others revisits of it;
     smaller payloads are all responses. Null payloads count as empty, null urls as the
-    empty string; rows with a null id revisit if they can. An empty table gives no
-    record; other columns are not read."""
+    empty string; rows with a null id revisit if they can. A very long payload is one record, written
+    by the task that holds its row; repeated rows are records of their own. An empty table
+    gives no record; other columns are not read."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), body.alias("body"))
     rows = rows.withColumn("digest", sha1_base32(F.col("body"))).withColumn("size", F.octet_length("body"))
