@@ -52,7 +52,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of the documents left, with its sequence and place. A null text is one
-    piece of one token; an empty table gives no piece."""
+    piece of one token, repeated rows are pieces of their own, and a very long text is cut
+    into as many as it needs; an empty table gives no piece."""
     return packing.pack(docs)
 
 
