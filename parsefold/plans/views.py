@@ -72,7 +72,7 @@ def omission_totals(omissions: DataFrame, sets: list[tuple[str, ...]], key: str
     where a grouping does not use them), `level` (grouping ids: a bit for each column, set
     where it is not used, the first the highest), omissions, characters and documents. Rows
     are counted before they are shuffled; documents are told apart by an aggregate by key.
-    An empty grouping gives one row even without omissions."""
+    Without omissions there are no rows, not even for an empty grouping."""
     columns = list(dict.fromkeys(c for s in sets for c in s))
     grouped = omissions.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns])
     return grouped.agg(
@@ -83,10 +83,44 @@ def omission_totals(omissions: DataFrame, sets: list[tuple[str, ...]], key: str
     )
 
 
+#: Bits of a sketch's registers, and entries of a quantile sketch: with these an estimate is
+#: within DISTINCT_ERROR of the number of distinct words, and a quantile's rank within
+#: RANK_ERROR, in all but rare cases.
+DISTINCT_BITS, QUANTILE_ENTRIES = 14, 400
+DISTINCT_ERROR, RANK_ERROR = 0.03, 0.015
+
+
+def reading_sketches(documents: DataFrame, by: str = "source", key: str = "doc_id") -> DataFrame:
+    """(by, words, lengths, documents): for each group a sketch of the distinct words of its
+    passages and one of their lengths in characters, as binary columns that are stored and
+    merged with those of other runs. Words are runs of what is not white space, told apart
+    by case. A group of any size is summed up task by task; a group without passages has
+    empty sketches."""
+    text = F.transform("passages", lambda p: p["text"])
+    rows = documents.select(by, key, F.explode_outer(text).alias("text"))
+    words = rows.select(by, F.explode_outer(F.split("text", rf"{v.S}+")).alias("word"))
+    one = words.groupBy(by).agg(F.hll_sketch_agg("word", DISTINCT_BITS).alias("words"))
+    other = rows.groupBy(by).agg(F.kll_sketch_agg_bigint(F.char_length("text").cast("long"), QUANTILE_ENTRIES).alias("lengths"), F.count_distinct(key).alias("documents"))
+    return one.join(other.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
+
+
+def merged_sketches(stored: DataFrame, by: str = "source") -> DataFrame:
+    """The sketches of several runs, whose documents are different ones, as one a group."""
+    return stored.groupBy(by).agg(F.hll_union_agg("words").alias("words"), F.kll_merge_agg_bigint("lengths").alias("lengths"), F.sum("documents").alias("documents"))
+
+
 def skipped_passages(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Each passage, and whether the queue passes it over."""
-    inside = let(F.transform("queue", lambda q: q["source_index"]), lambda ids: F.transform("passages", lambda p, i: F.struct(i.alias("source_index"), p["page"].alias("page"), (~F.array_contains(ids, i)).alias("skipped"))))
-    return exploded(documents, inside, key)
+    """Each passage, and whether the queue passes it over. What the queue lacks is found by
+    hashing, and both parts are put in order again: no passage is looked up in the queue."""
+
+    def marked(ids: Column) -> Column:
+        every = F.when(F.size("passages") > 0, F.sequence(F.lit(0), F.size("passages") - 1)).otherwise(F.array().cast("array<int>"))
+        told = lambda some, skipped: F.transform(some, lambda i: F.struct(i.alias("source_index"), F.lit(skipped).alias("skipped")))
+        return F.sort_array(F.concat(told(ids, False), told(F.array_except(every, ids), True)))
+
+    inside = let(F.transform("queue", lambda q: q["source_index"]), marked)
+    shown = F.transform(inside, lambda x: F.struct(x["source_index"].alias("source_index"), F.get("passages", x["source_index"])["page"].alias("page"), x["skipped"].alias("skipped")))
+    return exploded(documents, shown, key)
 
 
 def edit_page(documents: DataFrame, key_value, page, text: Column, key: str = "doc_id") -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parsefold import sql
 from parsefold.functions import fixed_values as v
 from parsefold.operators import clutter, paging
 from parsefold.operators.asof import as_of
 from parsefold.plans import views
-from parsefold.queries import _LOG, _PLAYER_PARTS, CITATIONS_SQL, LINES_SQL, PAGES_SQL, PAGINATE_SQL, _at_start, _sql_string, _trim, documents, exploded, log, made, query, read
+from parsefold.queries import _LOG, _PLAYER_PARTS, CITATIONS_SQL, LINES_SQL, PAGES_SQL, PAGINATE_SQL, PASSAGES_SQL, PLAN_SQL, _at_start, _sql_string, _trim, documents, exploded, log, made, query, read, resolved
 from parsefold.sources import intake, library, text_files
 from parsefold.sources.json_rows import NO_ROW, NOT_JSON, NOT_OBJECT, checked_json
 from parsefold.sources.shared import new_path
@@ -283,3 +284,43 @@ def q2_omission_totals(spark, sf_dir):
     docs = made(spark, sf_dir).select("doc_id", "lang", "source", "pages")
     spans = exploded(docs, clutter.raw_spans(F.col("pages"), ("numbered", "citation")), "doc_id", "lang", "source")
     return views.omission_totals(spans, [("lang", "source", "reason"), ("lang", "reason"), ("source",), ()])
+
+
+_PLAIN_PAGES = f"pages AS ({PAGINATE_SQL})"
+
+
+@query(f"WITH {PASSAGES_SQL.replace(PAGES_SQL, _PLAIN_PAGES)} SELECT source, count(DISTINCT doc_id) AS documents, count(p.text) AS passages, true AS words_close, true AS median_close FROM documents LEFT JOIN (SELECT doc_id, text FROM passages) p USING (doc_id) GROUP BY source")
+def q18_reading_sketches(spark, sf_dir):
+    """Sketches of two halves of the documents, stored, merged, and held against exact
+    answers: the estimates are within their stated bounds."""
+    docs = paging.make_documents(read(spark, sf_dir, "documents").select("doc_id", "source", paging.paginate(F.col("text")).alias("pages"))).select("doc_id", "source", "passages")
+    path = new_path(spark, "sketches")
+    for half in (0, 1):
+        views.reading_sketches(docs.where(F.col("doc_id") % 2 == half)).write.mode("append").parquet(path)
+    merged = views.merged_sketches(spark.read.parquet(path))
+    middle = merged.withColumn("median", F.when(F.kll_sketch_get_n_bigint("lengths") > 0, F.kll_sketch_get_quantile_bigint("lengths", F.lit(0.5))))
+    rows = docs.select("source", F.explode_outer(F.transform("passages", lambda p: p["text"])).alias("text"))
+    words = rows.select("source", F.explode_outer(F.split("text", rf"{v.S}+")).alias("word")).distinct().groupBy("source").agg(F.count("word").alias("distinct"))
+    ranked = rows.join(middle.select("source", "median"), "source").groupBy("source").agg(F.count("text").alias("passages"), *[F.count_if(x).alias(n) for n, x in (("below", F.char_length("text") < F.col("median")), ("upto", F.char_length("text") <= F.col("median")))])
+    both = middle.join(words, "source").join(ranked, "source")
+    close = F.abs(F.hll_sketch_estimate("words") - F.col("distinct")) <= views.DISTINCT_ERROR * F.col("distinct")
+    half_way = (F.col("below") <= (0.5 + views.RANK_ERROR) * F.col("passages")) & (F.col("upto") >= (0.5 - views.RANK_ERROR) * F.col("passages"))
+    return both.select("source", "documents", F.kll_sketch_get_n_bigint("lengths").alias("passages"), close.alias("words_close"), half_way.alias("median_close"))
+
+
+@query(f"WITH {PLAN_SQL} SELECT doc_id, queue_index, source_index, page, text FROM queue")
+def v3_v8_in_sql(spark, sf_dir):
+    """The speech queue as a plan in SQL: pages, passages and speech by table functions,
+    omissions by an interval join."""
+    sql.register(spark)
+    resolved(spark, sf_dir).createOrReplaceTempView("parsefold_reading")
+    return spark.sql(
+        """WITH pages AS (SELECT doc_id, page, text FROM parsefold_reading LATERAL VIEW posexplode(pages) AS page, text),
+        passages AS (SELECT * FROM passages_of(TABLE(SELECT doc_id, page, text FROM pages))),
+        standing AS (SELECT doc_id, o.* FROM parsefold_reading LATERAL VIEW explode(omissions) AS o WHERE doc_id % 5 <> 0 AND NOT (doc_id % 5 = 1 AND o.reason = 'Paragraph label')),
+        cuts AS (
+          SELECT p.doc_id, p.source_index, p.page, p.text, IF(o.start IS NULL, NULL, greatest(o.start - p.start, 0)) AS cut_start, least(o.end - p.start, char_length(p.text)) AS cut_end, omission_fill(o.reason) AS fill
+          FROM passages p LEFT JOIN standing o ON p.doc_id = o.doc_id AND p.page = o.page AND o.start < p.end AND o.end > p.start
+        )
+        SELECT doc_id, queue_index, source_index, page, text FROM speak(TABLE(SELECT doc_id, source_index, page, text, cut_start, cut_end, fill FROM cuts))"""
+    )
