@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -109,14 +110,39 @@ def _played(player: Player, key: str, log: pd.DataFrame) -> pd.DataFrame:
     return out.astype({"said": "Int32"})
 
 
-def play_log(log: DataFrame) -> DataFrame:
-    """What each session emits, from its whole log in order of seq."""
-    ship(log.sparkSession)
+#: Rows that a task hands on at once.
+_ROWS = 4096
+
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _played(Player(), key[0], rows)
+def _emitted(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["session_key", "seq", "step", "index", "status", "epoch", "said", "message"])
 
-    return log.groupBy("session_key").applyInPandas(one, OUTPUT)
+
+def play_log(log: DataFrame) -> DataFrame:
+    """What each session emits, from its whole log in order of seq (of rows with one seq, in
+    order of their other columns). A session's rows meet in one task, sorted, and are played
+    as they come: neither a log nor what it emits is ever held as a whole. Rows without a
+    session key are a session of their own; an empty log emits nothing."""
+    ship(log.sparkSession)
+    columns = ["session_key", "seq", "command", "number", "text", "epoch"]
+
+    def played(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        player, current, out = Player(), (), []
+        for part in parts:
+            for key, seq, command, number, text, epoch in zip(*(c.to_pylist() for c in part.columns)):
+                if current != (key,):
+                    player, current = Player(), (key,)
+                for step, (index, status, said, message) in enumerate(player.apply(command, number, text, epoch)):
+                    out.append((key, seq, step, index, status, player.epoch, said, message))
+                if len(out) >= _ROWS:
+                    yield _emitted(out)
+                    out = []
+        if out:
+            yield _emitted(out)
+
+    rows = log.select(F.col("session_key").cast("string").alias("session_key"), F.col("seq").cast("long").alias("seq"), "command", F.col("number").cast("double").alias("number"), "text", F.col("epoch").cast("long").alias("epoch"))
+    return rows.repartition("session_key").sortWithinPartitions(*columns).mapInArrow(played, OUTPUT)
 
 
 def play_stream(log: DataFrame) -> DataFrame:

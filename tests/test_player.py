@@ -105,3 +105,19 @@ def test_tasks_end_by_value_error_signal_or_time():
     tell = reporter(s, lambda m, p: seen.append((m, p)))
     tell("late", 3)
     assert seen == []
+
+
+def test_a_long_log_and_rows_without_a_session(spark):
+    """Sessions longer than a batch of rows, one of them without a key, in no order."""
+    import random
+
+    draw = random.Random(2)
+    rows = [(draw.choice(["long", "long", None, "a"]), n, draw.choice(["load", "play", "end", "seek", "pause", "error"]), float(draw.randrange(6)), None, draw.randrange(4) + n // 9) for n in range(30_000)]
+    got = play_log(spark.createDataFrame(rows, LOG).repartition(5)).collect()
+    want = []
+    for key in ("long", None, "a"):
+        player = Player()
+        for _, seq, command, number, text, epoch in (r for r in rows if r[0] == key):
+            want += [(key, seq, step, i, s, player.epoch, said, m) for step, (i, s, said, m) in enumerate(player.apply(command, number, text, epoch))]
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want)) and len(want) > 10_000
+    assert play_log(spark.createDataFrame([], LOG)).count() == 0
