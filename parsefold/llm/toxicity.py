@@ -290,8 +290,10 @@ def continuations(words: DataFrame, grams: np.ndarray, contexts: np.ndarray) ->
             yield from emitted(held, seen)
         give_back()
 
-    pairs = words.select("word").mapInArrow(around, "h int, z long").repartition("h").distinct()
-    sequence = pairs.groupBy("h", F.shiftright("z", 21).alias("g")).agg(F.count("*").alias("n"))
+    # Dealt by context and sequence: the shortest context, which every word has, is shared out
+    # by its sequences, and both aggregates find their rows together.
+    pairs = words.select("word").mapInArrow(around, "h int, z long").withColumn("g", F.shiftright("z", 21)).repartition("h", "g").distinct()
+    sequence = pairs.groupBy("h", "g").agg(F.count("*").alias("n"))
     got = sequence.groupBy("h", F.greatest("g", F.lit(-1).cast("long")).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
     given.destroy()
     h, g, n, kinds = (got.column(c).to_numpy() for c in ("h", "g", "n", "kinds"))
