@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from parsefold.functions.arrays import fresh
 from parsefold.operators.paging import make_documents
+from parsefold.sources.shared import clean
 
 #: Buckets of a new library. An update touches at most so many; choose them so that one
 #: holds about as much as a task should write (a gigabyte or less).
@@ -40,6 +41,7 @@ def create(documents: DataFrame, path: str, buckets: int = BUCKETS, key: str = "
     kept = documents.withColumns({key: _known(key), "version": F.lit(1).cast("long"), "removed": F.lit(False)})
     _write(kept, path, buckets, key, mode, "static")
     spark = documents.sparkSession
+    clean(spark)
     rows = spark.read.schema(_stored(documents.schema)).parquet(f"{path}/documents").count()
     _note(spark, path, 1, "create", buckets, rows, buckets, documents.schema.json(), key)
 
@@ -120,6 +122,8 @@ def _replace(at: _State, changed: DataFrame, kind: str) -> int:
         _write(kept.unionByName(held), at.path, at.buckets, at.key)
     finally:
         held.unpersist()
+    del old, kept
+    clean(at.spark)
     _note(at.spark, at.path, at.version + 1, kind, at.buckets, rows, touched, at.schema.json(), at.key)
     return at.version + 1
 

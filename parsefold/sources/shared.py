@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,3 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/parsefold/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Have the driver collect plans that nothing refers to any more: Spark then deletes
+    their shuffle files on the executors' disks, which it would else keep for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
