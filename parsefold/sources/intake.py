@@ -28,7 +28,7 @@ from parsefold.operators.paging import make_documents, paginate
 from parsefold.operators.pdf import pdf_documents, read_pages
 from parsefold.sources import library
 from parsefold.sources.imports import docx_is_whole, docx_text, guard, route
-from parsefold.sources.shared import new_path
+from parsefold.sources.shared import clean, new_path
 from parsefold.streaming.tasks import Signal, abortable, run_job
 
 #: Paths that pass the driver at once, as the names of what a job reads.
@@ -168,11 +168,12 @@ def take_in(spark: SparkSession, folder: str, path: str, readers: Readers | None
         files = listing(spark, folder)
         new = files if known is None else files.join(known.select("path", "length", "modified"), ["path", "length", "modified"], "left_anti")
         none = F.lit(None).cast("string")
-        new = _kept(new.withColumns({"route": route(F.col("name"), none), "error": guard(F.col("name"), none, F.col("length"))}), "new-files")
+        tables = [new_path(spark, n) for n in ("new-files", "decoded", "documents")]
+        new = _kept(new.withColumns({"route": route(F.col("name"), none), "error": guard(F.col("name"), none, F.col("length"))}), tables[0])
         total[0] = new.count()
         if not total[0]:
             return Run(number - 1, 0, 0, 0)
-        opened = new_path(spark, "decoded")
+        opened = tables[1]
         spark.createDataFrame([], DECODED).write.parquet(opened)
         paths = (r["path"] for r in new.where("error IS NULL").select("path").toLocalIterator())
         while some := list(itertools.islice(paths, PATHS)):
@@ -180,7 +181,7 @@ def take_in(spark: SparkSession, folder: str, path: str, readers: Readers | None
             name = F.element_at(F.split("path", "/"), -1)
             content.select("path", name.alias("name"), route(name, none).alias("route"), "content").mapInArrow(_decoder(readers, counted), DECODED).write.mode("append").parquet(opened)
         decoded = spark.read.schema(spark.createDataFrame([], DECODED).schema).parquet(opened)
-        made = _kept(_as_documents(decoded).withColumn("doc_id", F.xxhash64("path")).select("doc_id", "path", "name", "kind", "pages", "warnings", "words", "error"), "documents")
+        made = _kept(_as_documents(decoded).withColumn("doc_id", F.xxhash64("path")).select("doc_id", "path", "name", "kind", "pages", "warnings", "words", "error"), tables[2])
         good = made.where("error IS NULL").drop("error")
         documents = good.count()
         if last is None:
@@ -191,23 +192,30 @@ def take_in(spark: SparkSession, folder: str, path: str, readers: Readers | None
         failed = made.where("error IS NOT NULL").select("path", F.col("error").alias("failed"))
         noted = new.join(failed, "path", "left").select("path", "length", "modified", F.lit(number).cast("long").alias("run"), F.coalesce("error", "failed").alias("error"))
         noted.write.mode("append").parquet(f"{path}/files")
+        for made_here in tables:
+            _files(spark, made_here)[0].delete(_files(spark, made_here)[1], True)
+        clean(spark)
         return Run(number, total[0], documents, total[0] - documents)
 
     return run_job(spark, work, signal or Signal(), progress, "Opening files…", timeout_ms, share=share)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+def _kept(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as it takes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame | None:
     """(path, length, modified, run, error) of all files taken in, or None before the first
     run; a file that has changed has a row for each time."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/files")
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(LEDGER).parquet(f"{path}/files") if there else None
+    system, at = _files(spark, f"{path}/files")
+    return spark.read.schema(LEDGER).parquet(f"{path}/files") if system.exists(at) else None
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
