@@ -182,6 +182,7 @@ def take_in(spark: SparkSession, folder: str, path: str, readers: Readers | None
             content.select("path", name.alias("name"), route(name, none).alias("route"), "content").mapInArrow(_decoder(readers, counted), DECODED).write.mode("append").parquet(opened)
         decoded = spark.read.schema(spark.createDataFrame([], DECODED).schema).parquet(opened)
         made = _kept(_as_documents(decoded).withColumn("doc_id", F.xxhash64("path")).select("doc_id", "path", "name", "kind", "pages", "warnings", "words", "error"), tables[2])
+        _drop(spark, tables[1])
         good = made.where("error IS NULL").drop("error")
         documents = good.count()
         if last is None:
@@ -192,9 +193,7 @@ def take_in(spark: SparkSession, folder: str, path: str, readers: Readers | None
         failed = made.where("error IS NOT NULL").select("path", F.col("error").alias("failed"))
         noted = new.join(failed, "path", "left").select("path", "length", "modified", F.lit(number).cast("long").alias("run"), F.coalesce("error", "failed").alias("error"))
         noted.write.mode("append").parquet(f"{path}/files")
-        for made_here in tables:
-            _files(spark, made_here)[0].delete(_files(spark, made_here)[1], True)
-        clean(spark)
+        _drop(spark, tables[0], tables[2])
         return Run(number, total[0], documents, total[0] - documents)
 
     return run_job(spark, work, signal or Signal(), progress, "Opening files…", timeout_ms, share=share)
@@ -205,6 +204,14 @@ def _kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _drop(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that this run made for itself, and shuffle files it has done with."""
+    for path in paths:
+        system, at = _files(spark, path)
+        system.delete(at, True)
+    clean(spark)
+
+
 def _files(spark: SparkSession, path: str) -> tuple:
     """The file system of a path, and the path as it takes it."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
