@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parsefold.functions import fixed_values as v
-from parsefold.functions.text import clean, has_broken_map, trim
+from parsefold.functions.arrays import scan
+from parsefold.functions.text import clean, has_broken_map, let, trim
 
 ITEM = "struct<str:string,x:double,y:double,width:double,height:double,dir:string,has_eol:boolean>"
 
@@ -15,19 +16,31 @@ def join_items(items: Column) -> Column:
     """The text of positioned runs in order; runs without a string are passed over. A line
     feed or a blank goes between two runs by the gap between them, unless what is there
     already ends in white space or the run begins with it."""
-    runs = F.filter(items, lambda r: r["str"].isNotNull())
 
-    def add(a: Column, r: Column) -> Column:
-        last = a["last"]
-        loose = last.isNotNull() & ~F.substring(a["text"], -1, 1).rlike(v.S) & ~r["str"].rlike(rf"^{v.S}")
+    def between(r: Column, last: Column, end: Column) -> Column:
+        loose = last.isNotNull() & ~end.rlike(v.S) & ~F.substring(r["str"], 1, 1).rlike(v.S)
         down = F.abs(r["y"] - last["y"]) > F.greatest(F.lit(2.0), last["height"] * 0.4)
         apart = (r["dir"] == "rtl") | (r["x"] - (last["x"] + last["width"]) > F.greatest(F.lit(0.5), last["height"] * 0.08))
-        between = F.when(~loose, "").when(down, "\n").when(apart, " ").otherwise("")
-        text = F.concat(a["text"], F.coalesce(between, F.lit("")), r["str"], F.when(F.coalesce(r["has_eol"], F.lit(False)), "\n").otherwise(""))
-        return F.struct(text.alias("text"), r.alias("last"))
+        return F.coalesce(F.when(~loose, "").when(down, "\n").when(apart, " ").otherwise(""), F.lit(""))
 
-    first = F.struct(F.lit("").alias("text"), F.lit(None).cast(ITEM).alias("last"))
-    return F.aggregate(runs, first, add, lambda a: a["text"])
+    def own_end(r: Column) -> Column:
+        return F.when(F.coalesce(r["has_eol"], F.lit(False)), "\n").otherwise(F.substring(r["str"], -1, 1))
+
+    def joined(runs: Column) -> Column:
+        # The last character after each run is its own, or, after an empty one, what stood
+        # before it or came between: only then does one run depend on all before it.
+        def end(so_far: Column, x: Column) -> Column:
+            return F.coalesce(*[F.when(e != "", e) for e in (own_end(x["r"]), between(x["r"], x["last"], so_far))], so_far)
+
+        pairs = F.transform(runs, lambda r, i: F.struct(r.alias("r"), F.get(runs, i - 1).alias("last")))
+        ends = F.when(F.exists(runs, lambda r: own_end(r) == ""), scan(pairs, F.lit(""), end, "string")).otherwise(F.transform(runs, own_end))
+
+        def piece(r: Column, i: Column, e: Column) -> Column:
+            return F.concat(between(r, F.get(runs, i - 1), F.get(e, i - 1)), r["str"], F.when(F.coalesce(r["has_eol"], F.lit(False)), "\n").otherwise(""))
+
+        return let(ends, lambda e: F.array_join(F.transform(runs, lambda r, i: piece(r, i, e)), ""))
+
+    return let(F.filter(items, lambda r: r["str"].isNotNull()), joined)
 
 
 def needs_optical(mode: Column, embedded: Column, embedded_error: Column) -> Column:
