@@ -223,6 +223,17 @@ def failure_report(imported: DataFrame) -> DataFrame:
     return imported.where("error IS NOT NULL").select("path", F.concat(F.coalesce("name", F.lit("")), F.lit(": "), "error").alias("line"))
 
 
+def whole_report(imported: DataFrame) -> DataFrame:
+    """One row (report): all lines of the failure report in order of path, null if nothing
+    failed. Lines are sorted and joined by ranges of paths, so that only the ranges' texts
+    meet in one task; that report is one string, which bounds it to 2 GB."""
+    lines = failure_report(imported).repartitionByRange("path", "line").withColumn("range", F.spark_partition_id())
+    parts = lines.groupBy("range").agg(F.sort_array(F.collect_list(F.struct("path", "line"))).alias("x"))
+    texts = parts.select(F.col("x")[0].alias("first"), F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))
+    every = texts.agg(F.sort_array(F.collect_list(F.struct("first", "text"))).alias("x"))
+    return every.select(F.when(F.size("x") > 0, F.array_join(F.transform("x", lambda r: r["text"]), "\n")).alias("report"))
+
+
 #: Lines of a report that is shown as one text.
 SHOWN = 100
 
