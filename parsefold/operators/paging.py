@@ -4,6 +4,7 @@ functions over whole texts; everything after them is expressions."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,18 +75,47 @@ def split_page(cleaned: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
+#: Characters that are Python's own strings at a time; a batch of rows may hold far more.
+SLICE = 1 << 20
+_PAGES = pa.list_(pa.string())
+_PASSAGES = pa.list_(pa.struct([("page", pa.int32()), ("paragraph", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+
+
+def _by_slices(parts: Iterator[pa.Array], made: Callable, length: Callable, kind: pa.DataType) -> Iterator[pa.Array]:
+    """made(x) for each row, in arrays of as many rows as hold about SLICE characters."""
+    for part in parts:
+        rows, held = [], 0
+        for scalar in part:
+            x = scalar.as_py()
+            rows.append(None if x is None else made(x))
+            held += 0 if x is None else length(x)
+            if held >= SLICE:
+                yield pa.array(rows, kind)
+                rows, held = [], 0
+        if rows:
+            yield pa.array(rows, kind)
+        del part, rows
+        pa.default_memory_pool().release_unused()
+
+
+def _passages(pages: list[str | None]) -> list[tuple]:
+    return [(n, *passage) for n, page in enumerate(pages) for passage in split_page(page or "")]
+
+
 @F.arrow_udf(PAGES)
-def _paginate(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else paginate_text(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+def _paginate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from _by_slices(texts, paginate_text, len, _PAGES)
 
 
 @F.arrow_udf(PASSAGES)
-def _split(pages: pa.Array) -> pa.Array:
-    rows = []
-    for some in pages.to_pylist():
-        rows.append(None if some is None else [{"page": n, "paragraph": p, "start": s, "end": e, "text": t} for n, page in enumerate(some) for p, s, e, t in split_page(page or "")])
-    kind = pa.struct([("page", pa.int32()), ("paragraph", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
-    return pa.array(rows, pa.list_(kind))
+def _split(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from _by_slices(pages, _passages, lambda some: sum(map(len, filter(None, some))), _PASSAGES)
+
+
+# Declared so that the optimiser keeps one evaluation of each: a filter on pages, passages or
+# what follows from them would else be pushed below with a copy of the function, and every
+# copy has a Python worker of its own.
+_paginate, _split = _paginate.asNondeterministic(), _split.asNondeterministic()
 
 
 def paginate(text: Column) -> Column:
