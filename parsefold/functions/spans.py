@@ -10,12 +10,16 @@ from parsefold.functions.text import let
 
 
 def match_spans(text: Column, pattern: str, groups: int = 0) -> Column:
-    """array<struct<start, match, g1..>> of all matches in order, start from 0. What lies
+    """array<struct<start, match, g1..>> of all matches in order, start from 0. A text without
+    any is passed over once; for others, what lies
     between matches comes from a split at the same pattern; its lengths and those of the
     matches add up to the offsets. The pattern must not match the empty string."""
-    between = F.split(text, pattern, -1)
-    matches = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(groups + 1)]
-    rows = F.arrays_zip(F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))).alias("b"), *[m.alias(f"m{g}") for g, m in enumerate(matches)])
+    all_of = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    none = F.array().cast("array<struct<start:int,match:string" + "".join(f",g{g}:string" for g in range(1, groups + 1)) + ">>")
+
+    def rows(m: Column) -> Column:
+        between = let(F.split(text, pattern, -1), lambda b: F.slice(b, 1, F.size(b) - 1))
+        return F.arrays_zip(between.alias("b"), m.alias("m0"), *[all_of(g).alias(f"m{g}") for g in range(1, groups + 1)])
 
     def placed(x: Column) -> Column:
         def one(r: Column, at: Column) -> Column:
@@ -23,4 +27,4 @@ def match_spans(text: Column, pattern: str, groups: int = 0) -> Column:
 
         return F.zip_with(x, sums_before(F.transform(x, lambda r: F.char_length(r["b"]) + F.char_length(r["m0"]))), one)
 
-    return let(rows, placed)
+    return let(all_of(0), lambda m: F.when(F.size(m) == 0, none).otherwise(let(rows(m), placed)))

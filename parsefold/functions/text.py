@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def has_one_of(text: Column, *marks: str) -> Column:
+    """Whether any of the marks is in the text: bytes are compared, which costs far less than
+    a pattern, so it goes before one that can't match or change anything without them."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in marks])
+
+
 def trim(text: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.btrim(text, F.lit(v.SPACES))
@@ -24,10 +32,9 @@ def trim_start(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Line ends unified, NULs dropped, runs of blanks and of empty lines shortened, trimmed."""
-    out = F.regexp_replace(text, r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"\x{00}", "")
-    out = F.regexp_replace(out, r"[\t ]+", " ")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
+    out = text
+    for pattern, by, marks in ((r"\r\n?", "\n", ("\r",)), (r"\x{00}", "", ("\0",)), (r"[\t ]+", " ", ("\t", "  ")), (r"\n{3,}", "\n\n", ("\n\n\n",))):
+        out = let(out, lambda x: F.when(~has_one_of(x, *marks), x).otherwise(F.regexp_replace(x, pattern, by)))
     return trim(out)
 
 
@@ -38,8 +45,13 @@ def word_count(text: Column) -> Column:
 
 def squash(text: Column) -> Column:
     """White space to single blanks, none before punctuation, trimmed."""
-    out = F.regexp_replace(text, rf"{v.S}+", " ")
-    return trim(F.regexp_replace(out, rf"{v.S}+([,.;:!?])", "$1"))
+
+    def squashed(x: Column) -> Column:
+        out = F.regexp_replace(x, rf"{v.S}+", " ")
+        return F.regexp_replace(out, rf"{v.S}+([,.;:!?])", "$1")
+
+    # Nothing to do in a text of printable ASCII whose blanks stand alone before a word.
+    return trim(let(text, lambda x: F.when(~x.rlike(r"[^ -~]| [ ,.;:!?]"), x).otherwise(squashed(x))))
 
 
 def has_letter_or_digit(text: Column) -> Column:

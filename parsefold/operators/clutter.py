@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parsefold.functions import fixed_values as v
 from parsefold.functions.arrays import exploded, scan, sums_before
 from parsefold.functions.spans import match_spans
-from parsefold.functions.text import is_author_year, is_next_section, is_reference_entry, is_reference_heading, let, trim, trim_start
+from parsefold.functions.text import has_one_of, is_author_year, is_next_section, is_reference_entry, is_reference_heading, let, trim, trim_start
 
 SPAN = "struct<page:int,start:int,end:int,text:string,reason:string,prio:int>"
 #: Rules by name, in the order in which they apply.
@@ -85,18 +85,26 @@ def in_references(lines: Column) -> Column:
     entry among the next five lines, across pages, and closes at a next section, an
     appendix or a short heading after a blank line."""
 
-    def flags(entry: Column) -> Column:
-        def flag(x: Column, i: Column) -> Column:
-            near = F.exists(F.slice(entry, i + 2, v.LOOK_AHEAD_LINES), lambda e: e)
-            short = x["blank_before"] & (F.size(F.split(x["text"], rf"{v.S}+", -1)) <= v.SHORT_HEADING_WORDS) & x["text"].rlike(v.SHORT_HEADING)
-            return F.struct((is_reference_heading(x["text"]) & near).alias("open"), (is_next_section(x["text"]) | x["text"].rlike(v.APPENDIX) | short).alias("close"))
+    def opens(x: Column, i: Column) -> Column:
+        # Entries are looked for after headings alone.
+        return is_reference_heading(x["text"]) & F.exists(F.slice(lines, i + 2, v.LOOK_AHEAD_LINES), lambda y: is_reference_entry(y["text"]))
 
-        return F.transform(lines, flag)
+    def closes(x: Column) -> Column:
+        short = x["blank_before"] & x["text"].rlike(v.SHORT_HEADING) & (F.size(F.split(x["text"], rf"{v.S}+", -1)) <= v.SHORT_HEADING_WORDS)
+        return is_next_section(x["text"]) | x["text"].rlike(v.APPENDIX) | short
 
-    whole = let(F.transform(lines, lambda x: is_reference_entry(x["text"])), flags)
-    latched = scan(whole, F.lit(False), lambda now, f: f["open"] | (now & ~f["close"]), "boolean")
-    any_heading = F.exists(lines, lambda x: is_reference_heading(x["text"]))
-    return F.when(any_heading, latched).otherwise(F.transform(lines, lambda x: F.lit(False)))
+    def latched(open_: Column) -> Column:
+        # Ends are looked for inside a list alone.
+        both = F.zip_with(lines, open_, lambda x, o: F.struct(x["text"].alias("text"), x["blank_before"].alias("blank_before"), o.alias("open")))
+        every = scan(both, F.lit(False), lambda now, f: f["open"] | (now & ~closes(f)), "boolean")
+        return F.when(F.exists(open_, lambda o: o), every).otherwise(open_)
+
+    return let(F.transform(lines, opens), latched)
+
+
+#: What a line may begin with that a rule looks at: no letter, or that of a word in a pattern
+#: (paragraph, page, doi, http).
+_MAY_BEGIN = r"[^\p{L}]|[PpDdHh]"
 
 
 def line_spans(line: Column, rules: tuple[str, ...]) -> Column:
@@ -131,7 +139,9 @@ def line_spans(line: Column, rules: tuple[str, ...]) -> Column:
         "page_number": lambda: [whole(line["edge"] & text.rlike(v.PAGE_NUMBER), v.PAGE_NUMBER_REASON, "page_number")],
     }
     made = [x for name in LINE_RULES if name in rules for x in by_rule[name]()]
-    return present(F.array(*made)) if made else no_spans()
+    if not made:
+        return no_spans()
+    return F.when(~F.substring(text, 1, 1).rlike(_MAY_BEGIN), no_spans()).otherwise(present(F.array(*made)))
 
 
 # ---------------------------------------------------------------- marks inside a page
@@ -191,14 +201,21 @@ def emphasis_spans(text: Column, page: Column) -> Column:
         close = m["start"] + F.char_length(m["match"]) - F.char_length(m["g1"])
         return F.array(*[span(page, at, m["g1"], v.FORMATTING_MARKER, "emphasis") for at in (m["start"], close)])
 
-    return present(F.flatten(F.transform(match_spans(text, v.EMPHASIS, 1), one)))
+    return present(F.flatten(F.transform(match_spans(text, r"(?=[*_~])" + v.EMPHASIS, 1), one)))
 
 
 _PAGE_SPANS = {"citation": citation_spans, "author_year": author_year_spans, "note_mark": note_mark_spans, "emphasis": emphasis_spans}
+#: One of these stands in every match of a rule.
+_MARKS = {"citation": "[", "author_year": "(", "emphasis": "*_~"}
 
 
 def page_spans(text: Column, page: Column, rules: tuple[str, ...]) -> Column:
-    made = [_PAGE_SPANS[name](text, page) for name in PAGE_RULES if name in rules]
+    def found(name: str) -> Column:
+        # No note mark is ASCII.
+        lacking = ~has_one_of(text, *_MARKS[name]) if name in _MARKS else F.octet_length(text) == F.char_length(text)
+        return F.when(lacking, no_spans()).otherwise(_PAGE_SPANS[name](text, page))
+
+    made = [found(name) for name in PAGE_RULES if name in rules]
     return F.concat(*made) if made else no_spans()
 
 
