@@ -194,8 +194,10 @@ def _plain(df: DataFrame, column: str) -> Column:
 
 def span_changes(before: DataFrame, after: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, change, page, start, end, text, reason): omissions that only one of two
-    versions has, as often as it has them more: removed and inserted ones."""
+    versions has, as often as it has them more: removed and inserted ones. Each version is
+    made once; its equal rows are counted before they are shuffled."""
     columns = [key, "page", "start", "end", "text", "reason"]
-    old, new = before.select(*columns), after.select(*columns)
-    gone = old.exceptAll(new).withColumn("change", F.lit("removed"))
-    return gone.unionByName(new.exceptAll(old).withColumn("change", F.lit("inserted")))
+    counted = lambda df, by: df.select(*columns).withColumn("__more", F.lit(by))
+    more = counted(before, 1).unionByName(counted(after, -1)).groupBy(*columns).agg(F.sum("__more").alias("__more")).where("__more <> 0")
+    change = F.when(F.col("__more") > 0, "removed").otherwise("inserted")
+    return more.select(*columns, change.alias("change"), F.explode(F.array_repeat(F.lit(0), F.abs("__more").cast("int"))).alias("__n")).drop("__n")
