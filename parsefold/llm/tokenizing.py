@@ -1,43 +1,17 @@
-"""Byte-level BPE ids of whole texts, with each distinct word encoded once.
-
-In the pre-tokenizer's pattern a single space or line feed between other characters
-always begins a token, so text cut there encodes to the same ids piece by piece. Texts
-with other white space, or runs of it, go to the library whole."""
+"""Byte-level BPE ids of whole texts. No words are remembered: where many are rare, cutting a
+text and looking its words up costs more than encoding it as it is."""
 
 from __future__ import annotations
 
 import base64
 import json
-import re
+from array import array
 from functools import cached_property
 
 import numpy as np
 import tiktoken
 import tokenizers
 
-#: Distinct words of at most SHORT characters that a worker remembers; beyond that it
-#: starts anew.
-REMEMBERED, SHORT = 250_000, 64
-_ODD = re.compile(r"[^\S \n]")
-
-
-class _Ids(dict):
-    """word -> its ids as little-endian 32-bit integers; a word that does not begin
-    with a line feed stands for itself after a space."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word if word[:1] == "\n" else " " + word)
-        out = np.array(ids, np.uint32).tobytes()
-        if len(word) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = out
-        return out
-
 
 class ByteBpe:
     """Encodes as tokenizers does with the .json file; `ranks` holds the same vocabulary."""
@@ -47,7 +21,6 @@ class ByteBpe:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.words = _Ids(self.fast.encode_ordinary)
         with open(json_path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f)["added_tokens"]]
 
@@ -60,10 +33,7 @@ class ByteBpe:
         """The ids as little-endian 32-bit integers, without added special tokens."""
         if any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        if not text or _ODD.search(text) or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return np.array(self.fast.encode_ordinary(text), np.uint32).tobytes()
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return np.array(self.fast.encode_ordinary(first), np.uint32).tobytes() + b"".join(map(self.words.__getitem__, rest))
+        return array("I", self.fast.encode_ordinary(text)).tobytes()
 
 
 _LOADED: dict[tuple, ByteBpe] = {}

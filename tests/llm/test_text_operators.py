@@ -221,3 +221,12 @@ def test_order_of_rules_never_changes_the_verdict(spark, odd_docs, no_docs):
         assert got == want
     assert [r.name for r in rules.ordered([(rules.Rule("dear", None), 4.0, 0.5), (rules.Rule("cheap", None), 1.0, 0.3), (rules.Rule("idle", None), 1.0, 0.0)])] == ["cheap", "dear", "idle"]
     assert rules.apply_rules(odd_docs).count() == odd_docs.count() and rules.apply_rules(no_docs).count() == 0
+
+
+def test_byte_bpe_remembers_no_words():
+    from parsefold.llm import packing, tokenizing
+
+    bpe = tokenizing.ByteBpe(public_tokenizers.path(packing.JSON), public_tokenizers.path(packing.RANKS), public_tokenizers.PATTERN)
+    for text in ("", " ", "kelp and\nmoss", "  a\t b \n\n c", "é ü　x", "x" * 3000):
+        assert bpe.ids(text) == np.array(bpe.slow.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    assert not any(isinstance(x, dict) for x in vars(bpe).values())
