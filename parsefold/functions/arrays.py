@@ -29,6 +29,12 @@ def exploded(df: DataFrame, structs: Column, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode_outer(structs).alias(held)).where(F.col(held).isNotNull()).select(*keys, f"{held}.*")
 
 
+def numbered(df: DataFrame, values: Column, at: str, name: str, *keys: str) -> DataFrame:
+    """A row for each element of an array, null ones too: keys, its place from 0 and the
+    element. The generator is an outer one for the reason given at `exploded`."""
+    return df.select(*keys, F.posexplode_outer(values).alias(at, name)).where(F.col(at).isNotNull())
+
+
 def scan(values: Column, zero: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
     """The state after each element: array<kind> as long as values. An append copies its
     array, so states are gathered in blocks: a first fold finds the state that each block

@@ -1,5 +1,5 @@
-"""Pages and passages. Each cut depends on the one before, so these two are Arrow
-functions over whole texts; everything after them is expressions."""
+"""Pages and passages. Each cut depends on the one before: pages are cut by a fold over
+blocks of a text, passages by an Arrow function; everything after them is expressions."""
 
 from __future__ import annotations
 
@@ -13,13 +13,12 @@ from pyspark.sql import types as T
 
 from parsefold.functions import fixed_values as v
 from parsefold.functions.shipping import ship
-from parsefold.functions.text import clean, trim, word_count
+from parsefold.functions.text import clean, let, trim, trim_start, word_count
 
 # ECMAScript white space, which differs from Python's.
 _SPACE = v.SPACES
 _GAP = re.compile(f"\n[{_SPACE}]*\n")
 _SENTENCE_END = re.compile(f"[.!?。！？](?=[{_SPACE}]|\\Z)")
-PAGES = T.ArrayType(T.StringType())
 PASSAGES = T.ArrayType(T.StructType([T.StructField("page", T.IntegerType()), T.StructField("paragraph", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
@@ -102,26 +101,64 @@ def _passages(pages: list[str | None]) -> list[tuple]:
     return [(n, *passage) for n, page in enumerate(pages) for passage in split_page(page or "")]
 
 
-@F.arrow_udf(PAGES)
-def _paginate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    yield from _by_slices(texts, paginate_text, len, _PAGES)
-
-
 @F.arrow_udf(PASSAGES)
 def _split(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
     yield from _by_slices(pages, _passages, lambda some: sum(map(len, filter(None, some))), _PASSAGES)
 
 
-# Declared so that the optimiser keeps one evaluation of each: a filter on pages, passages or
-# what follows from them would else be pushed below with a copy of the function, and every
-# copy has a Python worker of its own.
-_paginate, _split = _paginate.asNondeterministic(), _split.asNondeterministic()
+# Declared so that the optimiser keeps one evaluation: a filter on passages or what follows
+# from them would else be pushed below with a copy of the function, and every copy has a
+# Python worker of its own.
+_split = _split.asNondeterministic()
+
+#: Characters of a text that are cut into pages at a time: what is left is copied for each page.
+PAGE_BLOCK = 20_000
+
+
+def _first_page(text: Column) -> Column:
+    """How many characters of a text of more than a page's length its first page takes."""
+
+    def last(mark: str) -> Column:
+        held = F.substring(text, 1, v.PAGE_CHARACTERS + len(mark))
+        return let(held, lambda w: F.char_length(w) - F.char_length(F.substring_index(w, mark, -1)) - len(mark))
+
+    near = lambda mark, other: let(last(mark), lambda n: F.when(n >= v.PAGE_FLOOR, n).otherwise(other))
+    return near("\n\n", near(" ", F.lit(v.PAGE_CHARACTERS)))
+
+
+def _cut_pages(a: Column, most: int) -> Column:
+    """Pages cut off a struct<rest, pages> for as long as more than `most` characters are left."""
+
+    def one(a: Column, _: Column) -> Column:
+        cut = let(_first_page(a["rest"]), lambda n: F.struct(trim_start(F.substr(a["rest"], n + 1)).alias("rest"), F.concat(a["pages"], F.array(trim(F.substr(a["rest"], F.lit(1), n)))).alias("pages")))
+        return F.when(F.char_length(a["rest"]) > most, cut).otherwise(a)
+
+    steps = F.sequence(F.lit(0), F.floor(F.char_length(a["rest"]) / v.PAGE_FLOOR))
+    return F.aggregate(steps, a, one)
+
+
+def _pages(cleaned: Column) -> Column:
+    """The pages of paginate_text. A text comes in blocks: a page is cut while what is held
+    shows where it ends and that more follows, the rest waits for the next block."""
+
+    def add(a: Column, block: Column) -> Column:
+        held = F.struct(trim_start(F.concat(a["rest"], block)).alias("rest"), F.array().cast("array<string>").alias("pages"))
+        own = let(held, lambda h: _cut_pages(h, v.PAGE_CHARACTERS + 2))
+        return let(own, lambda o: F.struct(o["rest"].alias("rest"), F.concat(a["pages"], F.array(o["pages"])).alias("pages")))
+
+    def end(a: Column) -> Column:
+        own = let(F.struct(a["rest"].alias("rest"), F.array().cast("array<string>").alias("pages")), lambda h: _cut_pages(h, v.PAGE_CHARACTERS))
+        return let(own, lambda o: F.concat(F.flatten(a["pages"]), o["pages"], F.when(o["rest"] != "", F.array(o["rest"])).otherwise(F.array().cast("array<string>"))))
+
+    many = F.regexp_extract_all(cleaned, F.lit(f"(?s).{{1,{PAGE_BLOCK}}}+"), 0)
+    blocks = F.when(F.char_length(cleaned) <= PAGE_BLOCK, F.array(cleaned)).otherwise(many)
+    none = F.struct(F.lit("").alias("rest"), F.array().cast("array<array<string>>").alias("pages"))
+    return F.when(cleaned == "", F.array().cast("array<string>")).when(F.char_length(cleaned) <= v.PAGE_CHARACTERS, F.array(cleaned)).when(cleaned.isNotNull(), F.aggregate(blocks, none, add, end))
 
 
 def paginate(text: Column) -> Column:
     """array of pages of at most 5000 characters."""
-    ship()
-    return _paginate(clean(text))
+    return let(clean(text), _pages)
 
 
 def split_passages(pages: Column) -> Column:
