@@ -1,7 +1,9 @@
 """Streamed sessions against the player in memory: any cut into batches gives the same rows."""
 
+import json
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from parsefold.functions import fixed_values as v
@@ -58,3 +60,59 @@ def test_batches_and_runs_make_no_difference(spark, tmp_path):
     # A run without new rows emits nothing more.
     sessions.run_available(sessions.play_sessions(spark.readStream.schema(table.schema).parquet(f"{base}/log"), "45 minutes", "10 minutes"), f"{base}/out", f"{base}/state")
     assert spark.read.parquet(f"{base}/out").count() == len(want)
+
+
+class Held:
+    """A session's state and timers, which counts what is asked of them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, kind):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def row(**entry):
+    return Row(session_key="a", ts=None, entry=json.dumps(entry))
+
+
+def test_a_session_s_timer_is_moved_without_listing_timers():
+    held = Held()
+    one = sessions.Sessions(1000)
+    one.init(held)
+    list(one.handleInputRows(("a",), iter([row(at=7, seq=1, command="load", number=3.0), row(at=5, seq=0, command="stop")]), None))
+    assert held.timers == {1008} and held.calls == 3
+    list(one.handleInputRows(("a",), iter([row(at=9, seq=2, command="configure", number="NaN", text="v")]), None))
+    assert held.timers == {1010} and held.calls == 8
+    assert held.value[4] != held.value[4] and held.value[5:8] == ("v", 9, 2)
+    # A timer of a run with a shorter idle time: the session has not expired yet.
+    held.watermark = 1009
+    assert list(one.handleExpiredTimer(("a",), held, None)) == [] and held.timers == {1010} and held.value
+    held.watermark = 1010
+    assert [r.status for r in one.handleExpiredTimer(("a",), held, None)] == ["expired"] and held.value is None
