@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from parsefold.functions import fixed_values as v
 
 
+#: White space for Java: what is printable ASCII is told by one comparison, before the ranges.
+SPACE = f"[[^!-~]&&{v.S}]"
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once for each row."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -40,15 +44,16 @@ def clean(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words between white space; an empty text counts as one, as a split does."""
-    return F.size(F.split(trim(text), rf"{v.S}+", -1))
+    return F.size(F.split(trim(text), f"{SPACE}+", -1))
 
 
 def squash(text: Column) -> Column:
     """White space to single blanks, none before punctuation, trimmed."""
 
     def squashed(x: Column) -> Column:
-        out = F.regexp_replace(x, rf"{v.S}+", " ")
-        return F.regexp_replace(out, rf"{v.S}+([,.;:!?])", "$1")
+        # After the first, all white space is single blanks.
+        out = F.regexp_replace(x, f"{SPACE}+", " ")
+        return F.regexp_replace(out, " ([,.;:!?])", "$1")
 
     # Nothing to do in a text of printable ASCII whose blanks stand alone before a word.
     return trim(let(text, lambda x: F.when(~x.rlike(r"[^ -~]| [ ,.;:!?]"), x).otherwise(squashed(x))))

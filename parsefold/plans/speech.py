@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parsefold.functions import fixed_values as v
 from parsefold.functions.arrays import exploded, fresh
-from parsefold.functions.text import has_letter_or_digit, let, squash
+from parsefold.functions.text import SPACE, has_letter_or_digit, let, squash
 
 
 def active(omissions: Column, enabled: Column, restored: Column) -> Column:
@@ -48,7 +48,7 @@ def speech_queue(passages: Column, spans: Column) -> Column:
 
 
 def queue_words(queue: Column) -> Column:
-    return F.aggregate(queue, F.lit(0), lambda a, q: a + F.size(F.split(q["text"], rf"{v.S}+", -1)))
+    return F.aggregate(queue, F.lit(0), lambda a, q: a + F.size(F.split(q["text"], f"{SPACE}+", -1)))
 
 
 def speech_plan(documents: DataFrame, enabled: Column | bool = True, restored: Column | None = None) -> DataFrame:
