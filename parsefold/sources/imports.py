@@ -193,6 +193,11 @@ def import_to(path: str, files: DataFrame, signal: Signal | None = None, progres
     return run_job(spark, work, signal or Signal(), progress, "Opening files…", timeout_ms)
 
 
+def text_error(text: Column) -> Column:
+    """Why a pasted text is refused, or null; null for a null text."""
+    return F.when(trim(text) == "", v.NO_TEXT).when(F.char_length(text) > v.MAX_CHARACTERS, v.TOO_MANY_CHARACTERS)
+
+
 def add_text(texts: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
     """Pasted texts as documents; a blank title is replaced, a text too long refused."""
     guarded = texts.withColumn("refused", F.when(F.char_length(text) > v.MAX_CHARACTERS, v.TOO_MANY_CHARACTERS))
